@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op6_jaccard_join
+from .language_id import op9_language_id
 from .pivot_neardup import op7_pivot_neardup
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_jaccard_join, op7_pivot_neardup)}
+    return {f.__name__: f for f in (op3_toxicity, op6_jaccard_join, op7_pivot_neardup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
