@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 #: Rows of one long per row that may be broadcast after they have been counted (16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that goes to Python; texts can be long, and a batch is held on both sides.
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,7 +76,7 @@ def hash_order(*columns: str, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
 
 
-def sub_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sub_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have so many bytes at most; a longer text comes alone."""
     col = batch.column(column)
     if batch.num_rows == 0:

@@ -188,9 +188,9 @@ def _verify(threshold: float, tolerance: float, width: int):
             order = np.argsort(code, kind="stable")
             row, code = row[order], code[order]
             counts = np.zeros((len(size), len(size)), np.float32)  # below 2**24 exact
-            for a in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-                lo, hi = np.searchsorted(code, [a, a + 4096])
-                m = np.zeros((len(size), 4096), np.float32)
+            for a in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+                lo, hi = np.searchsorted(code, [a, a + 2048])
+                m = np.zeros((len(size), 2048), np.float32)
                 m[row[lo:hi], code[lo:hi] - a] = 1
                 counts += m @ m.T
             both = counts[x, y].astype(np.int64)
@@ -254,7 +254,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mask = (1 << 54) - 1
     keys = F.array(*[F.lit(b << 54).bitwiseOR(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).bitwiseAND(F.lit(mask))) for b in range(BANDS)])
     reps = scratch.keep(reps.groupBy("id").agg(F.max("weight").alias("weight"), F.first("sig").alias("sig"), F.first("h1").alias("h1"), F.first("h2").alias("h2")).withColumn("keys", keys), "representatives")
-    met = block_pairs(reps, scratch, 256, 1_000_000)
+    met = block_pairs(reps, scratch, 192, 500_000)
     met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met")
     near = bounded(met.select("id"), BROADCAST_ROWS)
     used = texts.join(near, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
