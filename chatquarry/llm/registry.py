@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op6_jaccard_join
 from .language_id import op9_language_id
+from .mixing import op1_mixing
 from .pivot_neardup import op7_pivot_neardup
+from .quality import op8_quality
 from .toxicity import op3_toxicity
+from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_jaccard_join, op7_pivot_neardup, op9_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op6_jaccard_join, op7_pivot_neardup, op8_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
