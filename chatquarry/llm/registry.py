@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP4_SQL, op4_chat_format
 from .jaccard_join import op6_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op1_mixing
 from .pivot_neardup import op7_pivot_neardup
 from .quality import op8_quality
 from .toxicity import op3_toxicity
+from .url_filter import OP5_SQL, op5_url_filter
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op6_jaccard_join, op7_pivot_neardup, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_chat_format, op5_url_filter, op6_jaccard_join, op7_pivot_neardup, op8_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_url_filter": OP5_SQL}
