@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_format
+from .decontaminate import op10_decontaminate
 from .jaccard_join import op6_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op1_mixing
@@ -18,7 +19,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_chat_format, op5_url_filter, op6_jaccard_join, op7_pivot_neardup, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_chat_format, op5_url_filter, op6_jaccard_join, op7_pivot_neardup, op8_quality, op9_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
