@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, table
+from ._shared import Scratch, bounded, table
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -78,12 +78,16 @@ def write(pages: DataFrame, archive: Archive, id_col: str = "page_id", url_col:
     known = known.withColumn("kind", kind)
     head = _header(F.col("kind"), F.col("id"), F.col("url"), date, F.col("digest"), F.col("size"), F.col("first"))
     known.select("id", "digest", head.alias("header"), F.when(F.col("kind") == "revisit", F.col("first")).alias("refers_to")).write.parquet(archive.headers)
-    # one payload a digest: the row of the smallest id; where ids repeat or are null, one of them
-    single = rows.join(first.where("times = 1").select("digest"), "digest", "left_semi").select("digest", "payload")
-    several = rows.join(first.where("times > 1").select("digest", F.col("first").alias("id")), ["digest", "id"], "left_semi").select("digest", "payload").dropDuplicates(["digest"])
-    nameless = rows.join(first.where("times > 1 and first is null").select("digest"), "digest", "left_semi").select("digest", "payload").dropDuplicates(["digest"])
-    single.unionByName(several).unionByName(nameless).write.parquet(archive.payloads)
-    scratch.drop(brief, first)
+    # One payload a digest, that of the smallest id. Payloads stay where they are; only ids and digests are joined.
+    shared = scratch.keep(brief.join(first.where("times > 1"), "digest"), "shared")
+    repeated = scratch.keep(shared.where("id <=> first").groupBy("digest").count().where("count > 1").select("digest"), "repeated")
+    later = bounded(shared.where("id <> first").select("id", "digest"))
+    nameless = bounded(shared.where("id is null and first is not null").select("digest").distinct())
+    once = rows.join(later, ["id", "digest"], "left_anti").join(bounded(repeated), "digest", "left_anti")
+    once = once.where("id is not null").unionByName(once.where("id is null").join(nameless, "digest", "left_anti")).select("digest", "payload")
+    again = rows.join(bounded(repeated), "digest", "left_semi").select("digest", "payload").dropDuplicates(["digest"])
+    once.unionByName(again).write.parquet(archive.payloads)
+    scratch.drop(brief, first, shared, repeated)
 
 
 def _field(header: Column, name: str) -> Column:
