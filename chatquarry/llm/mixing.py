@@ -77,7 +77,8 @@ def words(text: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:
-    """The mix as one row per document: id_col, size, source_size, target, taken, shards array<int>, and `carry`.
+    """The mix as one row per document: id_col, size, source_size, target, taken, shards array<int>, and with `carry`
+    the struct `carried` of these columns.
 
     size is the number of words (runs of anything but white space; null: 0). Sources in order of code points, null
     last, have `weights`, repeating; they share `share` of all words, but none gets more than `most` times its own.
@@ -143,7 +144,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float
     edge_ids = bounded(picked.select(F.col("s").alias("ps"), F.col("block").alias("pb"), F.col("id").alias("pid"), F.lit(True).alias("hit")), 100_000)
     rows = rows.join(edge_ids, (F.col("s") == F.col("ps")) & (F.col("block") == F.col("pb")) & F.col("id").eqNullSafe(F.col("pid")), "left")
     mine = F.filter(F.coalesce("at", F.array().cast("array<struct<pass:int,shard:int>>")), lambda x: (x["pass"] < F.col("whole")) | ~F.col("cut") | F.col("hit").isNotNull())
-    out = rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size(mine)).alias("taken"), F.transform(mine, lambda x: x["shard"]).alias("shards"), *(["carried.*"] if carry else []))
+    out = rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size(mine)).alias("taken"), F.transform(mine, lambda x: x["shard"]).alias("shards"), *(["carried"] if carry else []))
     return out
 
 
@@ -172,12 +173,14 @@ def _leaves(counts: np.ndarray, shards: int, seed: int):
 def mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The mixed documents: a row for each time one is taken, with its shard, in shuffled order within each shard.
 
-    Columns of docs and `shard`; the files written from it have one shard or several, whole.
+    Columns of docs, and `shard` in place of one of that name; the files written from it have one shard or several, whole.
     """
     plan = mix_plan(docs, seed=seed, carry=docs.columns, **options)
-    out = plan.select(*docs.columns, F.posexplode("shards").alias("pass", "shard"))
+    ident = options.get("id_col", "doc_id")
+    out = plan.select(F.col(ident).alias("ident"), "carried", F.posexplode("shards").alias("pass", "shard"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), options.get("id_col", "doc_id"), "pass")).drop("pass")
+    out = out.repartition(parts, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), "ident", "pass"))
+    return out.select(*[F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c != "shard"], "shard")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

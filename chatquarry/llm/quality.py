@@ -147,6 +147,24 @@ def learn(rows: DataFrame) -> Grader:
     return fit([indices[i] for i in order], [values[i] for i in order], grades[order])
 
 
+def _score(grader: Grader, at_least: int | None):
+    """A function from texts to their expected grades and tail probabilities."""
+    weights, thresholds, grades = grader.weights.astype(np.float64), grader.thresholds, np.array(grader.grades, np.float64)
+    least = at_least if at_least is not None else grader.grades[min(1, len(grader.grades) - 1)]
+
+    def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            index, counts = features(texts)
+        ends = np.concatenate([[0], np.cumsum(weights[index].sum(axis=1))])
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        f = (ends[edges[1:]] - ends[edges[:-1]]) / np.maximum(counts, 1)
+        below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - f[:, None], -35, 35)))
+        p = np.diff(np.concatenate([np.zeros((len(f), 1)), below, np.ones((len(f), 1))], axis=1), axis=1)
+        return p @ grades, p[:, grades >= least].sum(axis=1)
+
+    return score
+
+
 def grade(docs: DataFrame, grader: Grader, at_least: int | None = None, select: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Grades every whole text: id_col, expected_grade double, tail double, keep boolean.
 
@@ -154,27 +172,31 @@ def grade(docs: DataFrame, grader: Grader, at_least: int | None = None, select:
     have no words get the grade that the thresholds alone give. With fewer than two grades learned, expected_grade is
     the only one, tail 1 and all are kept.
     """
-    weights, thresholds, grades = grader.weights.astype(np.float64), grader.thresholds, np.array(grader.grades, np.float64)
-    least = at_least if at_least is not None else grader.grades[min(1, len(grader.grades) - 1)]
+    score = _score(grader, at_least)
     schema = pa.schema([("id", pa.int64()), ("expected_grade", pa.float64()), ("tail", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sub_batches(whole, "text"):
-                with np.errstate(over="ignore"):
-                    index, counts = features(batch.column("text"))
-                ends = np.concatenate([[0], np.cumsum(weights[index].sum(axis=1))])
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                f = (ends[edges[1:]] - ends[edges[:-1]]) / np.maximum(counts, 1)
-                below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - f[:, None], -35, 35)))
-                p = np.diff(np.concatenate([np.zeros((len(f), 1)), below, np.ones((len(f), 1))], axis=1), axis=1)
-                tail = p[:, grades >= least].sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p @ grades), pa.array(tail), pa.array(tail >= select)], schema=schema)
+                expected, tail = score(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(expected), pa.array(tail), pa.array(tail >= select)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, expected_grade double, tail double, keep boolean").withColumnRenamed("id", id_col)
 
 
+def select(docs: DataFrame, grader: Grader, at_least: int | None = None, select: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that grade() would keep, with all their columns, in one pass."""
+    score = _score(grader, at_least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, text_col):
+                yield batch.filter(pa.array(score(batch.column(text_col))[1] >= select))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Rated rows that a grader is learned from, at most, and the tail probability at which a document is selected.
 SAMPLE, SELECT = 5_000, 0.5
 

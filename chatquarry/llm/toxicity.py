@@ -163,7 +163,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float
     return tuple(map(float, w))
 
 
-def _scan(lexicon: Lexicon):
+def _scan(lexicon: Lexicon, text_col: str = "text"):
     """A function that counts the hits of each text of a batch: sum of weights, number of hits, number of words."""
     weights, exceptions = dict(lexicon.weights), [fold(e) for e in lexicon.exceptions]
 
@@ -181,9 +181,9 @@ def _scan(lexicon: Lexicon):
         if len(machine):
             machine.make_automaton()
         for whole in batches:
-            for batch in sub_batches(whole, "text"):
+            for batch in sub_batches(whole, text_col):
                 out = np.zeros((batch.num_rows, 3))
-                for k, text in enumerate(batch.column("text").to_pylist()):
+                for k, text in enumerate(batch.column(text_col).to_pylist()):
                     if not text:
                         continue
                     out[k, 2] = text.count(" ") + text.count("\n") + 1
@@ -239,6 +239,18 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "id long, score double, predicted int, n_hits long, density double").withColumnRenamed("id", id_col)
 
 
+def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score() predicts 0 for, with all their columns, in one pass."""
+    scan, _ = _scan(lexicon, text_col)
+    coefficients = np.array(lexicon.coefficients)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in scan(batches):
+            yield batch.filter(pa.array(_features(out[:, 0], out[:, 2]) @ coefficients < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Labelled rows that a lexicon is learned from, at most.
 SAMPLE = 12_000
 

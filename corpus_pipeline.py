@@ -1,7 +1,60 @@
-"""The training-data pipeline over documents."""
-STAGES = []
+"""The training-data pipeline over documents: quality, toxicity, near duplicates, decontamination, mixing.
+
+Each stage takes all that the one before kept. The first four return the columns of documents; the last returns the
+mix: a row for each document that the mix takes, with the columns of documents and size, source_size, target, taken
+(its words, repeats counted) and shards (one for each time it is taken).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatquarry.llm import decontaminate, jaccard_join, mixing, quality, toxicity
+from chatquarry.llm._shared import Scratch, crc_of, table
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of a grade above the lowest is quality.SELECT at least."""
+    grader = quality.learn(quality.labelled(docs, table(spark, sf_dir, "labels"), quality.SAMPLE))
+    return quality.select(docs, grader, select=quality.SELECT)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labels outside the held-out fold, doesn't reject."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(crc_of("doc_id"), F.lit(5)) != 0)
+    return toxicity.reject(docs, toxicity.learn(toxicity.labelled(docs, labels, toxicity.SAMPLE)))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies, the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, as it is or with other slots."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of what is left, a row per document taken."""
+    plan = mixing.mix_plan(docs, carry=docs.columns).where(F.size("shards") > 0)
+    return plan.select("carried.*", "size", "source_size", "target", "taken", "shards")
+
+
+STAGES = [("quality", by_quality), ("toxicity", without_toxic), ("near_duplicates", without_copies), ("decontamination", without_benchmark), ("mixing", mixed)]
+
+#: The first three stages learn or link by hashes, which SQL can't express; they are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each but the last written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.keep(docs, name)
+            scratch.drop(before)
+    return docs
