@@ -48,17 +48,20 @@ def dedup_first(df: DataFrame, key: Column, row_id: str) -> DataFrame:
     return df.withColumn("__key", key).where("__key <> ''").withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__key", "__k")
 
 
-def dense_id(df: DataFrame, order_by: str, name: str, start: int = 0) -> DataFrame:
-    """Dense ids from `start` in the order of a unique key, without one task that holds all rows.
+def dense_id(df: DataFrame, order_by: str, name: str, start: int = 0, ranges: int = 256) -> DataFrame:
+    """Dense ids from `start` in the order of a unique numeric key, without one task that holds all rows.
 
-    Rows are sorted by range; a partition's ids begin after the counts of those before it, which is a table of one row
-    per partition.
+    The key's approximate quantiles cut it into ranges, fixed before the plan runs; rows are numbered within their
+    range, and a range begins after the rows of those before it, a table of one row per range.
     """
-    parts = df.repartitionByRange(F.col(order_by)).sortWithinPartitions(order_by).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    parts = parts.withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
-    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return parts.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i") + start).drop("__p", "__i", "__b")
+    wanted = max(1, min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted(set(df.approxQuantile(order_by, [k / wanted for k in range(1, wanted)], 0.01))) if wanted > 1 else []
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    parts = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col(order_by))))
+    counts = parts.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = parts.withColumn("__k", F.row_number().over(W.partitionBy("__range").orderBy(order_by)) - 1)
+    return numbered.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__k") + start).drop("__range", "__k", "__before")
 
 
 def take_seeded(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rows of each source as rows of one model. Every function returns a plan; none collects."""
+"""Rows of each source as rows of one model. Every function returns a plan; none collects; `keep` names columns that stay."""
 
 from __future__ import annotations
 
@@ -11,33 +11,28 @@ from ..functions import base, boxed, chat
 from ..functions import text as tx
 
 
-def generated(df: DataFrame) -> DataFrame:
+def generated(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Generated solutions: query, and response with the expected answer boxed at the end."""
     box = F.concat(base.rstrip(F.col("generated_solution")), F.lit("\n\n\\boxed{"), F.col("expected_answer").cast("string"), F.lit("}"))
-    return df.select(F.col("problem").alias("query"), box.alias("response"))
-
-
-def _gold(df: DataFrame, solution: Column, fallback: Column | None) -> Column:
-    inner = boxed.split_box(solution).inside
-    return F.coalesce(inner, F.when(~base.blank(fallback), fallback)) if fallback is not None else inner
+    return df.select(*keep, F.col("problem").alias("query"), box.alias("response"))
 
 
 def _has(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def leveled(df: DataFrame) -> DataFrame:
+def leveled(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Levelled problems: query, response, subject, level. Without a box the answer column is boxed; without both the row goes."""
     answer, solution = _has(df, "answer"), F.col("solution")
     plain = base.let(boxed.split_box(solution), lambda p: F.when(p.isNotNull(), solution).when(~base.blank(answer), F.concat(base.rstrip(solution), F.lit("\n\n\\boxed{"), base.strip(answer), F.lit("}"))))
     out = df.where(~base.blank(F.col("problem")) & solution.isNotNull())
-    return out.select(F.col("problem").alias("query"), plain.alias("response"), tx.subject_of(_has(df, "type"), _has(df, "subject")).alias("subject"), tx.level_of_training(F.col("level").cast("string")).alias("level")).where("response is not null")
+    return out.select(*keep, F.col("problem").alias("query"), plain.alias("response"), tx.subject_of(_has(df, "type"), _has(df, "subject")).alias("subject"), tx.level_of_training(F.col("level").cast("string")).alias("level")).where("response is not null")
 
 
-def olympiad(df: DataFrame, sources: Sequence[str] = tx.OLYMPIADS) -> DataFrame:
+def olympiad(df: DataFrame, sources: Sequence[str] = tx.OLYMPIADS, keep: Sequence[str] = ()) -> DataFrame:
     """Problems of admitted sources whose solution has a box: query, response. The filter comes first, near the scan."""
     out = df.where(F.col("source").isin(list(sources))).where(~base.blank(F.col("problem")))
-    return out.where(boxed.split_box(F.col("solution")).isNotNull()).select(F.col("problem").alias("query"), F.col("solution").alias("response"))
+    return out.where(boxed.split_box(F.col("solution")).isNotNull()).select(*keep, F.col("problem").alias("query"), F.col("solution").alias("response"))
 
 
 def test_rows(df: DataFrame, order_by: str, prefix: str = "math_test_") -> DataFrame:
@@ -52,18 +47,18 @@ def test_rows(df: DataFrame, order_by: str, prefix: str = "math_test_") -> DataF
     ).where("gold_answer is not null")
 
 
-def leveled_problems(df: DataFrame, levels: Sequence[str] = ("Level 4", "Level 5"), subjects: Sequence[str] | None = None) -> DataFrame:
+def leveled_problems(df: DataFrame, levels: Sequence[str] = ("Level 4", "Level 5"), subjects: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Levelled problems of given levels and subject slugs with a boxed answer: prompt, answer, subject, level, trimmed."""
     level = tx.level_of_extraction(F.col("level").cast("string"))
     subject = F.coalesce(base.falsy(_has(df, "subject")), base.falsy(_has(df, "type")))
-    keep = level.isin(list(levels))
+    wanted = level.isin(list(levels))
     if subjects is not None:
-        keep &= tx.subject_slug(subject).isin(list(subjects))
-    out = df.where(keep).select(base.strip(F.col("problem")).alias("prompt"), base.strip(boxed.level_box(F.col("solution"))).alias("answer"), base.strip(subject).alias("subject"), level.alias("level"))
+        wanted &= tx.subject_slug(subject).isin(list(subjects))
+    out = df.where(wanted).select(*keep, base.strip(F.col("problem")).alias("prompt"), base.strip(boxed.level_box(F.col("solution"))).alias("answer"), base.strip(subject).alias("subject"), level.alias("level"))
     return out.where((F.col("prompt") != "") & (F.col("answer") != ""))
 
 
-def either_schema(df: DataFrame) -> DataFrame:
+def either_schema(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """prompt, answer from rows with prompt and answer (or reference), or with messages; other rows raise an error."""
     names = set(df.columns)
     pick = lambda *c: F.coalesce(*[F.col(x).cast("string") for x in c if x in names], F.lit(None).cast("string"))
@@ -72,7 +67,7 @@ def either_schema(df: DataFrame) -> DataFrame:
         both = chat.prompt_and_gold(F.col("messages"))
         prompt, answer = F.coalesce(prompt, both.prompt), F.coalesce(answer, both.gold)
     need = lambda c: F.when(c.isNull(), F.raise_error(F.lit("a row has neither prompt and answer nor valid messages")).cast("string")).otherwise(c)
-    return df.select(need(prompt).alias("prompt"), need(answer).alias("answer"))
+    return df.select(*keep, need(prompt).alias("prompt"), need(answer).alias("answer"))
 
 
 def pool(df: DataFrame) -> DataFrame:
