@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, bounded, crc_of, hash_order, sub_batches, table
 
 #: Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(zip("аеорсухіјѕһԁѵɡαορνικτυ", "aeopcyxijshdvgaopviktu"))
+HOMOGLYPHS = dict(zip("аеорсухіјѕһԁѵɡαορνικτυтвнкм", "aeopcyxijshdvgaopviktutbhkm", strict=True))
 #: Digits and signs that stand for letters where they touch a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 #: Phrases in which a term of the lexicon is harmless.
@@ -42,7 +42,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def fold(text: str) -> str:
     """Lower case without accents, homoglyphs as Latin letters, digit substitutions undone, zero-width signs gone."""
-    return _SUBSTITUTED.sub(lambda m: SUBSTITUTES[m[0]], text.translate(FOLD).lower())
+    return _SUBSTITUTED.sub(lambda m: SUBSTITUTES[m[0]], text.lower().translate(FOLD))
 
 
 @dataclass
@@ -109,7 +109,7 @@ def learn(rows: DataFrame, min_docs: int = 3, min_share: float = 0.01, min_z: fl
     than a tenth of the support.
     """
     scratch = Scratch(rows.sparkSession, "toxicity")
-    rows = scratch.keep(rows.repartition(24), "labelled")
+    rows = scratch.keep(rows.repartition(12), "labelled")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
