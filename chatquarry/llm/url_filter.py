@@ -39,7 +39,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as struct<size, blocks, rule, verdict>, else null; among equally long a block wins."""
     fits = [F.when(((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)), F.struct(F.lit(len(h + p)).alias("size"), F.lit(v == "block").alias("blocks"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
-    return F.array_max(F.array(*fits))
+    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,blocks:boolean,rule:string,verdict:string>")
 
 
 def segment(s: Column) -> Column:
