@@ -46,8 +46,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
-        df.write.parquet(path := self.path(name))
+    def keep(self, df: DataFrame, name: str = "table", wide: bool = False) -> DataFrame:
+        """Writes df and reads it again. Unless it is wide, as the input's rows are, it has a file a core at most."""
+        cores = self.spark.sparkContext.defaultParallelism
+        (df if wide else df.coalesce(max(2, cores))).write.parquet(path := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path

@@ -247,7 +247,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, kind = _describe(width)
-    rows = scratch.keep(texts.mapInArrow(run, kind), "signatures")
+    rows = scratch.keep(texts.mapInArrow(run, kind), "signatures", wide=True)
     some = rows.where("n_shingles > 0")
     classes = scratch.keep(some.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
     reps = some.join(classes.where("rep is not null").select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).groupBy("id", "h1", "h2").agg(F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"))

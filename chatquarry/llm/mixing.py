@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
-    rows = scratch.keep(rows, "sizes")
+    rows = scratch.keep(rows, "sizes", wide=True)
     found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
     sizes = np.array([r.source_size for r in found], np.float64)

@@ -70,7 +70,7 @@ def write(pages: DataFrame, archive: Archive, id_col: str = "page_id", url_col:
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    brief = scratch.keep(rows.drop("payload"), "brief")
+    brief = scratch.keep(rows.drop("payload"), "brief", wide=True)
     first = brief.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"))
     first = scratch.keep(first, "first")
     known = brief.join(first, "digest")

@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.keep(docs, name)
+            docs = scratch.keep(docs, name, wide=True)
             scratch.drop(before)
     return docs
