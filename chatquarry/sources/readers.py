@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sinks import exists
+
 MESSAGES = "array<struct<role:string,content:string>>"
 SCHEMAS = {
     "raw": "query string, response string",
@@ -73,7 +75,7 @@ def configurations(spark: SparkSession, paths: dict[str, str], column: str = "co
 
 def first_readable(spark: SparkSession, paths: Sequence[str], groups: Sequence[Sequence[str]] = ()) -> DataFrame:
     """The first path that can be read; its columns must hold one of each group."""
-    for path in paths:
+    for path in (p for p in paths if exists(spark, p)):
         try:
             out = spark.read.parquet(path)
         except AnalysisException:

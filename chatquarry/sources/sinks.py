@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,14 @@ def document(row: dict, path: str) -> None:
     Path(path).write_text(json.dumps(row, indent=2, ensure_ascii=False) + "\n")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
 def complete(df: DataFrame, path: str) -> bool:
     """The output has its success marker, so a rerun can skip it."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return bool(where.getFileSystem(conf).exists(where))
+    return exists(df.sparkSession, f"{path}/_SUCCESS")
 
 
 def once(df: DataFrame, path: str, force: bool = False) -> bool:

@@ -179,3 +179,14 @@ def test_streams_resume_and_agree_with_batch(spark, tmp_path):
     signal.writeStream.format("memory").queryName("signal").option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start().awaitTermination()
     batch = {r.step: r.alert for r in monitor.rolling_signal(log, "run").collect()}
     assert {r.step: r.alert for r in spark.table("signal").collect()} == batch
+
+
+def test_summaries():
+    from datetime import datetime
+
+    from chatquarry.plans import summaries
+
+    assert summaries.line("math", {"n_problems": 2, "n_completions": 8, "pass_at_1": 0.5}) == "math: n_problems=2 n_completions=8 pass_at_1=0.5000"
+    assert "B" in summaries.table([{"key": "A", "n_problems": 1, "pass_at_1": 1.0, "pass_at_n": 1.0}], ["A", "B"]).splitlines()[1]
+    assert summaries.progress(1, 0, 0, 0) == "chunk 1: 0 attempts, 0 correct (0.0%), 0 kept"
+    assert summaries.run_name("x", datetime(2024, 1, 2, 3, 4, 5)) == "x-20240102-030405"
