@@ -35,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """A result of a few numbers per row, in a partition a core at most: not a small file per shuffle partition."""
+    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: each is computed once and survives the loss of an executor."""
 
@@ -48,8 +53,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "table", wide: bool = False) -> DataFrame:
         """Writes df and reads it again. Unless it is wide, as the input's rows are, it has a file a core at most."""
-        cores = self.spark.sparkContext.defaultParallelism
-        (df if wide else df.coalesce(max(2, cores))).write.parquet(path := self.path(name))
+        (df if wide else narrow(df)).write.parquet(path := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
@@ -151,7 +155,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def block_pairs(rows: DataFrame, scratch: Scratch, block_rows: int, block_weight: int) -> DataFrame:
+def block_pairs(rows: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
     """Deals rows (id long, keys array<long>, weight long) out so that ids that share a key meet in bounded blocks.
 
     A key's ids are cut into blocks of about block_rows rows and block_weight in all; a task is one pair of blocks
@@ -166,7 +170,7 @@ def block_pairs(rows: DataFrame, scratch: Scratch, block_rows: int, block_weight
     ).where("n > 1")
     kept = lists.groupBy("n", "w", "s1", "s2").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("w") / block_weight, F.lit(1))).cast("int")
-    kept = scratch.keep(kept.select("key", blocks.alias("nb")), "lists")
+    kept = kept.select("key", blocks.alias("nb"))
     met = long.select("id", "key").join(kept, "key").withColumn("blk", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
     return met.select("id", F.struct("key", "blk", "nb").alias("t")).groupBy("id").agg(F.collect_list("t").alias("tasks"))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, Scratch, block_pairs, bounded, by_key, deal, stars, components, sub_batches, table
+from ._shared import BROADCAST_ROWS, Scratch, block_pairs, bounded, by_key, components, deal, narrow, stars, sub_batches, table
 
 #: Bands of the index and MinHash values in each: a pair at Jaccard 0.8 shares no band with probability 3e-5.
 BANDS, ROWS = 20, 4
@@ -254,7 +254,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mask = (1 << 54) - 1
     keys = F.array(*[F.lit(b << 54).bitwiseOR(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).bitwiseAND(F.lit(mask))) for b in range(BANDS)])
     reps = scratch.keep(reps.groupBy("id").agg(F.max("weight").alias("weight"), F.first("sig").alias("sig"), F.first("h1").alias("h1"), F.first("h2").alias("h2")).withColumn("keys", keys), "representatives")
-    met = block_pairs(reps, scratch, 192, 500_000)
+    met = block_pairs(reps, 192, 500_000)
     met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met")
     near = bounded(met.select("id"), BROADCAST_ROWS)
     used = texts.join(near, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
@@ -263,10 +263,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     about = classes.join(links, classes.rep == links.id, "left").drop("id").join(group, classes.rep == group.node, "left")
-    about = scratch.keep(about.select("h1", "h2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("component")), "about")
+    about = about.select("h1", "h2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     wordless = F.col("n_shingles") == 0
     out = rows.select("id", "h1", "h2", "n_shingles").join(about, ["h1", "h2"], "left")
-    return out.select(
+    return narrow(out).select(
         F.col("id").alias(id_col), F.when(wordless, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(wordless, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
         F.when(wordless, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(wordless, F.col("id")).otherwise(F.col("component")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
@@ -278,10 +278,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat a kept id with the same text are one row afterwards.
     """
     groups = jaccard_join(docs, id_col, text_col, threshold, width)
-    stays = groups.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
-    keep = docs.join(bounded(stays.where("__n > 1").select(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    once = docs.join(stays.where("__n = 1").select(id_col), id_col, "left_semi")
-    return once.unionByName(keep).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    stays = Scratch(docs.sparkSession, "kept").keep(groups.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
+    once = docs.join(bounded(stays.where("__n = 1").select(id_col)), id_col, "left_semi")
+    repeated, nameless = stays.where("__n > 1").select(id_col), docs.where(F.col(id_col).isNull())
+    if not repeated.isEmpty():
+        once = once.unionByName(docs.join(bounded(repeated), id_col, "left_semi").dropDuplicates([id_col]))
+    return (once if nameless.isEmpty() else once.unionByName(nameless)).select(docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, block_pairs, by_key, components, deal, hash_order, stars, table
+from ._shared import Scratch, block_pairs, by_key, components, deal, hash_order, narrow, stars, table
 
 #: Key of a list: the label in the upper bits, then the pivot; vectors of dimensions without pivots share one list a label.
 PIVOT_BITS = 20
@@ -132,7 +132,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         points[dim] = _spread(np.array([r.vec for r in sample], np.float64), pivots)
     run, kind = _nearest(points, nearest)
     index = scratch.keep(reps.mapInArrow(run, kind), "index")
-    met = block_pairs(index, scratch, 256, 1 << 20)
+    met = block_pairs(index, 256, 1 << 20)
     run, kind = _verify(threshold, shared)
     payload = met.join(index.select("id", "pivots"), "id").join(reps, "id")
     found = scratch.keep(deal(payload, ["vec", "pivots", "copies"]).mapInArrow(run, kind), "links")
@@ -141,7 +141,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     about = about.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.where("valid").join(about, ["label", "vec"]).select("id", "n_links", "component")
     out = out.unionByName(rows.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+    return narrow(out).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def op7_pivot_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
