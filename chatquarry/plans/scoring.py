@@ -19,9 +19,10 @@ def sql_pass(k: int, n: str = "n", c: str = "c") -> str:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per problem with n and c: judged per completion, then summed by a partial aggregation."""
+    """A row per problem with n and c: judged per completion, then summed; what depends on the problem is a key, so the
+    aggregation hashes and needs no shuffle besides the one by problem."""
     rows = score.judge(completions(spark, folder))
-    return rows.groupBy("problem_id").agg(F.first("subject").alias("subject"), F.first("level").alias("level"), F.first("gold").alias("gold"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
+    return rows.groupBy("problem_id", "subject", "level", "gold").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
 
 
 @query(f"{WITH} select subject, count(*) as n_problems, round(avg({sql_pass(1)}), 6) as pass_at_1, round(avg({sql_pass(4)}), 6) as pass_at_4 from v_prob group by 1")

@@ -104,7 +104,7 @@ v_prob as (select problem_id, any_value(subject) as subject, any_value(level) as
 def problems(spark: SparkSession, folder: str) -> DataFrame:
     """A row per problem with its completions in order: problem_id, gold, subject, level, completions."""
     got = completions(spark, folder)
-    return got.groupBy("problem_id").agg(F.first("gold").alias("gold"), F.first("subject").alias("subject"), F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("completion_idx", "completion"))), lambda x: x.completion).alias("completions"))
+    return got.groupBy("problem_id", "gold", "subject", "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("completion_idx", "completion"))), lambda x: x.completion).alias("completions"))
 
 
 def chats(spark: SparkSession, folder: str) -> DataFrame:
