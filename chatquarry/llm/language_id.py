@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 from ._shared import crc_of, hash_order, sub_batches, table
 
 UNKNOWN = "und"
+#: Bytes that are compressed at once, and zstandard's level; below about 6 it finds no matches of three bytes.
+BLOCK, LEVEL = 2048, 12
 
 
-def learn(texts: DataFrame, docs_each: int = 400, dictionary_bytes: int = 110_000, chars_each: int = 1500, seed: int = 42) -> dict[str, bytes]:
+def learn(texts: DataFrame, docs_each: int = 400, dictionary_bytes: int = 32_000, chars_each: int = 1500, seed: int = 42) -> dict[str, bytes]:
     """Raw-content dictionaries by language from rows (doc_id, text, lang).
 
     The sample is bounded: of each language the `docs_each` distinct texts with the smallest hashes, `chars_each`
-    characters from the middle of each, `dictionary_bytes` in all.
+    characters from the middle of each, `dictionary_bytes` in all. Texts that the first dictionaries give to another
+    language are left out of the second ones, so that mislabelled texts don't count.
     """
     rows = texts.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()
@@ -29,24 +33,47 @@ def learn(texts: DataFrame, docs_each: int = 400, dictionary_bytes: int = 110_00
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars_each) / 2).cast("int"))
     rows = rows.select("lang", F.lower(F.substring("text", middle, F.lit(chars_each))).alias("part"), hash_order("text", seed=seed + 1).alias("h")).distinct()
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))).where(F.col("k") <= docs_each)
-    parts: dict[str, list[bytes]] = {}
+    parts: dict[str, list[str]] = {}
     for r in rows.orderBy("lang", "k").select("lang", "part").toLocalIterator():
-        parts.setdefault(r.lang, []).append(r.part.encode())
-    return {lang: b"\n".join(p)[-dictionary_bytes:] for lang, p in parts.items()}
+        parts.setdefault(r.lang, []).append(r.part)
+    first = {lang: _dictionary(p, dictionary_bytes, seed) for lang, p in parts.items()}
+    names, coders = _coders(_level(first), LEVEL, BLOCK)
+    agreed = {lang: [x for x in p if names[int(np.argmin([len(c(x.encode())) for c in coders]))] == lang] for lang, p in parts.items()}
+    return _level({lang: _dictionary(agreed[lang] or parts[lang], dictionary_bytes, seed) for lang in parts})
+
+
+def _level(dictionaries: dict[str, bytes], least: int = 8_000) -> dict[str, bytes]:
+    """All cut to the size of the smallest, or to `least`: in a larger dictionary a match costs more bits to point at."""
+    size = max(least, min(map(len, dictionaries.values()), default=0))
+    return {lang: d[-size:] for lang, d in dictionaries.items()}
+
+
+def _dictionary(parts: list[str], most: int, seed: int) -> bytes:
+    """The parts' words in random order: whole sentences would match copies of a text, whatever its language."""
+    words = [w for p in parts for w in p.split()]
+    random.Random(seed).shuffle(words)
+    return " ".join(words).encode()[-most:]
+
+
+def _coders(dictionaries: dict[str, bytes], level: int, block: int) -> tuple[list[str], list]:
+    """A compressor for each language, by name. Parameters are those for blocks, whose matches may be three bytes long."""
+    import zstandard as z
+
+    names, out = sorted(dictionaries), []
+    for name in names:
+        raw = dictionaries[name]
+        params = z.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(raw), write_checksum=0, write_content_size=0, write_dict_id=0)
+        d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        out.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
+    return names, out
 
 
 def _classify(dictionaries: dict[str, bytes], margin: float, block: int, level: int):
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
-    names = sorted(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        coders = []
-        for name in names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            coders.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+        names, coders = _coders(dictionaries, level, block)
         for whole in batches:
             for batch in sub_batches(whole, "text"):
                 out = []
@@ -70,7 +97,7 @@ def _classify(dictionaries: dict[str, bytes], margin: float, block: int, level:
     return run, "id long, lang_pred string, score double, margin double, rejected boolean"
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01, block: int = 2048, level: int = 3) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01, block: int = BLOCK, level: int = LEVEL) -> DataFrame:
     """The language of every whole text: id_col, lang_pred, score, margin, rejected.
 
     A text is cut into blocks of `block` bytes; every block is compressed with every language's dictionary and the
