@@ -35,9 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """A result of a few numbers per row, in a partition a core at most: not a small file per shuffle partition."""
-    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
+def narrow(df: DataFrame, each: int = 2) -> DataFrame:
+    """A result of few bytes per row in `each` partitions a core at most, not in a small file per shuffle partition."""
+    return df.coalesce(max(2, each * df.sparkSession.sparkContext.defaultParallelism))
 
 
 class Scratch:
@@ -51,9 +51,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str = "table", wide: bool = False) -> DataFrame:
-        """Writes df and reads it again. Unless it is wide, as the input's rows are, it has a file a core at most."""
-        (df if wide else narrow(df)).write.parquet(path := self.path(name))
+    def keep(self, df: DataFrame, name: str = "table", wide: bool = False, each: int = 1) -> DataFrame:
+        """Writes df and reads it again. Unless it is wide, as the input's rows are, it has `each` files a core at most."""
+        (df if wide else narrow(df, each)).write.parquet(path := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path

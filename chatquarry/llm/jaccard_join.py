@@ -253,9 +253,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = some.join(classes.where("rep is not null").select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).groupBy("id", "h1", "h2").agg(F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"))
     mask = (1 << 54) - 1
     keys = F.array(*[F.lit(b << 54).bitwiseOR(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).bitwiseAND(F.lit(mask))) for b in range(BANDS)])
-    reps = scratch.keep(reps.groupBy("id").agg(F.max("weight").alias("weight"), F.first("sig").alias("sig"), F.first("h1").alias("h1"), F.first("h2").alias("h2")).withColumn("keys", keys), "representatives")
+    reps = scratch.keep(reps.groupBy("id").agg(F.max("weight").alias("weight"), F.first("sig").alias("sig"), F.first("h1").alias("h1"), F.first("h2").alias("h2")).withColumn("keys", keys), "representatives", each=4)
     met = block_pairs(reps, 192, 500_000)
-    met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met")
+    met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met", each=4)
     near = bounded(met.select("id"), BROADCAST_ROWS)
     used = texts.join(near, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     run, kind = _verify(threshold, tolerance, width)

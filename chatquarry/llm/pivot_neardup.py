@@ -124,7 +124,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = scratch.keep(rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))), "vectors", wide=True)
     reps = rows.where("valid").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.keep(reps.groupBy("id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.sum("copies").alias("copies")), "entries")
+    reps = scratch.keep(reps.groupBy("id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.sum("copies").alias("copies")), "entries", each=2)
     dims = [r[0] for r in reps.groupBy(F.size("vec")).count().orderBy(F.desc("count")).limit(8).collect()]
     points = {}
     for dim in dims:
