@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,24 +15,42 @@ from pyspark.sql import types as T
 def repeats(text: Column, window: int = 100, times: int = 3) -> Column:
     """Some stretch of `window` characters occurs `times` times or more; overlaps count, texts under window * times don't.
 
-    Stretches are compared by hash; memory follows the longest text of a batch.
+    Stretches are found by a rolling hash over the whole text at once and compared as text before they count.
     """
 
     @F.pandas_udf(T.BooleanType())
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        base = 0x9E3779B97F4A7C15
+        powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+        def grow(n: int) -> None:
+            if len(powers["up"]) < n:
+                for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
+                    x = np.full(1 << n.bit_length(), b, np.uint64)
+                    x[0] = 1
+                    powers[name] = np.multiply.accumulate(x)
+
         def one(t: str | None) -> bool:
             if t is None or len(t) < window * times:
                 return False
-            seen: Counter = Counter()
-            for k in range(len(t) - window + 1):
-                part = t[k : k + window]
-                seen[part] += 1
-                if seen[part] >= times:
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            grow(len(codes) + 1)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * powers["up"][: len(codes)], out=sums[1:])
+            n = len(codes) - window + 1
+            hashes = (sums[window:] - sums[:-window]) * powers["down"][:n]
+            order = np.argsort(hashes, kind="stable")
+            ranked = hashes[order]
+            same = np.flatnonzero(ranked[times - 1 :] == ranked[: n - times + 1])
+            for k in same.tolist():  # equal hashes are equal texts but for a chance of about 2**-64
+                parts = [t[i : i + window] for i in order[k : k + times].tolist()]
+                if all(p == parts[0] for p in parts[1:]):
                     return True
             return False
 
-        for batch in texts:
-            yield batch.map(one).astype(bool)
+        with np.errstate(over="ignore"):
+            for batch in texts:
+                yield batch.map(one).astype(bool)
 
     return found(text)
 
