@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import crc_of, hash_order, sub_batches, table
+from ._shared import bounded, crc_of, hash_order, sub_batches, table
 
 UNKNOWN = "und"
 #: Bytes that are compressed at once, and zstandard's level; below about 6 it finds no matches of three bytes.
@@ -27,7 +27,7 @@ def learn(texts: DataFrame, docs_each: int = 400, dictionary_bytes: int = 32_000
     """
     rows = texts.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()
-    rows = rows.join(F.broadcast(counts), "lang")
+    rows = rows.join(bounded(counts, 10_000), "lang")
     share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     rows = rows.where(share < F.lit(6.0 * docs_each) / F.col("count"))  # one group's copies share a hash, hence the slack
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars_each) / 2).cast("int"))
