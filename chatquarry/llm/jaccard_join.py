@@ -288,3 +288,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: The exact join: all pairs of classes that share a shingle, and components by recursion. For small tables.
+OP6_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+k as (select doc_id, array_to_string(words, ' ') as key, words from w),
+c as (select key, min(doc_id) as rep, count(*) as n_copies, any_value(words) as words from k where key <> '' group by key),
+s as (select distinct rep, unnest(case when len(words) < 5 then [key] else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as sh from c),
+n as (select rep, count(*) as n from s group by rep),
+p as (select a.rep as a, b.rep as b, count(*) as common from s a join s b on a.sh = b.sh and a.rep <> b.rep group by all),
+l as (select a, b from p join n na on na.rep = a join n nb on nb.rep = b where common >= 0.8 * (na.n + nb.n - common)),
+r(id, root) as (select rep, rep from c union select l.a, r.root from r join l on l.b = r.id),
+g as (select id, min(root) as root from r group by id),
+d as (select a as id, count(*) as n_links from l group by a)
+select doc_id, coalesce(c.rep, doc_id) as class_id, coalesce(n_copies, 1) as n_copies, coalesce(n_links, 0) as n_links, coalesce(g.root, doc_id) as component_id, doc_id = coalesce(g.root, doc_id) as kept
+from k left join c on c.key = k.key left join g on g.id = c.rep left join d on d.id = c.rep
+"""

@@ -146,3 +146,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 def op7_pivot_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The exact result: all pairs of a label by cosine, and components by recursion. For small tables.
+OP7_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, root) as (select vec_id, vec_id from embeddings union select l.a, r.root from r join l on l.b = r.id),
+g as (select id, min(root) as root from r group by id), d as (select a as id, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, g.root as component_id, vec_id = g.root as kept from embeddings join g on g.id = vec_id left join d on d.id = vec_id
+"""

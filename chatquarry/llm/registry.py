@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op10_decontaminate
-from .jaccard_join import op6_jaccard_join
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op1_mixing
-from .pivot_neardup import op7_pivot_neardup
+from .pivot_neardup import OP7_SQL, op7_pivot_neardup
 from .quality import op8_quality
 from .toxicity import op3_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_pivot_neardup": OP7_SQL}
