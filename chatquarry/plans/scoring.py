@@ -168,11 +168,11 @@ def _keepers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("kept", F.col("correct") & F.col("well_formed"))
 
 
-@query(f"{WITH} select problem_id as problem_idx, completion_idx as sample_idx, 'qwen3_1_7b' as source, round(c / n, 6) as teacher_pass_at_n from v_ok join v_prob using (problem_id) where correct and c >= 2")
+@query(f"{WITH} select problem_id as problem_idx, completion_idx as sample_idx, 'model_1_7b' as source, round(c / n, 6) as teacher_pass_at_n from v_ok join v_prob using (problem_id) where correct and c >= 2")
 def distill_keepers(spark: SparkSession, folder: str) -> DataFrame:
     kept = _keepers(spark, folder)
     good = scored(spark, folder).where("c >= 2").select("problem_id", F.round(F.col("c") / F.col("n"), 6).alias("teacher_pass_at_n"))
-    return kept.where("kept").join(good, "problem_id").select(F.col("problem_id").alias("problem_idx"), F.col("completion_idx").cast("long").alias("sample_idx"), tx.source_tag(F.lit("org/Qwen3-1.7B")).alias("source"), "teacher_pass_at_n")
+    return kept.where("kept").join(good, "problem_id").select(F.col("problem_id").alias("problem_idx"), F.col("completion_idx").cast("long").alias("sample_idx"), tx.source_tag(F.lit("org/Model-1.7B")).alias("source"), "teacher_pass_at_n")
 
 
 @query(f"{WITH} select count(*) as n_problems, round(sum(c) / (count(*) * 4), 6) as pass_rate, round((select count(*) from v_comp where answer is not null) / (count(*) * 4), 6) as format_rate from v_prob")

@@ -10,8 +10,8 @@ from pathlib import Path
 #: Sampling settings where neither the caller nor a file has them, and context caps (fixed values).
 FALLBACK = {"temperature": 0.6, "top_p": 0.95, "top_k": 20}
 CAPS = {"strict": (4096, 4096), "legacy": (20480, 16384)}
-#: Token caps of the sources (fixed values).
-TOKEN_CAPS = {"v4-mix": 2900, "openmathinstruct": 3500, "mixed": 3500, "dart": None}
+#: Token caps by kind of source (fixed values).
+TOKEN_CAPS = {"bucketed": 2900, "generated": 3500, "mixed": 3500, "raw": None}
 
 
 def warmup_steps(rows: int, batch: int, epochs: float, ratio: float = 0.03) -> int:

@@ -96,7 +96,7 @@ def test_levels_and_subjects(spark):
     got = one(spark, ["5", " Level 5 ", "Level ?", "hard", "", None], tx.level_of_training, tx.level_of_extraction, tx.level_of_test)
     assert got == [("Level 5",) * 3, ("Level 5", "Level 5", "Level  Level 5 "), ("Level ?", None, "Level ?"), ("hard", None, "Level hard"), (None, None, None), (None, None, None)]
     assert one(spark, ["Counting & Probability"], tx.subject_slug) == [("counting_and_probability",)]
-    assert one(spark, ["org/Qwen3-1.7B"], tx.source_tag) == [("qwen3_1_7b",)]
+    assert one(spark, ["org/Model-1.7B"], tx.source_tag) == [("model_1_7b",)]
     assert tx.parse_levels("4, Level 5") == ("Level 4", "Level 5")
     with pytest.raises(ValueError):
         tx.parse_levels("hard")
