@@ -90,3 +90,32 @@ def failures(df: DataFrame, tag: str, threshold: float = 0.0) -> DataFrame:
     """prompt, answer, <tag>_pass_at_n, <tag>_completions of problems (c of n right) whose rate is the threshold at most."""
     rate = F.col("c") / F.col("n")
     return df.where((F.col("n") > 0) & (rate <= threshold)).select("prompt", "answer", rate.alias(f"{tag}_pass_at_n"), F.col("completions").alias(f"{tag}_completions"))
+
+
+def attach_completions(items: DataFrame, completions: DataFrame, row_id: str) -> DataFrame:
+    """row_id, prompt, answer, completions: one to one by id; lone rows and differing numbers of completions are errors."""
+    from .curate import aligned
+
+    both = aligned(items.select(row_id, "prompt", "answer"), completions.select(row_id, "completions"), row_id)
+    sizes = completions.agg(F.min(F.size("completions")).alias("__lo"), F.max(F.size("completions")).alias("__hi"))
+    uniform = F.when(F.col("__lo") == F.col("__hi"), F.lit(True)).otherwise(F.raise_error(F.lit("the number of completions must be uniform")).cast("boolean"))
+    return both.crossJoin(F.broadcast(sizes)).where(uniform).drop("__lo", "__hi")  # one row of sizes
+
+
+def teacher_rows(scored: DataFrame) -> DataFrame:
+    """prompt, answer, teacher_completions, n_correct, n_well_formatted of problems that count_correct() has scored."""
+    good = F.size(F.filter("completions", tx.well_formed))
+    return scored.select("prompt", "answer", F.col("completions").alias("teacher_completions"), F.col("c").alias("n_correct"), good.alias("n_well_formatted"))
+
+
+def distilled(kept: DataFrame, source: str) -> DataFrame:
+    """messages, source, problem_idx, sample_idx, teacher_pass_at_n of kept samples (prompt, completion and the rest)."""
+    messages = F.array(chat.message("user", F.col("prompt")), chat.message("assistant", base.strip(F.col("completion"))))
+    return kept.select(messages.alias("messages"), F.lit(source).alias("source"), "problem_idx", "sample_idx", F.col("teacher_pass_at_n").cast("double").alias("teacher_pass_at_n"))
+
+
+def assert_templated(df: DataFrame, prompt: str, order_by: str, rows: int = 5) -> None:
+    """An error if one of the first rows isn't a templated prompt; looks at so many rows, on the driver."""
+    bad = df.select(prompt, order_by).orderBy(order_by).limit(rows).where(~chat.templated(F.col(prompt))).limit(1).collect()
+    if bad:
+        raise ValueError(f"a prompt is not templated: {bad[0][prompt][:80]!r}")

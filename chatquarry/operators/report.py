@@ -82,6 +82,13 @@ def reward_variance(df: DataFrame, rewards: str = "rewards") -> DataFrame:
     return some.withColumn("__mean", mean).withColumn("__var", spread).agg(F.count(F.lit(1)).alias("n_prompts"), F.avg("__var").alias("mean_variance"), F.avg("__mean").alias("mean_reward"), F.avg(F.sqrt("__var")).alias("mean_std"))
 
 
+def variance_passes(df: DataFrame, threshold: float = 0.01, rewards: str = "rewards") -> DataFrame:
+    """One row: passed (the mean variance is the threshold at least) and mean_variance; no prompts is an error."""
+    out = reward_variance(df, rewards)
+    mean = F.when(F.col("n_prompts") == 0, F.raise_error(F.lit("there are no prompts")).cast("double")).otherwise(F.col("mean_variance"))
+    return out.select((mean >= threshold).alias("passed"), mean.alias("mean_variance"))
+
+
 def teacher_summary(df: DataFrame, n: int) -> DataFrame:
     """Share of right and of well-formed completions, from n_correct and n_well_formatted per problem; 0 without problems."""
     rate = lambda c: F.coalesce(F.sum(c) / F.nullif(F.count(F.lit(1)) * n, F.lit(0)), F.lit(0.0))

@@ -181,6 +181,31 @@ def teacher_summary(spark: SparkSession, folder: str) -> DataFrame:
     return report.teacher_summary(per, 4).select("n_problems", F.round("pass_rate", 6).alias("pass_rate"), F.round("format_rate", 6).alias("format_rate"))
 
 
+@query(f"""{WITH}, w as (select problem_id, count(*) filter (answer is not null)::int as n_well_formatted from v_comp group by 1)
+select problem_id::varchar as prompt, gold as answer, 4 as n_completions, c::int as n_correct, n_well_formatted from v_prob join w using (problem_id)""")
+def teacher_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """Completions attached to their problems by id, with a uniform number, scored and written out as rows."""
+    rows = problems(spark, folder)
+    items = rows.select("problem_id", F.col("problem_id").cast("string").alias("prompt"), F.col("gold").alias("answer"))
+    both = normalize.attach_completions(items, rows.select("problem_id", "completions"), "problem_id").withColumn("gold", F.col("answer"))
+    out = normalize.teacher_rows(score.count_correct(both))
+    return out.select("prompt", "answer", F.size("teacher_completions").alias("n_completions"), "n_correct", "n_well_formatted")
+
+
+@query(f"{WITH} select problem_id as problem_idx, completion_idx as sample_idx, 'model_1_7b' as source, md5(problem_id::varchar || '|' || completion) as messages_md5 from v_ok join v_prob using (problem_id) where correct and c >= 3")
+def distilled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    good = scored(spark, folder).where("c >= 3").select("problem_id", (F.col("c") / F.col("n")).alias("teacher_pass_at_n"))
+    kept = _keepers(spark, folder).where("kept").join(good, "problem_id").select(F.col("problem_id").alias("problem_idx"), F.col("completion_idx").cast("long").alias("sample_idx"), F.col("problem_id").cast("string").alias("prompt"), "completion", "teacher_pass_at_n")
+    out = normalize.distilled(kept, "model_1_7b")
+    return out.select("problem_idx", "sample_idx", "source", F.md5(F.array_join(F.transform("messages", lambda m: m.content), "|")).alias("messages_md5"))
+
+
+@query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v from v_comp group by 1) select avg(v) >= 0.01 as passed, round(avg(v), 6) as mean_variance from r")
+def variance_check(spark: SparkSession, folder: str) -> DataFrame:
+    rows = problems(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
+    return report.variance_passes(rows).withColumn("mean_variance", F.round("mean_variance", 6))
+
+
 @query(f"""{WITH}, t as (select problem_id // 50 as chunk, count(*) as attempts, count(*) filter (correct) as correct from v_ok group by 1)
 select chunk, sum(attempts) over (order by chunk)::bigint as attempts, sum(correct) over (order by chunk)::bigint as correct from t""")
 def chunk_progress(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pathlib import Path
 
 #: Sampling settings where neither the caller nor a file has them, and context caps (fixed values).
-FALLBACK = {"temperature": 0.6, "top_p": 0.95, "top_k": 20}
+FALLBACK = {"temperature": 0.3, "top_p": 0.95, "top_k": 20}
 CAPS = {"strict": (4096, 4096), "legacy": (20480, 16384)}
 #: Token caps by kind of source (fixed values).
 TOKEN_CAPS = {"bucketed": 2900, "generated": 3500, "mixed": 3500, "raw": None}
@@ -44,6 +44,12 @@ def check_context(model_len: int, supported: int) -> None:
         raise ValueError(f"a context of {model_len} is over the supported {supported}")
 
 
-def token_budget(new_tokens: int, low: int = 1024, high: int = 8192) -> str | None:
-    """Advice on a budget of new tokens that is unusually small or large."""
-    return "small" if new_tokens < low else "large" if new_tokens > high else None
+def token_budget(new_tokens: int, trained_length: int, cap: int) -> list[str]:
+    """Advice on a budget of new tokens that goes beyond the scorer's cap or the trained length; none is an error."""
+    limits = {"the scorer's cap": cap, "the trained length": trained_length}
+    return [f"{new_tokens} new tokens are over {what} of {most}" for what, most in limits.items() if new_tokens > most]
+
+
+def text_file(path: str) -> str:
+    """A template's or a configuration's text."""
+    return Path(path).read_text()

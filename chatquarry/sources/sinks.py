@@ -47,3 +47,9 @@ def once(df: DataFrame, path: str, force: bool = False) -> bool:
         return False
     json_lines(df, path)
     return True
+
+
+def text(content: str, path: str) -> None:
+    """A report's text, on the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(content if content.endswith("\n") else content + "\n")

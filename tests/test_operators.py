@@ -103,6 +103,9 @@ def test_reward_variance(spark):
     df = spark.createDataFrame([([0.0, 1.0],), ([1.0, 1.0],)], "rewards array<double>")
     got = report.reward_variance(df).first()
     assert (got.mean_variance, got.mean_reward, got.mean_std) == (0.125, 0.75, 0.25)
+    assert report.variance_passes(df).first().passed and not report.variance_passes(df, 0.2).first().passed
+    with pytest.raises(Exception, match="no prompts"):
+        report.variance_passes(df.where("false")).collect()
     with pytest.raises(Exception, match="under two"):
         report.reward_variance(df.unionByName(spark.createDataFrame([([1.0],)], "rewards array<double>"))).collect()
 
@@ -118,6 +121,25 @@ def test_normalisers(spark):
     assert normalize.failures(fails, "m").columns == ["prompt", "answer", "m_pass_at_n", "m_completions"] and normalize.failures(fails, "m").count() == 1
 
 
+def test_completions_are_attached_uniformly(spark):
+    items = spark.createDataFrame([(1, "p", "1"), (2, "q", "2")], "id long, prompt string, answer string")
+    comps = spark.createDataFrame([(1, ["\\boxed{1}", "x"]), (2, ["y", "z"])], "id long, completions array<string>")
+    out = normalize.attach_completions(items, comps, "id")
+    assert out.columns == ["id", "prompt", "answer", "completions"] and out.count() == 2
+    with pytest.raises(Exception, match="uniform"):
+        normalize.attach_completions(items, comps.withColumn("completions", F.slice("completions", 1, F.col("id").cast("int"))), "id").collect()
+    with pytest.raises(Exception, match="no counterpart"):
+        normalize.attach_completions(items, comps.where("id = 1"), "id").collect()
+    dump = normalize.teacher_rows(score.count_correct(out.withColumn("gold", F.col("answer"))))
+    assert sorted((r.prompt, r.n_correct, r.n_well_formatted) for r in dump.collect()) == [("p", 1, 0), ("q", 0, 0)]
+    row = normalize.distilled(spark.sql("select 3 problem_idx, 0 sample_idx, 'p' prompt, ' s ' completion, 0.5 teacher_pass_at_n"), "tag").first()
+    assert row.messages[1].content == "s" and row.source == "tag" and row.problem_idx == 3
+    good = spark.createDataFrame([("<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n",)], "prompt string")
+    normalize.assert_templated(good, "prompt", "prompt")
+    with pytest.raises(ValueError):
+        normalize.assert_templated(spark.createDataFrame([("plain",)], "prompt string"), "prompt", "prompt")
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("w", 0.25, [1.0, 2.0]), ("w", 0.75, [3.0, 4.0])], "name string, weight double, v array<double>")
     assert sorted((r.position, r.value) for r in vectors.weighted_sum(df, "name", "weight", "v").collect()) == [(0, 2.5), (1, 3.5)]
@@ -132,9 +154,12 @@ def test_vectors(spark):
 def test_settings(tmp_path):
     assert settings.warmup_steps(10, 4, 1) == 1 and settings.warmup_steps(50_000, 32, 2) == 94
     (tmp_path / "g.json").write_text('{"top_k": 5}')
-    assert settings.sampling({"top_p": 0.5}, settings.settings_file(str(tmp_path / "g.json"))) == {"temperature": 0.6, "top_p": 0.5, "top_k": 5}
+    assert settings.sampling({"top_p": 0.5}, settings.settings_file(str(tmp_path / "g.json"))) == {"temperature": 0.3, "top_p": 0.5, "top_k": 5}
     assert settings.settings_file(str(tmp_path / "none.json")) is None
     assert settings.context_caps("legacy", new_tokens=9) == (20480, 9)
+    assert settings.token_budget(4096, 4096, 4096) == [] and len(settings.token_budget(9000, 8000, 4096)) == 2
+    with pytest.raises(ValueError):
+        settings.check_context(4096, 2048)
 
 
 def test_monitor(spark):
