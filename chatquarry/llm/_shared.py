@@ -184,6 +184,11 @@ def deal(met: DataFrame, payload: list[str]) -> DataFrame:
     return out.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def links_of(found: DataFrame) -> DataFrame:
+    """Links of (id, root) summed over tasks, so that the tasks that verify pairs stay as many as they are."""
+    return found.groupBy("id", "root").agg(F.sum("links").alias("links"))
+
+
 def stars(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links left[k]-right[k] (positions in ids): links of each position, and the smallest id its links reach."""
     n = len(ids)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, Scratch, block_pairs, bounded, by_key, components, deal, narrow, stars, sub_batches, table
+from ._shared import BROADCAST_ROWS, Scratch, block_pairs, bounded, by_key, components, deal, links_of, narrow, stars, sub_batches, table
 
 #: Bands of the index and MinHash values in each: a pair at Jaccard 0.8 shares no band with probability 3e-5.
 BANDS, ROWS = 20, 4
@@ -259,7 +259,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = bounded(met.select("id"), BROADCAST_ROWS)
     used = texts.join(near, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     run, kind = _verify(threshold, tolerance, width)
-    found = scratch.keep(deal(met.join(used, "id"), ["sig", "text"]).mapInArrow(run, kind), "links")
+    found = scratch.keep(links_of(deal(met.join(used, "id"), ["sig", "text"]).mapInArrow(run, kind)), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     about = classes.join(links, classes.rep == links.id, "left").drop("id").join(group, classes.rep == group.node, "left")

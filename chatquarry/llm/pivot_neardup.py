@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, block_pairs, by_key, components, deal, hash_order, narrow, stars, table
+from ._shared import Scratch, block_pairs, by_key, components, deal, hash_order, links_of, narrow, stars, table
 
 #: Key of a list: the label in the upper bits, then the pivot; vectors of dimensions without pivots share one list a label.
 PIVOT_BITS = 20
@@ -124,18 +124,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = scratch.keep(rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))), "vectors", wide=True)
     reps = rows.where("valid").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.keep(reps.groupBy("id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.sum("copies").alias("copies")), "entries", each=2)
+    reps = scratch.keep(reps.groupBy("id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.sum("copies").alias("copies")), "entries", each=4)
     dims = [r[0] for r in reps.groupBy(F.size("vec")).count().orderBy(F.desc("count")).limit(8).collect()]
     points = {}
     for dim in dims:
         sample = reps.where(F.size("vec") == dim).orderBy(hash_order("id", seed=seed), "id").limit(4 * pivots).select("vec").collect()
         points[dim] = _spread(np.array([r.vec for r in sample], np.float64), pivots)
     run, kind = _nearest(points, nearest)
-    index = scratch.keep(reps.mapInArrow(run, kind), "index")
+    index = scratch.keep(reps.mapInArrow(run, kind), "index", wide=True)
     met = block_pairs(index, 256, 1 << 20)
     run, kind = _verify(threshold, shared)
     payload = met.join(index.select("id", "pivots"), "id").join(reps, "id")
-    found = scratch.keep(deal(payload, ["vec", "pivots", "copies"]).mapInArrow(run, kind), "links")
+    found = scratch.keep(links_of(deal(payload, ["vec", "pivots", "copies"]).mapInArrow(run, kind)), "links")
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     about = reps.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(group, reps.id == group.node, "left")
     about = about.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
