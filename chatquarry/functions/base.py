@@ -21,16 +21,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: The same white space as characters: trimming by a set only looks at a text's ends, a regular expression at all of it.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{SPACE}]+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
