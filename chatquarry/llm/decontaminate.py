@@ -64,35 +64,40 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     slots of the place where most are found map consistently: equal values of the item to equal values of the
     document, for numbers, units and names apart. Windows of fewer than `words` words don't count. An item of fewer
     tokens than a window is one window of its own length, if it has `words` words; shorter ones are not searched.
-    verbatim says that all slots are equal. Null and empty texts hold nothing; rows that repeat an id count together.
+    verbatim says that all slots are equal. Null and empty texts hold nothing; documents that repeat an id count together.
+    Every distinct text of the items is searched by itself and mapped back to its ids at the end, so rows that repeat
+    count once; an item of several texts is held if one of them is, and has the figures of the one found most. Each text
+    without an id is an item of its own, whose row has a null item.
     Items go to all executors if their windows are few enough, counted; else the windows are joined by a shuffle.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
-    bench = items.select(F.col(item_col).alias("item"), template(F.col(item_text_col).cast("string")).alias("tokens"), slots(F.col(item_text_col).cast("string")).alias("slots"))
+    given = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
+    keyed = scratch.keep(given.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "texts")
+    bench = keyed.select("key", template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
     bench = scratch.keep(bench.where(F.size("tokens") >= words), "items")
     width = F.least(F.lit(window), F.size("tokens"))
-    whole = bench.select("item", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
-    whole = whole.select("item", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
-    known = scratch.keep(whole.select("item", "width", "at", F.xxhash64("part").alias("h")), "windows")
-    total = known.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
+    whole = bench.select("key", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
+    whole = whole.select("key", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
+    known = scratch.keep(whole.select("key", "width", "at", F.xxhash64("part").alias("h")), "windows")
+    total = known.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     hits = None
     for w in sorted(r[0] for r in known.select("width").distinct().collect()):  # the window, and the lengths of shorter items
         places = texts.select("doc", F.posexplode(_windows(template(F.col("text")), w)).alias("place", "h"))
-        one = places.join(bounded(known.where(F.col("width") == w)), "h").select("doc", "item", "at", (F.col("place") - F.col("at")).alias("shift"))
+        one = places.join(bounded(known.where(F.col("width") == w)), "h").select("doc", "key", "at", (F.col("place") - F.col("at")).alias("shift"))
         hits = one if hits is None else hits.unionByName(one)
     if hits is None:
         return spark.createDataFrame([], "doc long, item long, found long, windows long, verbatim boolean")
-    hits = scratch.keep(hits.groupBy("doc", "item", "shift", "at").count().drop("count"), "hits")
-    found = hits.groupBy("doc", "item").agg(F.countDistinct("at").alias("found"))
-    found = found.join(bounded(total), "item").where((F.col("found") >= coverage * F.col("windows")) | (F.col("found") >= enough))
-    best = hits.groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "item").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("b"))
-    found = scratch.keep(found.join(best, ["doc", "item"]).select("doc", "item", "found", "windows", (-F.col("b.s")).cast("int").alias("shift")), "found")
+    hits = scratch.keep(hits.groupBy("doc", "key", "shift", "at").count().drop("count"), "hits")
+    found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
+    found = found.join(bounded(total), "key").where((F.col("found") >= coverage * F.col("windows")) | (F.col("found") >= enough))
+    best = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("b"))
+    found = scratch.keep(found.join(best, ["doc", "key"]).select("doc", "key", "found", "windows", (-F.col("b.s")).cast("int").alias("shift")), "found")
     slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
-    asked = scratch.keep(found.join(bounded(slotted.select("item")), "item", "left_semi"), "asked")
+    asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
     places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
-    pairs = asked.join(slotted, "item").join(places, "doc")
+    pairs = asked.join(slotted, "key").join(places, "doc")
     for kind, mark in (("num", NUM), ("unit", UNIT), ("name", NAME)):
         count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))  # noqa: B023, E731
         here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + F.col("shift") >= 0) & (F.get("theirs", i + F.greatest("shift", -i)) == mark))  # noqa: B023
@@ -100,17 +105,21 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         pairs = pairs.withColumn(kind, F.array_distinct(values))
     consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
     same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
-    judged = pairs.select("doc", "item", (consistent("num") & consistent("unit") & consistent("name")).alias("fits"), (same("num") & same("unit") & same("name")).alias("same"))
-    judged = judged.groupBy("doc", "item").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
-    out = found.join(judged, ["doc", "item"], "left").where(F.coalesce("fits", F.lit(True)))
-    return out.select("doc", "item", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
+    judged = pairs.select("doc", "key", (consistent("num") & consistent("unit") & consistent("name")).alias("fits"), (same("num") & same("unit") & same("name")).alias("same"))
+    judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
+    out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
+    out = out.select("doc", "key", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
+    out = out.join(bounded(given.join(keyed, "text").select("key", "item")), "key")
+    most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
+    out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))
+    return out.select("doc", "item", "most.found", "most.windows", "verbatim")
 
 
 def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document id: id_col, contaminated boolean, n_items long, item_ids array<long>, verbatim boolean.
 
-    See matches(). verbatim is false where every item found has other slots, null where none is found. A null id has
-    a row and is not contaminated.
+    See matches(). verbatim is false where every item found has other slots, null where none is found. Items without
+    an id count in n_items and have no entry in item_ids. A null id has a row and is not contaminated.
     """
     found = matches(docs, items, id_col, **options)
     about = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.bool_or("verbatim").alias("verbatim"))
