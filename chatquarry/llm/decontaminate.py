@@ -47,6 +47,13 @@ def slots(text: Column) -> Column:
     return F.struct(low(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), 0)).alias("num"), low(F.regexp_extract_all(numbers, F.lit(_UNIT), 0)).alias("unit"), low(F.regexp_extract_all(units, F.lit(_NAME), 0)).alias("name"))
 
 
+def plain(text: Column) -> Column:
+    """The words, numbers and operators of a text as they are, in lower case: array<string>, empty where it has no letter or digit."""
+    signs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([-+*/=<>^%×÷−])", " $1 ")
+    flat = F.trim(F.regexp_replace(signs, r"[^\p{L}\p{N}+*/=<>^%×÷−-]+", " "))
+    return F.when(flat.rlike(r"[\p{L}\p{N}]"), F.split(flat, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def _windows(tokens: Column, width: int) -> Column:
     """Hashes of all windows of a list of tokens; the list is bound once, as the lambda's argument."""
     one = lambda t: F.when(F.size(t) >= width, F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.xxhash64(F.slice(t, i, width)))).otherwise(F.array().cast("array<bigint>"))
@@ -57,13 +64,58 @@ def _word_count(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda x: ~x.isin(NUM, UNIT, NAME)))
 
 
+def _whole(texts: DataFrame, short: DataFrame, window: int) -> DataFrame | None:
+    """(doc, key) of the texts that hold all tokens of an item (key, plain) in a row, None without items.
+
+    The item's first tokens, a window at most, are joined by hash; longer items are then compared in full.
+    """
+    short = short.withColumn("width", F.least(F.lit(window), F.size("plain")))
+    out = None
+    for w in sorted(r[0] for r in short.select("width").distinct().collect()):
+        first = short.where(F.col("width") == w).select("key", F.xxhash64(F.slice("plain", 1, w)).alias("h"))
+        places = texts.select("doc", F.explode(F.array_distinct(_windows(plain(F.col("text")), w))).alias("h"))
+        one = places.join(bounded(first), "h").select("doc", "key").distinct()
+        if w == window:
+            joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+            longer = one.join(short.select("key", "plain"), "key").join(texts, "doc")
+            one = longer.where(F.contains(joined(plain(F.col("text"))), joined("plain"))).select("doc", "key").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFrame, texts: DataFrame, coverage: float, enough: int) -> DataFrame:
+    """(doc, key, found, windows, verbatim) of the windows found, where the coverage is reached and the slots fit."""
+    hits = scratch.keep(hits.groupBy("doc", "key", "shift", "at").count().drop("count"), "hits")
+    found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
+    found = found.join(bounded(total), "key").where((F.col("found") >= coverage * F.col("windows")) | (F.col("found") >= enough))
+    best = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("b"))
+    found = scratch.keep(found.join(best, ["doc", "key"]).select("doc", "key", "found", "windows", (-F.col("b.s")).cast("int").alias("shift")), "found")
+    slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
+    asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
+    places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
+    pairs = asked.join(slotted, "key").join(places, "doc")
+    for kind, mark in (("num", NUM), ("unit", UNIT), ("name", NAME)):
+        count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))  # noqa: B023, E731
+        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + F.col("shift") >= 0) & (F.get("theirs", i + F.greatest("shift", -i)) == mark))  # noqa: B023
+        values = F.transform(here, lambda i: F.struct(F.get(f"slots.{kind}", count("tokens", i)).alias("a"), F.get(f"values.{kind}", count("theirs", i + F.col("shift"))).alias("b")))  # noqa: B023
+        pairs = pairs.withColumn(kind, F.array_distinct(values))
+    consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
+    same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
+    judged = pairs.select("doc", "key", (consistent("num") & consistent("unit") & consistent("name")).alias("fits"), (same("num") & same("unit") & same("name")).alias("same"))
+    judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
+    out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
+    return out.select("doc", "key", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, words: int = WORDS, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
     """(doc, item, found, windows, verbatim) for every document that holds an item, as it is or with other slots.
 
     An item is held if `coverage` of its windows (or `enough` of them) are found in the document's template and the
     slots of the place where most are found map consistently: equal values of the item to equal values of the
     document, for numbers, units and names apart. Windows of fewer than `words` words don't count. An item of fewer
-    tokens than a window is one window of its own length, if it has `words` words; shorter ones are not searched.
+    tokens than a window is one window of its own length, if it has `words` words. An item without a window that counts
+    is held where all its words, numbers and operators stand in a row as they are: so few words are no evidence of
+    a copy with other slots. Only items without a letter or digit are not searched.
     verbatim says that all slots are equal. Null and empty texts hold nothing; documents that repeat an id count together.
     Every distinct text of the items is searched by itself and mapped back to its ids at the end, so rows that repeat
     count once; an item of several texts is held if one of them is, and has the figures of the one found most. Each text
@@ -74,41 +126,28 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "templates")
     given = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     keyed = scratch.keep(given.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "texts")
-    bench = keyed.select("key", template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
-    bench = scratch.keep(bench.where(F.size("tokens") >= words), "items")
+    every = scratch.keep(keyed.select("key", template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"), plain(F.col("text")).alias("plain")), "items")
+    bench = every.where(F.size("tokens") >= words)
     width = F.least(F.lit(window), F.size("tokens"))
     whole = bench.select("key", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
     whole = whole.select("key", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
     known = scratch.keep(whole.select("key", "width", "at", F.xxhash64("part").alias("h")), "windows")
     total = known.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
+    short = every.where(F.size("plain") > 0).join(total, "key", "left_anti")
+    exact = _whole(texts, scratch.keep(short.select("key", "plain"), "short"), window)
     hits = None
     for w in sorted(r[0] for r in known.select("width").distinct().collect()):  # the window, and the lengths of shorter items
         places = texts.select("doc", F.posexplode(_windows(template(F.col("text")), w)).alias("place", "h"))
         one = places.join(bounded(known.where(F.col("width") == w)), "h").select("doc", "key", "at", (F.col("place") - F.col("at")).alias("shift"))
         hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
+    out = _judged(scratch, hits, total, bench, texts, coverage, enough) if hits is not None else None
+    if exact is not None:
+        one = F.lit(1).cast("long")
+        exact = scratch.keep(exact.select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim")), "whole")
+        out = exact if out is None else out.unionByName(exact)
+    if out is None:
         return spark.createDataFrame([], "doc long, item long, found long, windows long, verbatim boolean")
-    hits = scratch.keep(hits.groupBy("doc", "key", "shift", "at").count().drop("count"), "hits")
-    found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
-    found = found.join(bounded(total), "key").where((F.col("found") >= coverage * F.col("windows")) | (F.col("found") >= enough))
-    best = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("b"))
-    found = scratch.keep(found.join(best, ["doc", "key"]).select("doc", "key", "found", "windows", (-F.col("b.s")).cast("int").alias("shift")), "found")
-    slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
-    asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
-    places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
-    pairs = asked.join(slotted, "key").join(places, "doc")
-    for kind, mark in (("num", NUM), ("unit", UNIT), ("name", NAME)):
-        count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))  # noqa: B023, E731
-        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + F.col("shift") >= 0) & (F.get("theirs", i + F.greatest("shift", -i)) == mark))  # noqa: B023
-        values = F.transform(here, lambda i: F.struct(F.get(f"slots.{kind}", count("tokens", i)).alias("a"), F.get(f"values.{kind}", count("theirs", i + F.col("shift"))).alias("b")))  # noqa: B023
-        pairs = pairs.withColumn(kind, F.array_distinct(values))
-    consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
-    same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
-    judged = pairs.select("doc", "key", (consistent("num") & consistent("unit") & consistent("name")).alias("fits"), (same("num") & same("unit") & same("name")).alias("same"))
-    judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
-    out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
-    out = out.select("doc", "key", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
     out = out.join(bounded(given.join(keyed, "text").select("key", "item")), "key")
     most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
     out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))

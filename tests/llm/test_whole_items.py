@@ -21,3 +21,18 @@ def test_items_that_repeat_or_have_no_id(spark):
     nameless = (True, 1, [], True)
     assert found(spark, texts, [(None, QUESTION), (None, OTHER), (None, None)]) == {0: nameless, 1: nameless, 2: nameless, 3: none}
     assert found(spark, texts, [(2, QUESTION), (1, QUESTION), (None, QUESTION)])[0] == (True, 3, [1, 2], True)
+
+
+def test_items_of_few_words(spark):
+    sums = "Compute 12 + 34 * 56 - 78"
+    dense = "Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11 and 12"
+    items = [(1, "What is 3 times 4 plus 5?"), (2, sums), (3, dense), (4, "two words"), (5, "!!!"), (6, QUESTION)]
+    texts = [
+        "He was asked, What is 3 times 4 plus 5? He didn't know", "what is 3 times 4 plus 6", sums.lower() + " now", sums.replace("*", "+"),
+        "first " + dense + " then", dense.replace("11", "13"), "only two  Words, here", "two other words !!!", "", QUESTION + ", or " + sums,
+    ]
+    got = found(spark, texts, items)
+    assert {k: v[2] for k, v in got.items()} == {0: [1], 1: [], 2: [2], 3: [], 4: [3], 5: [], 6: [4], 7: [], 8: [], 9: [2, 6]}
+    assert all(v[3] is True for v in got.values() if v[0])
+    assert {k: v[2] for k, v in found(spark, texts, items[:5]).items() if v[0]} == {0: [1], 2: [2], 4: [3], 6: [4], 9: [2]}
+    assert not any(v[0] for v in found(spark, texts, items[4:5]).values())
