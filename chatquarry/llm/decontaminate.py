@@ -86,22 +86,30 @@ def _whole(texts: DataFrame, short: DataFrame, window: int) -> DataFrame | None:
 def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFrame, texts: DataFrame, coverage: float, enough: int) -> DataFrame:
     """(doc, key, found, windows, verbatim) of the windows found, where the coverage is reached and the slots fit."""
     hits = scratch.keep(hits.groupBy("doc", "key", "shift", "at").count().drop("count"), "hits")
+    reached = lambda n: (n >= coverage * F.col("windows")) | (n >= enough)
     found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
-    found = found.join(bounded(total), "key").where((F.col("found") >= coverage * F.col("windows")) | (F.col("found") >= enough))
-    best = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("b"))
-    found = scratch.keep(found.join(best, ["doc", "key"]).select("doc", "key", "found", "windows", (-F.col("b.s")).cast("int").alias("shift")), "found")
+    found = found.join(bounded(total), "key").where(reached(F.col("found")))
+    shifts = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", F.col("shift").cast("int").alias("shift"))).alias("all"))
+    tried = F.transform(F.filter("all", lambda p: reached(p.n) | (p.n == F.col("most"))), lambda p: p.shift)
+    found = scratch.keep(found.join(shifts, ["doc", "key"]).select("doc", "key", "found", "windows", tried.alias("shifts")), "found")
     slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
     asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
     places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
     pairs = asked.join(slotted, "key").join(places, "doc")
-    for kind, mark in (("num", NUM), ("unit", UNIT), ("name", NAME)):
-        count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))  # noqa: B023, E731
-        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + F.col("shift") >= 0) & (F.get("theirs", i + F.greatest("shift", -i)) == mark))  # noqa: B023
-        values = F.transform(here, lambda i: F.struct(F.get(f"slots.{kind}", count("tokens", i)).alias("a"), F.get(f"values.{kind}", count("theirs", i + F.col("shift"))).alias("b")))  # noqa: B023
-        pairs = pairs.withColumn(kind, F.array_distinct(values))
+
+    def mapped(kind: str, mark: str, shift: Column) -> Column:
+        """The distinct pairs of values of one kind at a place."""
+        count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))
+        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + shift >= 0) & (F.get("theirs", i + F.greatest(shift, -i)) == mark))
+        values = F.transform(here, lambda i: F.struct(F.get(f"slots.{kind}", count("tokens", i)).alias("a"), F.get(f"values.{kind}", count("theirs", i + shift)).alias("b")))
+        return F.array_distinct(values)
+
+    kinds = (("num", NUM), ("unit", UNIT), ("name", NAME))
+    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s).alias(kind) for kind, mark in kinds])))
     consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
     same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
-    judged = pairs.select("doc", "key", (consistent("num") & consistent("unit") & consistent("name")).alias("fits"), (same("num") & same("unit") & same("name")).alias("same"))
+    fits = F.exists("maps", lambda m: consistent(m.num) & consistent(m.unit) & consistent(m["name"]))
+    judged = pairs.select("doc", "key", fits.alias("fits"), F.exists("maps", lambda m: same(m.num) & same(m.unit) & same(m["name"])).alias("same"))
     judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
     out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
     return out.select("doc", "key", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
@@ -111,8 +119,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(doc, item, found, windows, verbatim) for every document that holds an item, as it is or with other slots.
 
     An item is held if `coverage` of its windows (or `enough` of them) are found in the document's template and the
-    slots of the place where most are found map consistently: equal values of the item to equal values of the
-    document, for numbers, units and names apart. Windows of fewer than `words` words don't count. An item of fewer
+    slots of a place map consistently: equal values of the item to equal values of the document, for numbers, units
+    and names apart. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
+    the most windows. Windows of fewer than `words` words don't count. An item of fewer
     tokens than a window is one window of its own length, if it has `words` words. An item without a window that counts
     is held where all its words, numbers and operators stand in a row as they are: so few words are no evidence of
     a copy with other slots. Only items without a letter or digit are not searched.
@@ -125,9 +134,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
     given = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    keyed = scratch.keep(given.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "texts")
-    every = scratch.keep(keyed.select("key", template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"), plain(F.col("text")).alias("plain")), "items")
-    bench = every.where(F.size("tokens") >= words)
+    every = given.select("text").distinct().select("text", F.monotonically_increasing_id().alias("key"), template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"), plain(F.col("text")).alias("plain"))
+    every = scratch.keep(every, "items")
+    bench = every.drop("text").where(F.size("tokens") >= words)
     width = F.least(F.lit(window), F.size("tokens"))
     whole = bench.select("key", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
     whole = whole.select("key", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
@@ -135,7 +144,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     total = known.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     short = every.where(F.size("plain") > 0).join(total, "key", "left_anti")
-    exact = _whole(texts, scratch.keep(short.select("key", "plain"), "short"), window)
+    exact = _whole(texts, short.select("key", "plain"), window)
     hits = None
     for w in sorted(r[0] for r in known.select("width").distinct().collect()):  # the window, and the lengths of shorter items
         places = texts.select("doc", F.posexplode(_windows(template(F.col("text")), w)).alias("place", "h"))
@@ -148,7 +157,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         out = exact if out is None else out.unionByName(exact)
     if out is None:
         return spark.createDataFrame([], "doc long, item long, found long, windows long, verbatim boolean")
-    out = out.join(bounded(given.join(keyed, "text").select("key", "item")), "key")
+    out = out.join(bounded(given.join(every, "text").select("key", "item")), "key")
     most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
     out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))
     return out.select("doc", "item", "most.found", "most.windows", "verbatim")

@@ -36,3 +36,12 @@ def test_items_of_few_words(spark):
     assert all(v[3] is True for v in got.values() if v[0])
     assert {k: v[2] for k, v in found(spark, texts, items[:5]).items() if v[0]} == {0: [1], 2: [2], 4: [3], 6: [4], 9: [2]}
     assert not any(v[0] for v in found(spark, texts, items[4:5]).values())
+
+
+def test_every_place_of_an_item_is_tried(spark):
+    item = "If Anna buys 12 apples for 3 dollars each and sells 12 apples again, how much does the owner Anna have left after paying 3 dollars"
+    mixed_up = item.replace("12", "25", 1).replace("3 ", "7 ", 1)
+    other = item.replace("12", "25").replace("3 ", "7 ").replace("Anna", "Robert")
+    texts = [mixed_up + ". " + item, mixed_up + ". " + mixed_up + ". " + other, mixed_up + ". " + mixed_up, item + ". " + mixed_up]
+    got = found(spark, texts, [(7, item)])
+    assert {k: (v[0], v[3]) for k, v in got.items()} == {0: (True, True), 1: (True, False), 2: (False, None), 3: (True, True)}
