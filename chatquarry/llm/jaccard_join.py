@@ -137,7 +137,7 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
 
 
 def _describe(width: int):
-    schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("exact", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -148,9 +148,9 @@ def _describe(width: int):
                     sig, keys = minhash(values, n), text_keys(words, counts)
                 offsets = pa.array(np.arange(len(n) + 1) * sig.shape[1], pa.int32())
                 flat = pa.array(sig.view(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("exact"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
 
-    return run, "id long, h1 long, h2 long, n_shingles long, sig array<int>"
+    return run, "id long, exact long, h1 long, h2 long, n_shingles long, sig array<int>"
 
 
 def _verify(threshold: float, tolerance: float, width: int):
@@ -245,25 +245,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("exact"))
     run, kind = _describe(width)
     rows = scratch.keep(texts.mapInArrow(run, kind), "signatures", wide=True)
     some = rows.where("n_shingles > 0")
-    classes = scratch.keep(some.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    reps = some.join(classes.where("rep is not null").select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).groupBy("id", "h1", "h2").agg(F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"))
+    classes = scratch.keep(some.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")).withColumn("key", F.xxhash64("h1", "h2")), "classes")
+    reps = some.join(classes.where("rep is not null").select("h1", "h2", "key", F.col("rep").alias("id")), ["h1", "h2", "id"]).groupBy("key", "id").agg(F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"), F.min("exact").alias("exact"))
     mask = (1 << 54) - 1
     keys = F.array(*[F.lit(b << 54).bitwiseOR(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).bitwiseAND(F.lit(mask))) for b in range(BANDS)])
-    reps = scratch.keep(reps.groupBy("id").agg(F.max("weight").alias("weight"), F.first("sig").alias("sig"), F.first("h1").alias("h1"), F.first("h2").alias("h2")).withColumn("keys", keys), "representatives", each=4)
+    reps = scratch.keep(reps.select(F.col("key").alias("id"), F.col("id").alias("rep"), "exact", "weight", "sig").withColumn("keys", keys), "representatives", each=4)
     met = block_pairs(reps, 192, 500_000)
     met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met", each=4)
-    near = bounded(met.select("id"), BROADCAST_ROWS)
-    used = texts.join(near, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    near = bounded(met.select(F.col("id").alias("key")).join(reps.select(F.col("id").alias("key"), F.col("rep").alias("id"), "exact"), "key"), BROADCAST_ROWS // 3)
+    used = texts.join(near, ["id", "exact"]).groupBy(F.col("key").alias("id")).agg(F.min("text").alias("text"))
     run, kind = _verify(threshold, tolerance, width)
     found = scratch.keep(links_of(deal(met.join(used, "id"), ["sig", "text"]).mapInArrow(run, kind)), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    about = classes.join(links, classes.rep == links.id, "left").drop("id").join(group, classes.rep == group.node, "left")
-    about = about.select("h1", "h2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = some.where("id is not null").select("id", F.xxhash64("h1", "h2").alias("a"))
+    several = named.groupBy("id").agg(F.min("a").alias("b"), F.max("a").alias("hi")).where("b <> hi").select("id", "b")
+    several = named.join(bounded(several, BROADCAST_ROWS // 2), "id").select("a", "b")
+    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(several), scratch)
+    about = classes.join(links, classes.key == links.id, "left").drop("id").join(group, classes.key == group.node, "left")
+    about = about.select("h1", "h2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("root"))
+    about = about.join(about.groupBy("root").agg(F.min("rep").alias("component")), "root")
     wordless = F.col("n_shingles") == 0
     out = rows.select("id", "h1", "h2", "n_shingles").join(about, ["h1", "h2"], "left")
     return narrow(out).select(

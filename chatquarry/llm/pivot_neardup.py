@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, block_pairs, by_key, components, deal, hash_order, links_of, narrow, stars, table
+from ._shared import Scratch, block_pairs, bounded, by_key, components, deal, hash_order, links_of, narrow, stars, table
 
 #: Key of a list: the label in the upper bits, then the pivot; vectors of dimensions without pivots share one list a label.
 PIVOT_BITS = 20
@@ -116,19 +116,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     candidates and are verified. Equal vectors of a label are one entry of the index, their copies count as links.
     Null labels, null, empty and zero vectors, and vectors with null, NaN or infinite components link with nothing;
     vectors of different dimensions are not compared. Lists are compared in bounded blocks, without a cap. An empty
-    table gives an empty result; other columns are ignored. Rows that repeat an id count as copies.
+    table gives an empty result; other columns are ignored. Rows that repeat an id count as copies where
+    their vectors are equal; else each vector is compared by itself, and they share a component.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivots")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = scratch.keep(rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))), "vectors", wide=True)
-    reps = rows.where("valid").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.keep(reps.groupBy("id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.sum("copies").alias("copies")), "entries", each=4)
+    rows = scratch.keep(rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))).withColumn("key", F.xxhash64("label", "vec")), "vectors", wide=True)
+    reps = rows.where("valid").groupBy("label", "vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    reps = scratch.keep(reps.select(F.xxhash64("label", "vec").alias("id"), "least", "label", "vec", "copies"), "entries", each=4)
     dims = [r[0] for r in reps.groupBy(F.size("vec")).count().orderBy(F.desc("count")).limit(8).collect()]
     points = {}
     for dim in dims:
-        sample = reps.where(F.size("vec") == dim).orderBy(hash_order("id", seed=seed), "id").limit(4 * pivots).select("vec").collect()
+        sample = reps.where(F.size("vec") == dim).orderBy(hash_order("least", seed=seed), "least", "id").limit(4 * pivots).select("vec").collect()
         points[dim] = _spread(np.array([r.vec for r in sample], np.float64), pivots)
     run, kind = _nearest(points, nearest)
     index = scratch.keep(reps.mapInArrow(run, kind), "index", wide=True)
@@ -136,10 +137,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     run, kind = _verify(threshold, shared)
     payload = met.join(index.select("id", "pivots"), "id").join(reps, "id")
     found = scratch.keep(links_of(deal(payload, ["vec", "pivots", "copies"]).mapInArrow(run, kind)), "links")
-    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    several = rows.where("valid").groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("hi")).where("b <> hi").select("id", "b")
+    several = rows.where("valid").join(bounded(several), "id").select(F.col("key").alias("a"), "b")
+    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(several), scratch)
     about = reps.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(group, reps.id == group.node, "left")
-    about = about.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.where("valid").join(about, ["label", "vec"]).select("id", "n_links", "component")
+    about = about.select(reps.id.alias("key"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", reps.id).alias("root"))
+    about = about.join(about.groupBy("root").agg(F.min("least").alias("component")), "root")
+    out = rows.where("valid").join(about, "key").select("id", "n_links", "component")
     out = out.unionByName(rows.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     return narrow(out).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
