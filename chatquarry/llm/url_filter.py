@@ -16,7 +16,7 @@ from ._shared import Scratch, bounded, table
 
 #: (verdict, host with its subdomains, beginning of the path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Levels of the tree; what is deeper is one last segment.
+#: Levels of the tree in OP5_SQL, which takes what is deeper as one last segment; judge() has no such bound.
 DEPTH = 4
 #: A segment is a wildcard if it has more siblings than this and less than this share of their urls.
 SIBLINGS, SHARE = 20, 0.05
@@ -53,36 +53,43 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     rule is the longest fitting rule's host and path, else null; verdict (allow or block) is the rule's, else the
     template's. Labels of the tree are bad_col (boolean, null: none), where it is given and set, else the rules'
     verdicts. template and purity are those of the url's branch; a branch without labels has the prior's purity and
-    is allowed. Null urls and those without :// have empty host and path and no rule. Each row is judged alone, so
+    is allowed. The tree goes as deep as the paths of a host differ. Null urls and those without :// have empty host and path and no rule. Each row is judged alone, so
     rows that repeat have equal results; an empty table gives an empty result; other columns are ignored. `rules` is
     a list in the plan, for hundreds of rules at most.
     """
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), (F.col(bad_col) if bad_col else F.lit(None)).cast("boolean").alias("bad"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.withColumn("parts", parts)
-    levels = [F.coalesce(segment(F.get("parts", F.lit(k))), F.lit("")) for k in range(DEPTH - 1)]
-    levels.append(F.when(F.size("parts") >= DEPTH, F.lit("**")).otherwise(F.lit("")))
-    names = [f"s{k}" for k in range(DEPTH)]
-    rows = rows.withColumns(dict(zip(names, levels))).withColumn("bad", F.coalesce("bad", F.col("found.blocks"))).drop("parts")
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment)
+    rows = rows.withColumn("segs", segments).withColumn("bad", F.coalesce("bad", F.col("found.blocks")))
     scratch = Scratch(pages.sparkSession, "tree")
-    tree = scratch.keep(rows.groupBy("host", *names).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.count_if("bad").alias("bad")), "level")
-    for k in range(DEPTH):
-        above = ["host", *[f"t{j}" for j in range(k)]]
-        kids = tree.groupBy(*above, f"s{k}").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"))
+    live = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.count_if("bad").alias("bad"))
+    live = scratch.keep(live.withColumns({"node": F.array().cast("array<string>"), "rest": F.col("segs")}), "level")
+    tree = live.select("host", "segs", "node", "lab", "bad").limit(0)
+    while not live.isEmpty():  # a round goes to the next fork below each node; a node with one path left is a leaf
+        forks = live.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        fork = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
+        at = scratch.keep(live.join(forks.select("host", "node", fork.alias("fork")), ["host", "node"]), "forks")
+        tree = tree.unionByName(at.where("fork = 0").select("host", "segs", F.concat("node", "rest").alias("node"), "lab", "bad"))
+        at = at.where("fork > 0").withColumns({"node": F.concat("node", F.slice("rest", 1, F.col("fork") - 1)), "rest": F.slice("rest", F.col("fork"), F.size("rest"))})
+        at = at.withColumn("s", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        above = ["host", "node"]
+        kids = at.groupBy(*above, "s").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"))
         all_ = kids.groupBy(*above).agg(F.count(F.lit(1)).alias("many"), F.sum("kn").alias("an"), F.sum("kl").alias("al"), F.sum("kb").alias("ab"))
         rate = (F.col("ab") + 1) / (F.col("al") + 2)
         rare = (F.col("many") > SIBLINGS) & (F.col("kn") < SHARE * F.col("an"))
         alike = (F.col("kl") > 0) & (F.col("kl") < F.col("al")) & (F.abs(F.try_divide(F.col("kb"), F.col("kl")) - rate) <= SIMILAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("kl"))))
-        named = F.when(F.col(f"s{k}") == "", F.lit("")).when(rare | F.coalesce(alike, F.lit(False)), F.lit("*")).otherwise(F.col(f"s{k}"))
-        kids = kids.join(all_, above).select(*above, f"s{k}", named.alias(f"t{k}"))
-        tree = scratch.keep(tree.join(kids, [*above, f"s{k}"]), "level")
-    templates = tree.groupBy("host", *[f"t{k}" for k in range(DEPTH)]).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        named = F.when(rare | F.coalesce(alike, F.lit(False)), F.lit("*")).otherwise(F.col("s"))
+        kids = kids.join(all_, above).select(*above, "s", named.alias("t"))
+        below = F.when(F.col("s") == "", F.col("node")).otherwise(F.concat("node", F.array("t")))
+        at = scratch.keep(at.join(kids, [*above, "s"]).select("host", "segs", "n", "lab", "bad", "s", below.alias("node"), F.slice("rest", 2, F.size("rest")).alias("rest")), "level")
+        tree = tree.unionByName(at.where("s = ''").select("host", "segs", "node", "lab", "bad"))
+        live = at.where("s <> ''").drop("s")
+    templates = tree.groupBy("host", "node").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + PRIOR_WEIGHT * PRIOR) / (F.col("lab") + PRIOR_WEIGHT)
     templates = templates.withColumn("purity", purity).withColumn("reject", (F.col("purity") >= REJECT) & (F.col("lab") >= LEAST))
-    text = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*[f"t{k}" for k in range(DEPTH)]), lambda s: s != ""), "/"))
-    known = tree.join(templates, ["host", *[f"t{k}" for k in range(DEPTH)]]).select("host", *names, text.alias("template"), "purity", "reject")
-    out = rows.join(bounded(known, 100_000), ["host", *names], "left")
+    text = F.concat(F.lit("/"), F.array_join("node", "/"))
+    known = tree.select("host", "segs", "node").join(templates, ["host", "node"]).select("host", "segs", text.alias("template"), "purity", "reject")
+    out = rows.join(bounded(known, 100_000), ["host", "segs"], "left")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
