@@ -222,3 +222,10 @@ def failure_mode_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Failure modes over responses too short to repeat: the filter is part of the query's question."""
     rows = responses(spark, folder).where(F.length("response") < 300).select("doc_id", F.col("response").alias("completion"), F.col("doc_id").cast("string").alias("gold"), tx.token_estimate(F.col("response")).alias("tokens"))
     return score.label_failures(rows, "tokens").select("doc_id", F.col("failure_mode").alias("mode"))
+
+
+@query()
+def failure_mode_all_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure modes over all responses, those that repeat a stretch included; SQL doesn't express repetition."""
+    rows = responses(spark, folder).select("doc_id", F.col("response").alias("completion"), F.col("doc_id").cast("string").alias("gold"), tx.token_estimate(F.col("response")).alias("tokens"))
+    return score.label_failures(rows, "tokens").select("doc_id", F.col("failure_mode").alias("mode"))
