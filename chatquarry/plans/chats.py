@@ -54,7 +54,16 @@ def render_generation_prompt(spark: SparkSession, folder: str) -> DataFrame:
   when len(regexp_extract_all(t, '(?:^|[^\pL\pM\pN_])[A-Z](?:$|[^\pL\pM\pN_])')) = 1 then regexp_extract(t, '(?:^|[^\pL\pM\pN_])([A-Z])(?:$|[^\pL\pM\pN_])', 1) end as label
 from (select conv_id, turn, upper(trim(case conv_id % 3 when 0 then ' (b) ' when 1 then text || ' c' else 'i think d' end)) as t from conversations where role = 'assistant' and not regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_])[a-z](?:$|[^\pL\pM\pN_])'))""")
 def choice_label(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "conversations").where("role = 'assistant'").where(~F.col("text").rlike(r"(?i)(?:^|[^\p{L}\p{M}\p{N}_])[a-z](?:$|[^\p{L}\p{M}\p{N}_])"))
+    return _choices(table(spark, folder, "conversations").where("role = 'assistant'").where(~F.col("text").rlike(r"(?i)(?:^|[^\p{L}\p{M}\p{N}_])[a-z](?:$|[^\p{L}\p{M}\p{N}_])")))
+
+
+@query()
+def choice_label_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of all assistant texts, those with letters of their own included."""
+    return _choices(table(spark, folder, "conversations").where("role = 'assistant'"))
+
+
+def _choices(c: DataFrame) -> DataFrame:
     text = F.when(F.col("conv_id") % 3 == 0, F.lit(" (b) ")).when(F.col("conv_id") % 3 == 1, F.concat("text", F.lit(" c"))).otherwise(F.lit("i think d"))
     return c.select("conv_id", "turn", answers.choice_label(text).alias("label"))
 
@@ -62,7 +71,16 @@ def choice_label(spark: SparkSession, folder: str) -> DataFrame:
 @query("""select conv_id, turn, conv_id % 4 <> 3 as same, md5(trim(text)) as key_md5 from conversations where role = 'user' and regexp_full_match(trim(text), '(?s)[^\\s"!#-/:-@\\[-`{-~].*') and len(text) < 2000""")
 def direct_answer_match(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with a preamble, in another case, quoted, or with a word too many, against lists of aliases."""
-    c = table(spark, folder, "conversations").where("role = 'user' and length(text) < 2000").where(F.trim("text").rlike(r"""\A[^\s"!#-/:-@\[-`{-~]"""))
+    return _direct(table(spark, folder, "conversations").where("role = 'user' and length(text) < 2000").where(F.trim("text").rlike(r"""\A[^\s"!#-/:-@\[-`{-~]""")))
+
+
+@query()
+def direct_answer_match_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over all user texts, of any length and beginning."""
+    return _direct(table(spark, folder, "conversations").where("role = 'user'"))
+
+
+def _direct(c: DataFrame) -> DataFrame:
     form = F.col("conv_id") % 4
     said = F.when(form == 0, F.concat(F.lit("The final answer is: "), "text")).when(form == 1, F.upper("text")).when(form == 2, F.concat(F.lit("  «".replace("«", "'")), "text", F.lit("!' "))).otherwise(F.concat(F.lit("Not "), "text"))
     gold = F.to_json(F.array(F.lit("another"), F.col("text")))

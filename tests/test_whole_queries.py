@@ -16,3 +16,12 @@ def test_failure_mode_all_responses(spark, tmp_path):
     assert set(got) == set(range(32)) and again and {k for k, m in got.items() if m == "repetition"} == again
     assert short and all(got[k] == m for k, m in short.items())
     assert any(len(t) >= 300 and got[k] == "correct" for k, t in enumerate(texts))
+
+
+def test_chats_of_all_rows(spark, tmp_path):
+    long = "word " * 600 + "end"
+    rows = [(1, 1, "assistant", "I see a point"), (4, 1, "assistant", "plain words"), (7, 1, "assistant", None), (0, 0, "user", long), (1, 0, "user", long), (3, 0, "user", long), (4, 0, "user", "short one")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda n: {r.conv_id: r[2] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()}
+    assert run("choice_label_all") == {1: None, 4: "C", 7: None} and run("choice_label") == {4: "C"}
+    assert run("direct_answer_match_all") == {0: True, 1: True, 3: False, 4: True} and run("direct_answer_match") == {4: True}
