@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,21 +13,41 @@ from pyspark.sql import functions as F
 
 #: Tables of this subpackage are read with it as a separator of words: space and \x09-\x0D.
 NON_SPACE = r"[^\x20\x09-\x0D]+"
-#: Rows of one long per row that may be broadcast after they have been counted (16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that may be broadcast, after both have been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Rows of a batch that goes to Python; texts can be long, and a batch is held on both sides.
 ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, run: Callable, kind: str) -> DataFrame:
+    """df.mapInArrow() in batches of ARROW_ROWS rows at most.
+
+    Spark has no such bound for one plan, so the session's is lowered; a smaller one stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, kind)
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type, as it is written in a schema."""
+    return df.select(F.col(column)).schema[0].dataType.simpleString()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one of this process's own."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session has one of this process's own.
+
+    On a cluster executors don't see such a folder, so an unset option is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="chatquarry-"))
     return found.rstrip("/")
 
@@ -68,9 +88,23 @@ class Scratch:
                 where.getFileSystem(conf).delete(where, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (it is counted), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes (both are measured), else as it is, for a shuffled join."""
+    n, size = measure(df)
+    return F.broadcast(df) if n <= rows and size <= most_bytes else df
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of df: 16 for each value, and the length of texts, binaries and, as JSON, nested values."""
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(total)).first()
+    return n, size or 0
 
 
 def crc_of(column: str) -> Column:
@@ -118,7 +152,7 @@ def by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014); every round is a table in the shared
@@ -140,9 +174,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         return out.where("u <> v").distinct()
 
     before = mark(pairs)
-    for _ in range(most_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         after = scratch.keep(star(star(pairs, True), False), "stars")
         now = mark(after)
         scratch.drop(pairs)
@@ -150,8 +182,6 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -179,9 +209,25 @@ def deal(met: DataFrame, payload: list[str]) -> DataFrame:
     """Rows of block_pairs() with their payload, once for each task they take part in, sorted by task within partitions."""
     one = met.select("id", *payload, F.explode("tasks").alias("t"))
     each = F.transform(F.sequence(F.lit(0), F.col("t.nb") - 1), lambda x: F.struct(F.least(x, F.col("t.blk")).alias("i"), F.greatest(x, F.col("t.blk")).alias("j")))
-    out = one.select("id", *payload, F.col("t.key").alias("key"), F.col("t.blk").alias("blk"), F.explode(each).alias("p")).select("id", *payload, "key", "blk", "p.i", "p.j")
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    out = one.select("id", *payload, F.col("t.key").alias("key"), F.col("t.blk").alias("blk"), F.explode(each).alias("p"))
+    return by_task(out.select("id", *payload, "key", "blk", "p.i", "p.j"))
+
+
+def by_task(rows: DataFrame) -> DataFrame:
+    """The rows (key, i, j, ...) of each task together, in one partition and one after the other."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+#: What is left of a task's rows once its candidates are known: (id, task, block).
+ALIVE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("blk", pa.int32())])
+ALIVE_KIND = "id long, key long, i int, j int, blk int"
+
+
+def alive(group: pa.Table, rows: np.ndarray) -> pa.RecordBatch:
+    """Those rows of a task, without their payload."""
+    some = group.select(ALIVE.names).take(pa.array(rows)).cast(ALIVE).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in some.columns], schema=ALIVE)
 
 
 def links_of(found: DataFrame) -> DataFrame:
