@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, Scratch, block_pairs, bounded, by_key, components, deal, links_of, narrow, stars, sub_batches, table
+from ._shared import ALIVE_KIND, Scratch, alive, block_pairs, bounded, by_key, by_task, components, deal, in_arrow, links_of, narrow, stars, sub_batches, table
 
 #: Bands of the index and MinHash values in each: a pair at Jaccard 0.8 shares no band with probability 3e-5.
 BANDS, ROWS = 20, 4
@@ -33,21 +33,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once; a word isn't cut, so one of more bytes than this comes alone.
+PART = 1 << 20
+
+
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as texts need them."""
+    """Powers of an odd base modulo 2**64 and of its inverse, as many as a part has bytes."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                    x = np.full(size, base, np.uint64)
-                    x[0] = 1
-                    setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        out = []
+        with np.errstate(over="ignore"):
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                x = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+                x[0] = 1
+                out.append(np.multiply.accumulate(x))
+        if n <= 2 * PART:  # those for a longer word are not kept
+            self.up, self.down = out
+        return out[0], out[1]
 
 
 _POWERS = _Powers()
@@ -67,10 +74,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(word & (np.concatenate([[True], ~word[:-1]]) | first))
     ends_mask = word & np.concatenate([~word[1:] | first[1:], [True]])
     ends = np.flatnonzero(ends_mask) + 1
-    up, down = _POWERS.to(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    hashes = _mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _M2)
+    hashes = np.empty(len(begins), np.uint64)
+    a = 0
+    while a < len(begins):  # a long text in parts that end with a word
+        b = max(a + 1, int(np.searchsorted(ends, begins[a] + PART, "right")))
+        low, high = int(begins[a]), int(ends[b - 1])
+        up, down = _POWERS.to(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+        x, y = begins[a:b] - low, ends[a:b] - low
+        hashes[a:b] = _mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64) * _M2)
+        a = b
     return hashes, np.diff(np.searchsorted(begins, at))
 
 
@@ -137,7 +151,7 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
 
 
 def _describe(width: int):
-    schema = pa.schema([("id", pa.int64()), ("exact", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    names = ["id", "exact", "h1", "h2", "n_shingles", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -148,30 +162,56 @@ def _describe(width: int):
                     sig, keys = minhash(values, n), text_keys(words, counts)
                 offsets = pa.array(np.arange(len(n) + 1) * sig.shape[1], pa.int32())
                 flat = pa.array(sig.view(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("exact"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("exact"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], names=names)
 
-    return run, "id long, exact long, h1 long, h2 long, n_shingles long, sig array<int>"
+    return run, "exact long, h1 long, h2 long, n_shingles long, sig array<int>"
 
 
-def _verify(threshold: float, tolerance: float, width: int):
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+#: Pairs whose values are compared at once.
+PAIRS = 100_000
 
-    least = {n: least_matches(threshold, tolerance, n) for n in range(STEP, BANDS * ROWS + 1, STEP)}
 
-    def prune(x: np.ndarray, y: np.ndarray, sig: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs: those whose first common band is this one and whose posterior stays over the tolerance at every step."""
-        lower = np.zeros(len(x), bool)
-        for b in range(band):
+def _candidates(group: pa.Table, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a task's rows whose first common band is this one and whose posterior stays over the tolerance at every step."""
+    least = {n: least_matches(threshold, tolerance, n) for n in range(STEP, BANDS * ROWS + 1, STEP)}
+    i, j, band = group.column("i")[0].as_py(), group.column("j")[0].as_py(), (group.column("key")[0].as_py() >> 54) & 63
+    blk = group.column("blk").to_numpy()
+    sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(blk), -1)
+    if i == j:
+        x, y = np.triu_indices(len(blk), 1)
+    else:
+        x, y = (a.ravel() for a in np.meshgrid(np.flatnonzero(blk == i), np.flatnonzero(blk == j), indexing="ij"))
+    out = [(x[:0], y[:0])]
+    for a in range(0, len(x), PAIRS):
+        u, v = x[a : a + PAIRS], y[a : a + PAIRS]
+        for b in [band, *range(band)]:
             part = slice(b * ROWS, (b + 1) * ROWS)
-            lower |= (sig[x, part] == sig[y, part]).all(axis=1)
-        same = (sig[x, band * ROWS : (band + 1) * ROWS] == sig[y, band * ROWS : (band + 1) * ROWS]).all(axis=1)
-        x, y = x[same & ~lower], y[same & ~lower]
-        met = np.zeros(len(x), np.int64)
+            stay = (sig[u, part] == sig[v, part]).all(axis=1) == (b == band)
+            u, v = u[stay], v[stay]
+        met = np.zeros(len(u), np.int64)
         for n in range(STEP, BANDS * ROWS + 1, STEP):
-            met += (sig[x, n - STEP : n] == sig[y, n - STEP : n]).sum(axis=1)
+            met += (sig[u, n - STEP : n] == sig[v, n - STEP : n]).sum(axis=1)
             stay = met >= least[n]
-            x, y, met = x[stay], y[stay], met[stay]
-        return x, y
+            u, v, met = u[stay], v[stay], met[stay]
+        out.append((u, v))
+    return np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])
+
+
+def _prune(threshold: float, tolerance: float):
+    """Of each task the rows that have a candidate there: texts are fetched for these alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, ["key", "i", "j"]):
+            if group.num_rows > 1:
+                x, y = _candidates(group, threshold, tolerance)
+                if len(x):
+                    yield alive(group, np.unique(np.concatenate([x, y])))
+
+    return run, ALIVE_KIND
+
+
+def _verify(threshold: float, tolerance: float, width: int):
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def exact(x: np.ndarray, y: np.ndarray, values: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Which of the pairs have a Jaccard of the threshold at least; text i has the distinct values edges[i]..edges[i+1]."""
@@ -198,16 +238,9 @@ def _verify(threshold: float, tolerance: float, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, ["key", "i", "j"]):
-            i, j, band = group.column("i")[0].as_py(), group.column("j")[0].as_py(), (group.column("key")[0].as_py() >> 54) & 63
-            blk = group.column("blk").to_numpy()
-            if len(blk) < 2:
+            if group.num_rows < 2:
                 continue
-            sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(blk), -1)
-            if i == j:
-                x, y = np.triu_indices(len(blk), 1)
-            else:
-                x, y = (a.ravel() for a in np.meshgrid(np.flatnonzero(blk == i), np.flatnonzero(blk == j), indexing="ij"))
-            x, y = prune(x, y, sig, band)
+            x, y = _candidates(group, threshold, tolerance)
             if not len(x):
                 continue
             used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -238,56 +271,79 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with the same words form a class; only class representatives are compared, and a class's links hold for all
     its rows. Candidates come from bands of MinHash values; every candidate pair's values are compared STEP at a time
     and the pair is dropped once the posterior probability of reaching the threshold falls below `tolerance`; the
-    rest is verified on the whole texts. Null, empty and blank texts are classes of their own: class_id and
-    component_id are their id, n_copies 1, n_links 0. A null id takes part through its text; where no row of its
-    class has an id, class_id and component_id are null, and kept is false unless ids agree. Rows that repeat an id
-    share a component. An empty table gives an empty result; other columns are ignored.
+    rest is verified on the whole texts, which are fetched for these alone. Ids may have any type that has an order.
+    Null, empty and blank texts are classes of their own: class_id and component_id are their id, n_copies 1, n_links
+    0. A null id takes part through its text: it has its class's and its links' figures, class_id and component_id
+    are null where no row of the class, or the component, has an id, and kept is false. Rows that repeat an id share
+    a component. An empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    out = _classified(docs, id_col, text_col, threshold, width, tolerance, True)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return narrow(out).select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "component_id", kept)
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, tolerance: float, by_id: bool) -> DataFrame:
+    """One row per input row: id, exact (its text's hash), class_id, n_copies, n_links, component_id, best.
+
+    best (nameless, id, exact) is the first of the component's rows: those with an id come before those without, then
+    the smallest id, then the smallest hash of a text; it is null for texts without words. With by_id rows that
+    repeat an id share a component whatever their texts.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("exact"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("exact", F.xxhash64("text"))
     run, kind = _describe(width)
-    rows = scratch.keep(texts.mapInArrow(run, kind), "signatures", wide=True)
+    rows = scratch.keep(in_arrow(texts, run, f"id {texts.dtypes[0][1]}, {kind}"), "signatures", wide=True)
     some = rows.where("n_shingles > 0")
-    classes = scratch.keep(some.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")).withColumn("key", F.xxhash64("h1", "h2")), "classes")
-    reps = some.join(classes.where("rep is not null").select("h1", "h2", "key", F.col("rep").alias("id")), ["h1", "h2", "id"]).groupBy("key", "id").agg(F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"), F.min("exact").alias("exact"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "exact")).alias("first")
+    classes = some.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n_copies"), F.min("n_shingles").alias("weight"), F.first("sig").alias("sig"))
+    classes = scratch.keep(classes.withColumn("id", F.xxhash64("h1", "h2")), "classes", each=4)
     mask = (1 << 54) - 1
     keys = F.array(*[F.lit(b << 54).bitwiseOR(F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).bitwiseAND(F.lit(mask))) for b in range(BANDS)])
-    reps = scratch.keep(reps.select(F.col("key").alias("id"), F.col("id").alias("rep"), "exact", "weight", "sig").withColumn("keys", keys), "representatives", each=4)
-    met = block_pairs(reps, 192, 500_000)
-    met = scratch.keep(met.join(reps.select("id", "sig"), "id"), "met", each=4)
-    near = bounded(met.select(F.col("id").alias("key")).join(reps.select(F.col("id").alias("key"), F.col("rep").alias("id"), "exact"), "key"), BROADCAST_ROWS // 3)
-    used = texts.join(near, ["id", "exact"]).groupBy(F.col("key").alias("id")).agg(F.min("text").alias("text"))
+    met = block_pairs(classes.select("id", "weight", keys.alias("keys")), 512, 500_000)
+    signed = classes.select("id", "sig")
+    run, kind = _prune(threshold, tolerance)
+    near = scratch.keep(in_arrow(deal(met.join(signed, "id"), ["sig"]), run, kind), "candidates", each=4)
+    wanted = bounded(near.select("id").distinct().join(classes, "id").select(F.col("id").alias("class"), F.col("first.id").alias("rep"), F.col("first.exact").alias("of")))
+    used = texts.join(wanted, (F.col("exact") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).groupBy(F.col("class").alias("id")).agg(F.min("text").alias("text"))
     run, kind = _verify(threshold, tolerance, width)
-    found = scratch.keep(links_of(deal(met.join(used, "id"), ["sig", "text"]).mapInArrow(run, kind)), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    named = some.where("id is not null").select("id", F.xxhash64("h1", "h2").alias("a"))
-    several = named.groupBy("id").agg(F.min("a").alias("b"), F.max("a").alias("hi")).where("b <> hi").select("id", "b")
-    several = named.join(bounded(several, BROADCAST_ROWS // 2), "id").select("a", "b")
-    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(several), scratch)
-    about = classes.join(links, classes.key == links.id, "left").drop("id").join(group, classes.key == group.node, "left")
-    about = about.select("h1", "h2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("root"))
-    about = about.join(about.groupBy("root").agg(F.min("rep").alias("component")), "root")
-    wordless = F.col("n_shingles") == 0
-    out = rows.select("id", "h1", "h2", "n_shingles").join(about, ["h1", "h2"], "left")
-    return narrow(out).select(
-        F.col("id").alias(id_col), F.when(wordless, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(wordless, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.when(wordless, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(wordless, F.col("id")).otherwise(F.col("component")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    found = scratch.keep(links_of(in_arrow(by_task(near.join(signed, "id").join(used, "id")), run, kind)), "links")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if by_id:
+        named = some.where("id is not null").select("id", F.xxhash64("h1", "h2").alias("a"))
+        several = named.groupBy("id").agg(F.min("a").alias("b"), F.max("a").alias("hi")).where("b <> hi").select("id", "b")
+        edges = edges.unionByName(named.join(bounded(several), "id").select("a", "b"))
+    group = components(edges, scratch)
+    about = classes.drop("sig", "weight").join(links, "id", "left").join(group, classes.id == group.node, "left").withColumn("root", F.coalesce("component", classes.id))
+    about = about.join(about.groupBy("root").agg(F.min("first").alias("best")), "root").select("h1", "h2", F.col("first.id").alias("rep"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"), "best")
+    out = rows.drop("sig").join(about, ["h1", "h2"], "left")
+    either = lambda none, other: F.when(F.col("n_shingles") == 0, none).otherwise(other)
+    return out.select(
+        "id", "exact", either(F.col("id"), F.col("rep")).alias("class_id"), either(F.lit(1), F.col("n_copies")).cast("long").alias("n_copies"),
+        either(F.lit(0), F.col("links")).cast("long").alias("n_links"), either(F.col("id"), F.col("best.id")).alias("component_id"), "best",
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest id stays, all rows without an id stay.
+    """docs without near duplicates: of each group of texts that link, one row stays.
 
-    Rows that repeat a kept id with the same text are one row afterwards.
+    That is the row with the smallest id, a row without an id only where none of the group has one; among rows of that
+    id the one whose text has the smallest hash. Rows equal in id and text are one row afterwards. Rows that share an
+    id alone are not a group, so different texts of an id all stay. Texts without words link with nothing and stay, of
+    rows equal in id and text one, without an id all. An empty table gives an empty result. Columns are those of docs,
+    whatever their names.
     """
-    groups = jaccard_join(docs, id_col, text_col, threshold, width)
-    stays = Scratch(docs.sparkSession, "kept").keep(groups.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
-    once = docs.join(bounded(stays.where("__n = 1").select(id_col)), id_col, "left_semi")
-    repeated, nameless = stays.where("__n > 1").select(id_col), docs.where(F.col(id_col).isNull())
+    groups = _classified(docs, id_col, text_col, threshold, width, 1e-5, False)
+    chosen = F.col("best").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("exact") == F.col("best.exact")))
+    stays = groups.where(chosen).groupBy("id", "exact", F.col("best").isNull().alias("wordless")).agg(F.count(F.lit(1)).alias("times"))
+    stays = Scratch(docs.sparkSession, "kept").keep(stays.select(F.col("id").alias("of_id"), F.col("exact").alias("of_text"), ((F.col("times") == 1) | (F.col("wordless") & F.col("id").isNull())).alias("all")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("exact"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("exact") == F.col("of_text"))
+    out = rows.join(bounded(stays.where("all")), same, "left_semi")
+    repeated = stays.where("not all")
     if not repeated.isEmpty():
-        once = once.unionByName(docs.join(bounded(repeated), id_col, "left_semi").dropDuplicates([id_col]))
-    return (once if nameless.isEmpty() else once.unionByName(nameless)).select(docs.columns)
+        out = out.unionByName(rows.join(bounded(repeated), same, "left_semi").dropDuplicates(["id", "exact"]))
+    return out.select("doc.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
