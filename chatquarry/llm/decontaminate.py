@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, by DataFrame functions only.
 
-Numbers, the units after them and names within sentences become typed placeholders, case and punctuation go; windows
-of the templates are joined by hash, and where the words around agree the slots' values must map consistently, so
-that a question with other numbers is caught and a chance likeness is not.
+Numbers, the units after them and names become typed placeholders, case and punctuation go; windows of the templates
+are joined by hash, and where the words around agree the slots' values must map consistently, so that a question with
+other numbers is caught and a chance likeness is not.
 """
 
 from __future__ import annotations
@@ -10,20 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, bounded, table
+from ._shared import Scratch, bounded, kind_of, table
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Units that count as slots after a number.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|mg|g|lb|oz|ml|l|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|meters?|metres?|miles?|feet|inches|grams?|pounds?|liters?|litres?"
+#: Capitalised words that are no names: those that begin sentences, questions above all.
+STARTERS = (
+    "a|about|after|all|although|an|and|any|are|as|at|because|before|both|but|by|calculate|can|compute|could|did|do|does|during|each|either|every|evaluate|explain|express|few|find|first|for|from|"
+    "given|had|has|have|he|her|here|his|how|however|i|if|in|into|is|it|its|let|list|many|more|most|my|name|next|no|not|now|of|on|once|one|only|or|our|over|prove|she|show|since|so|solve|some|"
+    "state|suppose|that|the|their|then|there|these|they|this|those|though|to|two|under|until|was|we|were|what|when|where|which|while|who|whose|why|will|with|would|write|you|your"
+)
 #: Tokens of a window, and how many of them must be words.
 WINDOW, WORDS = 8, 5
 #: Share of an item's windows that must be found, or their number.
 COVERAGE, ENOUGH = 0.5, 20
+#: Tokens that an item without a window needs to be searched within texts; a shorter one must be a whole line or sentence.
+LONG_ENOUGH = 4
 
 _EDGE = r"(?![\p{L}\p{N}])"
 _NUMBER = rf"(?<![\p{{L}}\p{{N}}])[0-9]+(?:[.,:/][0-9]+)*(?=(?:(?:{UNITS}){_EDGE})|{_EDGE})"
 _UNIT = rf"(?<=<num>)\s?(?:{UNITS}){_EDGE}"
-_NAME = r"\p{Lu}(?<=[\p{Ll},;] .)[\p{L}'’-]*"
+_CAPITALISED = rf"(?!(?i:{STARTERS}){_EDGE})\p{{Lu}}\p{{L}}*(?:['’-]\p{{L}}+)*"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITALISED}(?: {_CAPITALISED})*"
 
 
 def _steps(text: Column) -> tuple[Column, Column]:
@@ -54,33 +63,47 @@ def plain(text: Column) -> Column:
     return F.when(flat.rlike(r"[\p{L}\p{N}]"), F.split(flat, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """Hashes of all windows of a list of tokens; the list is bound once, as the lambda's argument."""
-    one = lambda t: F.when(F.size(t) >= width, F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.xxhash64(F.slice(t, i, width)))).otherwise(F.array().cast("array<bigint>"))
-    return F.get(F.transform(F.array(tokens), one), F.lit(0))
-
-
 def _word_count(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda x: ~x.isin(NUM, UNIT, NAME)))
 
 
+def _windows(tokens: Column, widths: list[int]) -> Column:
+    """All windows of a list of tokens, of every width: array<struct<h, place>>; the width is part of the hash.
+
+    The list is evaluated once, as the lambda's argument.
+    """
+
+    def of(t: Column, w: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (w - 1)), lambda i: F.struct(F.xxhash64(F.lit(w), F.slice(t, i, w)).alias("h"), i.alias("place")))
+        return F.when(F.size(t) >= w, each).otherwise(F.array().cast("array<struct<h:bigint,place:int>>"))
+
+    return F.get(F.transform(F.array(tokens), lambda t: F.concat(*[of(t, w) for w in widths])), F.lit(0))
+
+
+def _key(ident: Column, text: Column) -> Column:
+    """What names a document: its id, or its text where it has none."""
+    return F.when(ident.isNotNull(), F.concat(F.lit("i"), ident.cast("string"))).otherwise(F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def _whole(texts: DataFrame, short: DataFrame, window: int) -> DataFrame | None:
     """(doc, key) of the texts that hold all tokens of an item (key, plain) in a row, None without items.
 
-    The item's first tokens, a window at most, are joined by hash; longer items are then compared in full.
+    The item's first tokens, a window at most, are joined by hash; longer items are then compared in full, and those
+    of under LONG_ENOUGH tokens with the text's lines and sentences.
     """
     short = short.withColumn("width", F.least(F.lit(window), F.size("plain")))
-    out = None
-    for w in sorted(r[0] for r in short.select("width").distinct().collect()):
-        first = short.where(F.col("width") == w).select("key", F.xxhash64(F.slice("plain", 1, w)).alias("h"))
-        places = texts.select("doc", F.explode(F.array_distinct(_windows(plain(F.col("text")), w))).alias("h"))
-        one = places.join(bounded(first), "h").select("doc", "key").distinct()
-        if w == window:
-            joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-            longer = one.join(short.select("key", "plain"), "key").join(texts, "doc")
-            one = longer.where(F.contains(joined(plain(F.col("text"))), joined("plain"))).select("doc", "key").distinct()
-        out = one if out is None else out.unionByName(one)
-    return out
+    widths = sorted(r[0] for r in short.select("width").distinct().collect())
+    if not widths:
+        return None
+    first = short.select("key", F.xxhash64("width", F.slice("plain", F.lit(1), F.col("width"))).alias("h"))
+    hashes = F.array_distinct(F.transform(_windows(plain(F.col("text")), widths), lambda x: x.h))
+    found = texts.select("doc", F.explode(hashes).alias("h")).join(bounded(first), "h").select("doc", "key").distinct()
+    unsure = short.where((F.size("plain") >= window) | (F.size("plain") < LONG_ENOUGH)).select("key", "plain")
+    sure = found.join(bounded(unsure.select("key")), "key", "left_anti")
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    lines = F.transform(F.split("text", r"[\n\r]+|(?<=[.!?:;])\s+"), plain)
+    fits = F.when(F.size("plain") < LONG_ENOUGH, F.exists(lines, lambda t: t == F.col("plain"))).otherwise(F.contains(joined(plain(F.col("text"))), joined("plain")))
+    return sure.unionByName(found.join(bounded(unsure), "key").join(texts, "doc").where(fits).select("doc", "key").distinct())
 
 
 def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFrame, texts: DataFrame, coverage: float, enough: int) -> DataFrame:
@@ -90,8 +113,8 @@ def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFram
     found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
     found = found.join(bounded(total), "key").where(reached(F.col("found")))
     shifts = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", F.col("shift").cast("int").alias("shift"))).alias("all"))
-    tried = F.transform(F.filter("all", lambda p: reached(p.n) | (p.n == F.col("most"))), lambda p: p.shift)
-    found = scratch.keep(found.join(shifts, ["doc", "key"]).select("doc", "key", "found", "windows", tried.alias("shifts")), "found")
+    tried = F.filter("all", lambda p: reached(p.n) | (p.n == F.col("most")))
+    found = scratch.keep(found.join(shifts, ["doc", "key"]).select("doc", "key", "found", "windows", (F.col("most") == F.col("windows")).alias("entire"), tried.alias("shifts")), "found")
     slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
     asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
     places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
@@ -105,32 +128,19 @@ def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFram
         return F.array_distinct(values)
 
     kinds = (("num", NUM), ("unit", UNIT), ("name", NAME))
-    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s).alias(kind) for kind, mark in kinds])))
+    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s.shift).alias(kind) for kind, mark in kinds], (s.n == F.col("windows")).alias("entire"))))
     consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
     same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
     fits = F.exists("maps", lambda m: consistent(m.num) & consistent(m.unit) & consistent(m["name"]))
-    judged = pairs.select("doc", "key", fits.alias("fits"), F.exists("maps", lambda m: same(m.num) & same(m.unit) & same(m["name"])).alias("same"))
+    equal = F.exists("maps", lambda m: m.entire & same(m.num) & same(m.unit) & same(m["name"]))
+    judged = pairs.select("doc", "key", fits.alias("fits"), equal.alias("same"))
     judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
     out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
-    return out.select("doc", "key", "found", "windows", F.coalesce("same", F.lit(True)).alias("verbatim"))
-
+    return out.select("doc", "key", "found", "windows", F.coalesce("same", "entire").alias("verbatim"))
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, words: int = WORDS, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
-    """(doc, item, found, windows, verbatim) for every document that holds an item, as it is or with other slots.
 
-    An item is held if `coverage` of its windows (or `enough` of them) are found in the document's template and the
-    slots of a place map consistently: equal values of the item to equal values of the document, for numbers, units
-    and names apart. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
-    the most windows. Windows of fewer than `words` words don't count. An item of fewer
-    tokens than a window is one window of its own length, if it has `words` words. An item without a window that counts
-    is held where all its words, numbers and operators stand in a row as they are: so few words are no evidence of
-    a copy with other slots. Only items without a letter or digit are not searched.
-    verbatim says that all slots are equal. Null and empty texts hold nothing; documents that repeat an id count together.
-    Every distinct text of the items is searched by itself and mapped back to its ids at the end, so rows that repeat
-    count once; an item of several texts is held if one of them is, and has the figures of the one found most. Each text
-    without an id is an item of its own, whose row has a null item.
-    Items go to all executors if their windows are few enough, counted; else the windows are joined by a shuffle.
-    """
+def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, words: int, coverage: float, enough: int) -> DataFrame:
+    """matches() with a document's key in place of its id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
     given = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
@@ -140,46 +150,84 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     width = F.least(F.lit(window), F.size("tokens"))
     whole = bench.select("key", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
     whole = whole.select("key", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
-    known = scratch.keep(whole.select("key", "width", "at", F.xxhash64("part").alias("h")), "windows")
+    known = scratch.keep(whole.select("key", "width", "at", F.xxhash64("width", "part").alias("h")), "windows")
     total = known.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
+    texts = docs.select(_key(F.col(id_col), F.col(text_col).cast("string")).alias("doc"), F.col(text_col).cast("string").alias("text"))
     short = every.where(F.size("plain") > 0).join(total, "key", "left_anti")
     exact = _whole(texts, short.select("key", "plain"), window)
-    hits = None
-    for w in sorted(r[0] for r in known.select("width").distinct().collect()):  # the window, and the lengths of shorter items
-        places = texts.select("doc", F.posexplode(_windows(template(F.col("text")), w)).alias("place", "h"))
-        one = places.join(bounded(known.where(F.col("width") == w)), "h").select("doc", "key", "at", (F.col("place") - F.col("at")).alias("shift"))
-        hits = one if hits is None else hits.unionByName(one)
-    out = _judged(scratch, hits, total, bench, texts, coverage, enough) if hits is not None else None
+    out = None
+    widths = sorted(r[0] for r in known.select("width").distinct().collect())  # the window, and the lengths of shorter items
+    if widths:
+        places = texts.select("doc", F.explode(_windows(template(F.col("text")), widths)).alias("w")).select("doc", F.col("w.h").alias("h"), F.col("w.place").alias("place"))
+        hits = places.join(bounded(known.select("key", "at", "h")), "h").select("doc", "key", "at", (F.col("place") - 1 - F.col("at")).alias("shift"))
+        out = _judged(scratch, hits, total, bench, texts, coverage, enough)
     if exact is not None:
         one = F.lit(1).cast("long")
         exact = scratch.keep(exact.select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim")), "whole")
         out = exact if out is None else out.unionByName(exact)
     if out is None:
-        return spark.createDataFrame([], "doc long, item long, found long, windows long, verbatim boolean")
+        return given.where("false").select(F.lit("").alias("doc"), "item", F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("windows"), F.lit(True).alias("verbatim"))
     out = out.join(bounded(given.join(every, "text").select("key", "item")), "key")
     most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
     out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))
     return out.select("doc", "item", "most.found", "most.windows", "verbatim")
 
 
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, words: int = WORDS, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
+    """(doc, text_md5, item, found, windows, verbatim) for every document that holds an item, as it is or with other slots.
+
+    An item is held if `coverage` of its windows (or `enough` of them) are found in the document's template and the
+    slots of a place map consistently: equal values of the item to equal values of the document, for numbers, units
+    and names apart. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
+    the most windows. Windows of fewer than `words` words don't count. An item of fewer tokens than a window is one
+    window of its own length, if it has `words` words. An item without a window that counts is held where all its
+    words, numbers and operators stand in a row as they are: so few words are no evidence of a copy with other slots.
+    One of under LONG_ENOUGH of these must be a whole line or sentence of the document, since a word or two say
+    nothing within one. Only items without a letter or digit are not searched.
+    verbatim says that at one place all windows are found and all slots are equal. Null and empty texts hold nothing;
+    documents that repeat an id count together, each text without an id is a document of its own: its row has a null
+    doc and the text's MD5, which is null for the others. Ids may have any type.
+    Every distinct text of the items is searched by itself and mapped back to its ids at the end, so rows that repeat
+    count once; an item of several texts is held if one of them is, and has the figures of the one found most. Each
+    item text without an id is an item of its own, whose row has a null item. An empty table on either side gives no
+    rows; other columns are ignored, whatever their names.
+    Items go to all executors if their windows are few enough, measured; else the windows are joined by a shuffle.
+    """
+    found = _matches(docs, items, id_col, text_col, item_col, item_text_col, window, words, coverage, enough)
+    nameless = F.startswith("doc", F.lit("t"))
+    of = F.when(~nameless, F.substr("doc", F.lit(2))).cast(kind_of(docs, id_col)).alias("doc")
+    return found.select(of, F.when(nameless, F.substr("doc", F.lit(2))).alias("text_md5"), "item", "found", "windows", "verbatim")
+
+
+def _options(options: dict) -> dict:
+    return dict(text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, words=WORDS, coverage=COVERAGE, enough=ENOUGH) | options
+
+
 def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per document id: id_col, contaminated boolean, n_items long, item_ids array<long>, verbatim boolean.
+    """One row per document: id_col, contaminated boolean, n_items long, item_ids array, verbatim boolean.
 
-    See matches(). verbatim is false where every item found has other slots, null where none is found. Items without
-    an id count in n_items and have no entry in item_ids. A null id has a row and is not contaminated.
+    See matches(). verbatim is false where no item found stands there as it is, null where none is found. Items
+    without an id count in n_items and have no entry in item_ids. A document without an id is judged by its text.
     """
-    found = matches(docs, items, id_col, **options)
+    options = _options(options)
+    found = _matches(docs, items, id_col, **options)
     about = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.bool_or("verbatim").alias("verbatim"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc"))
-    out = ids.join(bounded(about, 200_000), "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "verbatim")
+    rows = docs.select(F.col(id_col).alias("id"), _key(F.col(id_col), F.col(options["text_col"]).cast("string")).alias("doc"))
+    out = rows.join(bounded(about), "doc", "left")
+    none = F.array().cast(f"array<{kind_of(items, options['item_col'])}>")
+    return out.select(F.col("id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), "verbatim")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item; rows without an id stay."""
-    found = matches(docs, items, id_col, **options).select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(bounded(found), id_col, "left_anti").select(docs.columns)
+    """docs without the documents that hold an item, those without an id by their texts; see matches().
+
+    All rows of an id go with it; null and empty texts, and rows that repeat, stay unless their document is held. An
+    empty table of items leaves docs as it is. Columns are those of docs, whatever their names.
+    """
+    options = _options(options)
+    found = _matches(docs, items, id_col, **options).select(F.col("doc").alias("held")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _key(F.col(id_col), F.col(options["text_col"]).cast("string")).alias("key"))
+    return rows.join(bounded(found), F.col("key") == F.col("held"), "left_anti").select("doc.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
