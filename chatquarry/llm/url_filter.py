@@ -1,8 +1,8 @@
 """URL filters by a path-template tree, by DataFrame functions only.
 
 Of every host the paths form a tree of segments. Segments of a variable form, and rare ones among many siblings,
-become wildcards; sibling branches whose labelled rates don't differ become one; a template is rejected when the
-smoothed share of bad ones among its labelled urls is high. Explicit rules come before templates.
+become wildcards; sibling branches whose labelled rates don't differ become one, and so do unlabelled siblings of the
+same structure; a template is rejected when the smoothed share of bad ones among its labelled urls is high. Explicit rules come before templates.
 """
 
 from __future__ import annotations
@@ -51,9 +51,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     """Judges every url: id_col, host, path, rule string, verdict string, template string, purity double.
 
     rule is the longest fitting rule's host and path, else null; verdict (allow or block) is the rule's, else the
-    template's. Labels of the tree are bad_col (boolean, null: none), where it is given and set, else the rules'
+    template's. A branch without labels joins its siblings' wildcard if what follows it is the same set of paths as
+    follows one that is labelled and in it. Labels of the tree are bad_col (boolean, null: none), where it is given and set, else the rules'
     verdicts. template and purity are those of the url's branch; a branch without labels has the prior's purity and
-    is allowed. The tree goes as deep as the paths of a host differ. Null urls and those without :// have empty host and path and no rule. Each row is judged alone, so
+    is allowed. The tree goes as deep as the paths of a host differ. Null urls and those without :// have empty host and path and no rule; ids may have any type. Each row is judged alone, so
     rows that repeat have equal results; an empty table gives an empty result; other columns are ignored. `rules` is
     a list in the plan, for hundreds of rules at most.
     """
@@ -73,13 +74,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
         at = at.where("fork > 0").withColumns({"node": F.concat("node", F.slice("rest", 1, F.col("fork") - 1)), "rest": F.slice("rest", F.col("fork"), F.size("rest"))})
         at = at.withColumn("s", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
         above = ["host", "node"]
-        kids = at.groupBy(*above, "s").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"))
+        tail = F.array_join(F.slice("rest", 2, F.size("rest")), "/").alias("tail")
+        tails = at.groupBy(*above, "s", tail).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
+        form = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tail")).alias("a"), F.bit_xor(F.xxhash64("tail", F.lit(7))).alias("b"))
+        kids = tails.groupBy(*above, "s").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"), form.alias("form"))
         all_ = kids.groupBy(*above).agg(F.count(F.lit(1)).alias("many"), F.sum("kn").alias("an"), F.sum("kl").alias("al"), F.sum("kb").alias("ab"))
         rate = (F.col("ab") + 1) / (F.col("al") + 2)
         rare = (F.col("many") > SIBLINGS) & (F.col("kn") < SHARE * F.col("an"))
         alike = (F.col("kl") > 0) & (F.col("kl") < F.col("al")) & (F.abs(F.try_divide(F.col("kb"), F.col("kl")) - rate) <= SIMILAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("kl"))))
-        named = F.when(rare | F.coalesce(alike, F.lit(False)), F.lit("*")).otherwise(F.col("s"))
-        kids = kids.join(all_, above).select(*above, "s", named.alias("t"))
+        kids = scratch.keep(kids.join(all_, above).select(*above, "s", "form", (F.col("kl") == 0).alias("bare"), rare.alias("rare"), F.coalesce(alike, F.lit(False)).alias("alike")), "kids")
+        forms = kids.where("alike and s <> ''").select(*above, "form").distinct().withColumn("known", F.lit(True))
+        kids = kids.join(bounded(forms), [*above, "form"], "left")
+        named = F.when(F.col("rare") | F.col("alike") | (F.col("bare") & F.col("known").isNotNull()), F.lit("*")).otherwise(F.col("s"))
+        kids = kids.select(*above, "s", named.alias("t"))
         below = F.when(F.col("s") == "", F.col("node")).otherwise(F.concat("node", F.array("t")))
         at = scratch.keep(at.join(kids, [*above, "s"]).select("host", "segs", "n", "lab", "bad", "s", below.alias("node"), F.slice("rest", 2, F.size("rest")).alias("rest")), "level")
         tree = tree.unionByName(at.where("s = ''").select("host", "segs", "node", "lab", "bad"))
@@ -89,7 +96,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     templates = templates.withColumn("purity", purity).withColumn("reject", (F.col("purity") >= REJECT) & (F.col("lab") >= LEAST))
     text = F.concat(F.lit("/"), F.array_join("node", "/"))
     known = tree.select("host", "segs", "node").join(templates, ["host", "node"]).select("host", "segs", text.alias("template"), "purity", "reject")
-    out = rows.join(bounded(known, 100_000), ["host", "segs"], "left")
+    out = rows.join(bounded(known), ["host", "segs"], "left")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
@@ -103,6 +110,7 @@ def _sql() -> str:
     fits = [f"case when (host = {quote(h)} or ends_with(host, {quote('.' + h)})) and starts_with(path, {quote(p)}) then {{'size': {len(h + p)}, 'blocks': {str(v == 'block').lower()}, 'rule': {quote(h + p)}, 'verdict': {quote(v)}}} end" for v, h, p in RULES]
     seg = lambda x: f"case when regexp_full_match({x}, '[0-9]+(\\.[a-z]+)?') then '{{n}}' when regexp_full_match({x}, '[0-9a-fA-F-]{{8,}}') then '{{x}}' when regexp_matches({x}, '[0-9]') then '{{v}}' else coalesce({x}, '') end"
     names = [f"s{k}" for k in range(DEPTH)]
+    tails = [f"array_to_string(list_filter([{', '.join(names[k + 1 :])}]::varchar[], lambda x: x <> ''), '/')" for k in range(DEPTH)]
     sql = f"""
 with p as (select page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
@@ -115,11 +123,12 @@ tree0 as (select host, {", ".join(names)}, count(*) as n, count(bad) as lab, cou
     for k in range(DEPTH):
         above = ", ".join(["host", *[f"t{j}" for j in range(k)]])
         sql += f""",
-kids{k} as (select {above}, s{k}, sum(n) as kn, sum(lab) as kl, sum(bad) as kb from tree{k} group by all),
+kids{k} as (select {above}, s{k}, sum(n) as kn, sum(lab) as kl, sum(bad) as kb, string_agg(distinct {tails[k]}, chr(1) order by {tails[k]}) as form from tree{k} group by {above}, s{k}),
 all{k} as (select {above}, count(*) as many, sum(kn) as an, sum(kl) as al, sum(kb) as ab, (sum(kb) + 1)::double / (sum(kl) + 2) as rate from kids{k} group by all),
-named{k} as (select {above}, s{k}, case when s{k} = '' then '' when many > {SIBLINGS} and kn < {SHARE} * an then '*'
-    when kl > 0 and kl < al and abs(kb::double / nullif(kl, 0) - rate) <= {SIMILAR} * sqrt(rate * (1 - rate) / nullif(kl, 0)) then '*' else s{k} end as t{k}
-    from kids{k} join all{k} using ({above})),
+judged{k} as (select *, coalesce(kl > 0 and kl < al and abs(kb::double / nullif(kl, 0) - rate) <= {SIMILAR} * sqrt(rate * (1 - rate) / nullif(kl, 0)), false) as alike from kids{k} join all{k} using ({above})),
+forms{k} as (select distinct {above}, form, true as known from judged{k} where alike and s{k} <> ''),
+named{k} as (select {above}, s{k}, case when s{k} = '' then '' when many > {SIBLINGS} and kn < {SHARE} * an or alike or kl = 0 and known then '*' else s{k} end as t{k}
+    from judged{k} left join forms{k} using ({above}, form)),
 tree{k + 1} as (select * from tree{k} join named{k} using ({above}, s{k}))"""
     ts = ", ".join(f"t{k}" for k in range(DEPTH))
     return f"""{sql},
