@@ -14,35 +14,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, bounded, crc_of, hash_order, sub_batches, table
+from ._shared import Scratch, bounded, crc_of, hash_order, in_arrow, kind_of, sub_batches, table
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁѵɡαορνικτυтвнкм", "aeopcyxijshdvgaopviktutbhkm", strict=True))
-#: Digits and signs that stand for letters where they touch a letter.
+#: Digits and signs that stand for letters, alone or in a run, where they touch a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-#: Phrases in which a term of the lexicon is harmless.
+#: Phrases in which a term of the lexicon is harmless, besides those that learn() finds.
 EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "trash bag", "sore loser")
 
-
-def _table() -> dict[int, str]:
-    out = {ord(k): v for k, v in HOMOGLYPHS.items()}
-    for c in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(c).lower())[0]
-        if base.isascii() and base.isalpha():
-            out[c] = base
-    out |= {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
-    out |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    return out
-
-
-FOLD = _table()
-_SUBSTITUTED = re.compile(r"(?<=[a-z])[0134578@$]|[0134578@$](?=[a-z])")
+FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord("ı"): "i", ord("ł"): "l", ord("ø"): "o", ord("đ"): "d"} | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
+_RUN, _DIGITS = re.compile(r"(?<=[a-z])[0134578@$]+|[0134578@$]+(?=[a-z])"), str.maketrans(SUBSTITUTES)
+#: Three letters or more, each by itself with a dot, a star or the like between.
+_SPACED = re.compile(r"(?<![^\W_])[a-z](?:[.*_\-][a-z]){2,}(?![^\W_])")
+_MARKS = re.compile(r"[.*_\-]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
-    """Lower case without accents, homoglyphs as Latin letters, digit substitutions undone, zero-width signs gone."""
-    return _SUBSTITUTED.sub(lambda m: SUBSTITUTES[m[0]], text.lower().translate(FOLD))
+    """Lower case without accents, homoglyphs and styled letters as Latin ones, digit substitutions undone, letters set
+    apart by dots together, zero-width and combining signs gone."""
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).lower().translate(FOLD)
+        if not text.isascii():
+            text = "".join(c for c in text if not unicodedata.combining(c))
+    text = _RUN.sub(lambda m: m[0].translate(_DIGITS), text)
+    return _SPACED.sub(lambda m: _MARKS.sub("", m[0]), text)
 
 
 @dataclass
@@ -68,7 +66,7 @@ def _count(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, "text", 200_000)):
             clean: Counter = Counter()
             rows = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -93,20 +91,29 @@ def _count(lengths: tuple[int, ...]):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """(text, toxic) of at most `most` labelled rows with distinct texts, those with the smallest hashes."""
+    """(text, toxic) of at most `most` labelled rows with distinct texts, those with the smallest hashes.
+
+    A text or an id that is labelled both ways is toxic; labels other than 0 and 1, nulls included, and rows without
+    an id don't count. Null texts are one row, as all equal texts are. Empty tables give none; other columns are
+    ignored, whatever their names. Ids may have any type.
+    """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded(rows.orderBy(hash_order("doc_id", seed=seed), "doc_id").limit(most), most)
     return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def learn(rows: DataFrame, min_docs: int = 3, min_share: float = 0.01, min_z: float = 3.0, least_odds: float = 2.7, most_terms: int = 5000, lengths: tuple[int, ...] = (4, 5, 6, 7), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(rows: DataFrame, min_docs: int = 3, min_share: float = 0.01, min_z: float = 3.0, least_odds: float = 2.7, most_terms: int = 5000, most_weight: float = 10.0, min_excused: int = 5, lengths: tuple[int, ...] = (4, 5, 6, 7), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from rows (text, toxic), a bounded sample.
 
     A term's toxic support is the number of its distinct contexts (the words beside it), so that words shared by
     copies of one text don't count as evidence; it is held against its occurrences in clean texts. Terms in `min_docs`
     texts (and `min_share` of the toxic ones) and twice as many contexts, with a log odds ratio and a z value of the
-    given size, are candidates; of a word and its beginnings the longest is kept that loses no more
-    than a tenth of the support.
+    given size, are candidates, the `most_terms` with the largest z; of a word and its beginnings the longest is kept
+    that loses no more than a tenth of the support. A term's weight is its log odds ratio, `most_weight` at most, so
+    that a term no clean text holds doesn't outweigh all others. A word beside a hit makes an exception phrase if it
+    stands there in `min_excused` distinct contexts of clean texts and in no toxic one.
+    Null and empty texts hold no terms; long ones are read whole, in parts. Without rows of both labels, as with an
+    empty table, the lexicon is empty.
     """
     scratch = Scratch(rows.sparkSession, "toxicity")
     rows = scratch.keep(rows.repartition(12), "labelled")
@@ -115,7 +122,7 @@ def learn(rows: DataFrame, min_docs: int = 3, min_share: float = 0.01, min_z: fl
     if not toxic or not clean:
         return Lexicon(exceptions=exceptions)
     run, kind = _count(lengths)
-    counted = scratch.keep(rows.mapInArrow(run, kind), "terms")
+    counted = scratch.keep(in_arrow(rows, run, kind), "terms")
     bad = counted.where("doc is not null").groupBy("term").agg(F.countDistinct("doc").alias("docs"), F.countDistinct("context").alias("a"))
     good = counted.where("doc is null").groupBy("term").agg(F.sum("n").alias("b"))
     both = scratch.keep(bad.join(good, "term", "left").select("term", "docs", "a", F.coalesce("b", F.lit(0)).alias("b")), "counts")
@@ -136,15 +143,39 @@ def learn(rows: DataFrame, min_docs: int = 3, min_share: float = 0.01, min_z: fl
         shorter = [f"^{stem[:k]}" for k in lengths if k < len(stem) + term.endswith("$")]
         if any(t in support and support[t][0] * 0.9 > a for t in shorter):
             continue
-        weights[term] = round(min(w, 10.0), 6)
-    lexicon = Lexicon(weights, exceptions=exceptions)
-    scan, kind = _scan(lexicon)
-    seen = rows.select(F.lit(0).cast("long").alias("id"), "text", "toxic").mapInArrow(_with_label(scan), "hits double, words long, toxic int")
+        weights[term] = round(min(w, most_weight), 6)
+    beside = in_arrow(rows, _beside(weights), "phrase string, context long, toxic int").groupBy("phrase").agg(F.countDistinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("a"), F.max("toxic").alias("b"))
+    excused = [r.phrase for r in beside.where((F.col("a") >= min_excused) & (F.col("b") == 0)).orderBy(F.desc("a"), "phrase").limit(most_terms).collect()]
+    lexicon = Lexicon(weights, exceptions=tuple(dict.fromkeys((*exceptions, *excused))))
+    scan = _scan(lexicon)
+    seen = in_arrow(rows.select("text", "toxic"), _with_label(scan), "hits double, words long, toxic int")
     data = np.array([(r.hits, r.words, r.toxic) for r in seen.collect()], np.float64)  # as many rows as the sample
     lexicon.coefficients = _fit(_features(data[:, 0], data[:, 1]), data[:, 2])
     return lexicon
 
 
+def _beside(weights: dict[str, float]):
+    """Of each hit of a term in a text, the phrases with the word before and after it, and their wider context."""
+    schema = pa.schema([("phrase", pa.string()), ("context", pa.int64()), ("toxic", pa.int32())])
+    entire, starts = {t[1:-1] for t in weights if t.endswith("$")}, {t[1:] for t in weights if not t.endswith("$")}
+    sizes = sorted({len(t) for t in starts})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in (part for whole in batches for part in sub_batches(whole, "text", 200_000)):
+            rows = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = _WORD.findall(fold(text or ""))
+                for k, word in enumerate(words):
+                    if word in entire or any(word[:n] in starts for n in sizes):
+                        context = xxhash.xxh64_intdigest(" ".join(words[max(0, k - 3) : k + 4])) >> 1
+                        rows |= {(" ".join(words[a : a + 2]), context, toxic) for a in (k - 1, k) if 0 <= a < len(words) - 1}
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), schema)], schema=schema)
+
+    return run
+
+
 def _features(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Of the sum of weights and the number of words: 1, log of the sum, log of the sum by 100 words."""
     return np.column_stack([np.ones(len(hits)), np.log1p(hits), np.log1p(100 * hits / (words + 20))])
@@ -207,7 +238,7 @@ def _scan(lexicon: Lexicon, text_col: str = "text"):
                     out[k, :2] = sum(best.values()), len(best)
                 yield batch, out
 
-    return run, None
+    return run
 
 
 def _with_label(scan):
@@ -224,31 +255,35 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     """Scores every whole text: id_col, score double (0 to 1), predicted int (score >= 0.5), n_hits long, density double.
 
     Null and empty texts have no hits and get the score of a text without hits. density is the sum of weights by 100
-    words. With an empty lexicon every score is that of no hits.
+    words. With an empty lexicon every score is that of no hits. Ids may have any type, null too; rows that repeat have
+    equal scores, very long texts are scored whole, an empty table gives an empty result, other columns are ignored.
     """
-    scan, _ = _scan(lexicon)
+    scan = _scan(lexicon)
     coefficients = np.array(lexicon.coefficients)
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_hits", pa.int64()), ("density", pa.float64())])
+    names = ["id", "score", "predicted", "n_hits", "density"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out in scan(batches):
             p = 1 / (1 + np.exp(-np.clip(_features(out[:, 0], out[:, 2]) @ coefficients, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(out[:, 1].astype(np.int64)), pa.array(100 * out[:, 0] / (out[:, 2] + 20))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(out[:, 1].astype(np.int64)), pa.array(100 * out[:, 0] / (out[:, 2] + 20))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int, n_hits long, density double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(rows, run, f"id {kind_of(docs, id_col)}, score double, predicted int, n_hits long, density double").withColumnRenamed("id", id_col)
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score() predicts 0 for, with all their columns, in one pass."""
-    scan, _ = _scan(lexicon, text_col)
+    """The rows of docs that score() predicts 0 for, with all their columns, in one pass.
+
+    Each row is judged by its text alone, null and empty ones as a text without hits; columns may have any names.
+    """
+    scan = _scan(lexicon, text_col)
     coefficients = np.array(lexicon.coefficients)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out in scan(batches):
             yield batch.filter(pa.array(_features(out[:, 0], out[:, 2]) @ coefficients < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 #: Labelled rows that a lexicon is learned from, at most.
