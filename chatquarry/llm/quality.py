@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded, crc_of, hash_order, sub_batches, table
+from ._shared import bounded, crc_of, hash_order, in_arrow, kind_of, sub_batches, table
 
 #: Bits of the hashed features: words, shapes of words, pairs of shapes (a word said twice running is one of these).
 WORD_BITS, SHAPE_BITS, PAIR_BITS = 13, 11, 12
@@ -83,7 +83,11 @@ class Grader:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """(text, grade) of at most `most` rated rows, those with the smallest hashes; a row with two ratings has the lower."""
+    """(text, grade) of at most `most` rated rows, those with the smallest hashes.
+
+    A text or an id with two ratings has the lower; null ratings and rows without an id don't count. Null texts are one
+    row, as all equal texts are. Empty tables give none; other columns are ignored. Ids may have any type.
+    """
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("grade"))
     chosen = bounded(rows.orderBy(hash_order("doc_id", seed=seed), "doc_id").limit(most), most)
     return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("text").agg(F.min("grade").alias("grade"))
@@ -138,9 +142,13 @@ def fit(indices: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
 
 
 def learn(rows: DataFrame) -> Grader:
-    """A grader from rows (text, grade), a bounded sample: its hashed features, at most WIDTH a text, go to the driver."""
+    """A grader from rows (text, grade), a bounded sample: its hashed features, at most WIDTH a text, go to the driver.
+
+    Null and empty texts have no features and count for the thresholds alone. Without rows, or with one grade, all
+    texts have the only grade (0 without rows).
+    """
     run, kind = _sparse()
-    found = rows.repartition(24).mapInArrow(run, kind).toArrow()
+    found = in_arrow(rows.repartition(24), run, kind).toArrow()
     indices, values = ([np.asarray(x.values) for x in found.column(c)] for c in ("index", "value"))
     grades = found.column("grade").to_numpy()
     order = sorted(range(len(grades)), key=lambda i: (grades[i], len(indices[i]), indices[i].tobytes()))  # the rows come in any order
@@ -155,9 +163,10 @@ def _score(grader: Grader, at_least: int | None):
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             index, counts = features(texts)
-        ends = np.concatenate([[0], np.cumsum(weights[index].sum(axis=1))])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        f = (ends[edges[1:]] - ends[edges[:-1]]) / np.maximum(counts, 1)
+        some = counts > 0
+        f = np.zeros(len(counts))
+        if some.any():  # each text's sum by itself, so that it doesn't depend on its neighbours
+            f[some] = np.add.reduceat(weights[index].sum(axis=1), (np.cumsum(counts) - counts)[some]) / counts[some]
         below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - f[:, None], -35, 35)))
         p = np.diff(np.concatenate([np.zeros((len(f), 1)), below, np.ones((len(f), 1))], axis=1), axis=1)
         return p @ grades, p[:, grades >= least].sum(axis=1)
@@ -170,23 +179,28 @@ def grade(docs: DataFrame, grader: Grader, at_least: int | None = None, select:
 
     tail is P(grade >= at_least), by default the second lowest grade; keep is tail >= select. Texts that are null or
     have no words get the grade that the thresholds alone give. With fewer than two grades learned, expected_grade is
-    the only one, tail 1 and all are kept.
+    the only one, tail 1 and all are kept. Ids may have any type, null too; a text's grade follows from it alone, so
+    rows that repeat have equal grades on any partitioning; very long texts are graded whole, an empty table gives an
+    empty result, other columns are ignored.
     """
     score = _score(grader, at_least)
-    schema = pa.schema([("id", pa.int64()), ("expected_grade", pa.float64()), ("tail", pa.float64()), ("keep", pa.bool_())])
+    names = ["id", "expected_grade", "tail", "keep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sub_batches(whole, "text"):
                 expected, tail = score(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(expected), pa.array(tail), pa.array(tail >= select)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(expected), pa.array(tail), pa.array(tail >= select)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, expected_grade double, tail double, keep boolean").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(rows, run, f"id {kind_of(docs, id_col)}, expected_grade double, tail double, keep boolean").withColumnRenamed("id", id_col)
 
 
 def select(docs: DataFrame, grader: Grader, at_least: int | None = None, select: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that grade() would keep, with all their columns, in one pass."""
+    """The rows of docs that grade() would keep, with all their columns, in one pass.
+
+    Each row is judged by its text alone, null and empty ones by the thresholds; columns may have any names.
+    """
     score = _score(grader, at_least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +208,7 @@ def select(docs: DataFrame, grader: Grader, at_least: int | None = None, select:
             for batch in sub_batches(whole, text_col):
                 yield batch.filter(pa.array(score(batch.column(text_col))[1] >= select))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 #: Rated rows that a grader is learned from, at most, and the tail probability at which a document is selected.
