@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import bounded, crc_of, hash_order, sub_batches, table
+from ._shared import crc_of, hash_order, in_arrow, kind_of, sub_batches, table
 
 UNKNOWN = "und"
+#: Languages that are learned, at most; each has a dictionary in every worker, so more are an error.
+MOST_LANGUAGES = 500
 #: Bytes that are compressed at once, and zstandard's level; below about 6 it finds no matches of three bytes.
 BLOCK, LEVEL = 2048, 12
 
@@ -23,11 +25,15 @@ def learn(texts: DataFrame, docs_each: int = 400, dictionary_bytes: int = 32_000
 
     The sample is bounded: of each language the `docs_each` distinct texts with the smallest hashes, `chars_each`
     characters from the middle of each, `dictionary_bytes` in all. Texts that the first dictionaries give to another
-    language are left out of the second ones, so that mislabelled texts don't count.
+    language are left out of the second ones, so that mislabelled texts don't count. Null languages, null and empty
+    texts and those without a letter don't count; equal texts of a language count once, of several languages in each.
+    More than MOST_LANGUAGES languages are an error; an empty table teaches none.
     """
     rows = texts.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()
-    rows = rows.join(bounded(counts, 10_000), "lang")
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"there are more than {MOST_LANGUAGES} languages")
+    rows = rows.join(F.broadcast(counts), "lang")
     share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     rows = rows.where(share < F.lit(6.0 * docs_each) / F.col("count"))  # one group's copies share a hash, hence the slack
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars_each) / 2).cast("int"))
@@ -70,7 +76,7 @@ def _coders(dictionaries: dict[str, bytes], level: int, block: int) -> tuple[lis
 
 
 def _classify(dictionaries: dict[str, bytes], margin: float, block: int, level: int):
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "margin": pa.float64(), "rejected": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, coders = _coders(dictionaries, level, block)
@@ -92,9 +98,9 @@ def _classify(dictionaries: dict[str, bytes], margin: float, block: int, level:
                     odds = np.exp(-(size - best) / (0.01 * best + 1.0))
                     out.append((names[order[0]], float(1 / odds.sum()), float(gap), bool(gap < margin)))
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds.values()))], names=["id", *kinds])
 
-    return run, "id long, lang_pred string, score double, margin double, rejected boolean"
+    return run, "lang_pred string, score double, margin double, rejected boolean"
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01, block: int = BLOCK, level: int = LEVEL) -> DataFrame:
@@ -103,11 +109,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     A text is cut into blocks of `block` bytes; every block is compressed with every language's dictionary and the
     language with the smallest sum wins, ties by name. score (0 to 1) weighs the sizes against each other; margin is
     by how much the second is larger, and rejected is true where that is below `margin`. Texts that are null or
-    have no letter are `und` with score 0 and rejected, as all are where no language was learned.
+    have no letter are `und` with score 0 and rejected, as all are where no language was learned. Ids may have any type,
+    null too; rows that repeat have equal results, very long texts are read whole, an empty table gives an empty
+    result, other columns are ignored.
     """
     run, kind = _classify(dictionaries, margin, block, level)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(rows, run, f"id {kind_of(docs, id_col)}, {kind}").withColumnRenamed("id", id_col)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
