@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
+#: Stands for a part that is no text until its placeholder is known; escaped texts can't hold it.
+PART_MARK = "<|part|>"
 #: Strings that texts must not hold as they are: this template's own begin with the first, the rest are other templates'.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: One content part; only the fields of its type are set.
@@ -57,24 +59,28 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     formatted is TURN role SAYS content END for each turn, in order of turn_col (null first), then role and content;
     rows that repeat are turns of their own. loss has the start (from 1) and length, in code points of formatted, of
     each loss_role content. attachments is array<struct<position, turn, type, ref, tokens>> in order; the part stands
-    in formatted as `<|type:position|>`. Null roles, texts and lists of parts are empty; a part of another type than
-    text, image, audio or document, or null, is an attachment without tokens. A null conversation id is an id. Other
-    columns are ignored. A conversation becomes one row, whatever its size.
+    in formatted as `<|type:position|>`; types are escaped like texts. Null roles, texts and lists of parts are empty; a part of another type than
+    text, image, audio or document, or null, is an attachment without tokens. A null conversation id is an id, so all
+    rows without one are one conversation. A conversation becomes one row, whatever its size, and its turns meet in
+    one task. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     is_text = lambda p: F.coalesce(p.type == "text", F.lit(False))
     rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>")).alias("parts"))
     rows = rows.withColumn("joined", F.array_join(F.transform("parts", lambda p: F.coalesce(p.text, p.ref, F.lit(""))), "\n"))
     order = W.partitionBy("c").orderBy("t", "role", "joined")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    files = F.size(F.filter("parts", lambda p: ~is_text(p)))
-    rows = rows.withColumn("seen", F.coalesce(F.sum(files).over(before), F.lit(0)))
-    place = lambda i: F.col("seen") + F.size(F.filter(F.slice("parts", 1, i), lambda q: ~is_text(q)))
-    one = lambda p, i: F.when(is_text(p), escape(p.text)).otherwise(F.concat(F.lit("<|"), F.coalesce(p.type, F.lit("")), F.lit(":"), place(i).cast("string"), F.lit("|>")))
+    rows = rows.withColumn("files", F.filter("parts", lambda p: ~is_text(p)))
+    rows = rows.withColumn("seen", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))
+    place = lambda i: (F.col("seen") + i).cast("string")
+    marker = lambda p, i: F.concat(F.lit("<|"), escape(p.type), F.lit(":"), place(i), F.lit("|>"))
+    texts = F.array_join(F.transform("parts", lambda p: F.when(is_text(p), escape(p.text)).otherwise(F.lit(PART_MARK))), "")
+    between = F.split(texts, re.escape(PART_MARK), -1)
+    filled = F.array_join(F.transform(F.arrays_zip(between.alias("text"), F.transform("files", marker).alias("mark")), lambda x: F.concat(x.text, F.coalesce(x.mark, F.lit("")))), "")
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)))
-    rows = rows.withColumn("content", F.array_join(F.transform("parts", one), ""))
+    rows = rows.withColumn("content", filled)
     rows = rows.withColumn("piece", F.concat("head", "content", F.lit(END)))
     rows = rows.withColumn("start", F.lit(1) + F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    attached = F.transform(F.filter(F.transform("parts", lambda p, i: F.struct(place(i).alias("position"), F.col("t").alias("turn"), p.type.alias("type"), p.ref.alias("ref"), _tokens(p).alias("tokens"))), lambda x: ~F.coalesce(x.type == "text", F.lit(False))), lambda x: x)
+    attached = F.transform("files", lambda p, i: F.struct((F.col("seen") + i).alias("position"), F.col("t").alias("turn"), p.type.alias("type"), p.ref.alias("ref"), _tokens(p).alias("tokens")))
     span = F.struct((F.col("start") + F.length("head")).alias("start"), F.length("content").cast("long").alias("n"))
     rows = rows.select("c", F.struct("start", "piece", F.when(F.col("role") == loss_role, span).alias("span"), attached.alias("files")).alias("x"))
     out = rows.groupBy("c").agg(F.sort_array(F.collect_list("x")).alias("x"))
