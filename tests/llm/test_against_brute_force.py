@@ -169,6 +169,74 @@ def test_templates_learn_from_labels(spark):
     assert got[300].template == "/*/post" and got[301].verdict == "block" and got[200].template == "/spam/{n}"
 
 
+def test_large_draws():
+    rng = np.random.default_rng(3)
+    good, bad, draws = 3 * 10**9, 5 * 10**9, 2 * 10**9
+    got = np.array([mixing._hypergeometric(rng, good, bad, draws) for _ in range(60)], np.float64)
+    n, p = good + bad, good / (good + bad)
+    spread = (draws * p * (1 - p) * (n - draws) / (n - 1)) ** 0.5
+    assert abs(got.mean() - draws * p) < 5 * spread / 60**0.5 and 0.7 < got.std() / spread < 1.4
+    assert mixing._hypergeometric(rng, 5, 10**10, 10**10 + 5) == 5 and mixing._hypergeometric(rng, 0, 10**10, 7) == 0
+    small = [mixing._hypergeometric(rng, 2, 10**9, 5 * 10**8) for _ in range(300)]
+    assert {0, 1, 2} == set(small) and abs(np.mean(small) - 1) < 0.25
+
+
+def brute_mix(rows, sources, block_words, seed, ids):
+    """What a plain loop takes of each source: whole passes, then blocks, then documents of the block at the edge."""
+    out = Counter()
+    for s, (target, size, n_blocks) in sources.items():
+        passes, room = int(target / size + 1e-9), 0.0
+        room = target - passes * size
+        blocks = {}
+        for i, n in rows[s].items():
+            blocks.setdefault(ids[i][0] % n_blocks, []).append(i)
+        for i in rows[s]:
+            out[i] += passes
+        for b in sorted(blocks, key=lambda b: (ids["block", s, b], b)):
+            held = sum(rows[s][i] for i in blocks[b])
+            if held <= room:
+                room -= held
+                out.update(blocks[b])
+                continue
+            left = []
+            for i in sorted(blocks[b], key=lambda i: ids[i][1]):
+                if rows[s][i] <= room:
+                    room -= rows[s][i]
+                    out[i] += 1
+                else:
+                    left.append(i)
+            near = min(left, key=lambda i: abs(rows[s][i] - room), default=None)
+            if near is not None and abs(rows[s][near] - room) < room:
+                out[near] += 1
+            break
+    return out
+
+
+def test_mix_equals_a_plain_loop(spark):
+    rng = random.Random(14)
+    docs = [(k, " ".join(["x"] * rng.randrange(1, 200)), rng.choice("abcd")) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.mix_plan(df, block_words=1500, shard_words=4000).collect()}
+    names, size = sorted({s for _, _, s in docs}), {k: len(t.split()) for k, t, _ in docs}
+    total = {s: float(sum(size[k] for k, _, x in docs if x == s)) for s in names}
+    want = mixing.fill(np.array([total[s] for s in names]), np.array([1.0, 2.0, 3.0, 1.0]), sum(total.values()), 3.0)
+    sources = {s: (w, total[s], max(1, int(np.ceil(total[s] / 1500)))) for s, w in zip(names, want)}
+    ids = {r.doc_id: (r.a, r.b) for r in df.select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("a"), F.xxhash64(F.lit(44), "doc_id").alias("b")).collect()}
+    keys = spark.createDataFrame([(k, s, b) for k, s in enumerate(names) for b in range(sources[s][2])], "s int, name string, block int")
+    ids |= {("block", r.name, r.block): r.h for r in keys.select("name", "block", F.xxhash64(F.lit(43), "s", "block").alias("h")).collect()}
+    got = brute_mix({s: {k: size[k] for k, _, x in docs if x == s} for s in names}, sources, 1500, 42, ids)
+    assert {k: len(r.shards) for k, r in plan.items()} == {k: got[k] for k in plan}
+    mixed = mixing.mix(df.withColumn("Shard", F.lit(0)), block_words=1500, shard_words=4000)
+    assert Counter(r.doc_id for r in mixed.collect()) == +got and mixed.columns == ["doc_id", "text", "source", "shard"]
+    parts = [p for p in mixed.select("shard", "doc_id").rdd.glom().collect() if p]
+    assert all([r.shard for r in p] == sorted(r.shard for r in p) for p in parts) and len({r.shard for p in parts for r in p}) == sum(len({r.shard for r in p}) for p in parts)
+    assert any([r.doc_id for r in p] != sorted(r.doc_id for r in p) for p in parts)
+    assert all(len(set(r.orders)) == len(r.shards) for r in plan.values())
+    few = spark.createDataFrame([(k, "w" if k < 20 else "", "s", 1.0, 2) for k in range(400)], "doc_id long, text string, source string, size double, Taken int")
+    out = mixing.mixed(few)
+    assert out.columns == ["doc_id", "text", "source", "size_of_document", "Taken_of_document", *mixing.PLANNED] and out.agg(F.sum("taken")).first()[0] == 20
+
+
 def test_reparameterised_questions(spark):
     item = "If Anna buys 12 apples for 3 dollars each and sells 12 apples again, how much does the owner Anna have left after paying 3 dollars"
     other = item.replace("12", "25").replace("3 ", "7 ").replace("Anna", "Robert")
@@ -190,6 +258,8 @@ def test_verbatim_passages_are_found_and_nothing_else(spark):
 
 def test_folding_and_exceptions(spark):
     assert toxicity.fold("1d10t ІDІОТ Ｉｄｉｏｔ idi\u200bot 2024 $5") == "idiot idiot idiot idiot 2024 $5"
+    assert toxicity.fold("i\u0308di\u0301ot \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d b000b i.d.i.o.t i-d-i-o-t ıdıot") == "idiot idiot booob idiot idiot idiot"
+    assert toxicity.fold("e.g. a.b well-known x.y.z1 10.5 Straße naïve") == "e.g. a.b well-known x.y.zi 10.5 straße naive"
     lexicon = toxicity.Lexicon({"^idiot$": 5.0, "^trash": 4.0}, (-2.0, 1.0, 1.0))
     rows = [(1, "you 1d10t"), (2, "the trash can is full"), (3, "trashy trash"), (4, "idiotic"), (5, "clean"), (6, "an idiot, " + "fine words " * 5000)]
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()}

@@ -103,7 +103,7 @@ def test_vectors(spark, empty):
 @pytest.mark.parametrize("empty", [False, True])
 def test_archive(spark, empty):
     big = "x" * 100
-    rows = [(3, "http://a", big), (1, "http://b\r\nX: y", big), (2, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (1, "http://b\r\nX: y", big), (None, "n", big), (None, "n", "y" * 200), (8, "u", "é\r\n\r\nWARC/1.1\r\n" * 50), (9, "u", LONG)]
+    rows = [(3, "http://a", big), (1, "http://b\r\nX: y", big), (2, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (1, "http://b\r\nX: y", big), (None, "n", big), (None, "n", "y" * 200), (8, "u%0D%0A", "é\r\n\r\nWARC/1.1\r\n" * 50), (9, "u", LONG)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(5), "digest": F.lit("d"), "payload": F.lit("p"), "first": F.lit(1)})
     df = df.where("false") if empty else df
     archive = warc.Archive(Scratch(spark, "test").path())
@@ -118,6 +118,9 @@ def test_archive(spark, empty):
     assert {(1, "response", None), (2, "revisit", 1), (3, "revisit", 1), (4, "response", None), (5, "response", None), (None, "revisit", 1), (None, "response", None)} <= kinds
     texts = {(r.id, bytes(r.payload).decode()) for r in rows_back}
     assert texts == {(i, h or "") for i, _, h in rows}
+    assert {(r.id, r.url) for r in rows_back} == {(i, u) for i, u, _ in rows}
+    heads = [bytes(r.header) for r in rows_back]
+    assert len({h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads}) == len(rows)
     records = {r.id: bytes(r.record) for r in warc.record_bytes(got).collect()}
     head, _, body = records[8].partition(b"\r\n\r\n")
     assert b"\r\nX: y" not in records[1].partition(b"\r\n\r\n")[0]
