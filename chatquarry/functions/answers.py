@@ -21,7 +21,7 @@ REMOVED = [
     "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}",
     "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots", "\n", "\r", "\f",
 ]
-#: Commands whose argument replaces them, and texts after (or in) which the answer stands; the last match counts.
+#: Commands whose argument replaces them, and texts after (or in) which the answer stands; the last match counts (fixed values).
 UNWRAPPED = [r"(?d)\\text\{\((.*?)\)\}", r"(?d)\\text\{(.*?)\}", r"(?d)\\textbf\{(.*?)\}", r"(?d)\\overline\{(.*?)\}", r"(?d)\\boxed\{(.*)\}"]
 FOUND_IN = [r"(?d)finalansweris(.*)", r"(?d)answer?is:?(.*)", r"(?d)oxed\{(.*?)\}", r"(?d)\$(.*?)\$"]
 
@@ -123,9 +123,6 @@ def aliases(gold: Column) -> Column:
     return F.when(strip(gold).startswith("[") & listed.isNotNull(), listed).when(strip(gold).rlike(r'(?s)\A".*"\z') & quoted.isNotNull(), F.array(quoted)).otherwise(F.array(gold))
 
 
-METHODS = {"math": "boxed", "multilingual": "boxed", "safety": "boxed", "knowledge": "knowledge"}
-
-
 def extract(text: Column, method: str, gold: Column) -> Column:
     """The answer that a benchmark's method reads from a completion: boxed, exact, knowledge, or (any other) box or text."""
     if method == "boxed":
@@ -142,6 +139,7 @@ def correct(extracted: Column, gold: Column, method: str) -> Column:
     """Whether an extracted answer is right by the method; a null answer never is."""
     if method == "knowledge":
         right = F.when(choice_gold(gold), F.upper(extracted) == F.upper(strip(gold))).otherwise(F.exists(aliases(gold), lambda a: direct_key(a) == direct_key(extracted)))
-    else:
-        right = equivalent(normal_form(extracted), normal_form(gold))
+    else:  # equal texts are right, different whole numbers wrong; only other pairs need their normal forms
+        number = lambda c: c.rlike(r"\A[0-9]+\z")
+        right = F.when(extracted == gold, F.lit(True)).when(number(extracted) & number(gold), F.lit(False)).otherwise(equivalent(normal_form(extracted), normal_form(gold)))
     return F.when(extracted.isNull(), F.lit(False)).otherwise(F.coalesce(right, F.lit(False)))

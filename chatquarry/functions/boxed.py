@@ -15,23 +15,39 @@ from .base import SPACE, let, rstrip
 BOX, FBOX = "\\boxed", "\\fbox"
 
 
+#: What a pair of braces holds up to three deep, without backtracking: all braces count, or a backslash hides the next character.
+_PLAIN = r"[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+"
+_ESCAPED = _PLAIN.replace("[^{}]*+", r"(?:[^{}\\]|\\.)*+")
+
+
 def _closing(text: Column, depth: int, escapes: bool) -> Column:
     """Characters up to the brace that closes the outermost one, it included; null if none does.
 
-    A fold over the characters; depth is what it starts at. With escapes a backslash hides the next character.
+    depth is what the text starts at: 0 before a command and its brace, 1 behind it. Braces three deep are matched at
+    once; only deeper ones, and those that don't close, are folded over.
     """
-    step = lambda s, c: (
-        F.when(s.done, s)
-        .when(s.skip, F.struct(s.depth.alias("depth"), (s.n + 1).alias("n"), F.lit(False).alias("skip"), F.lit(False).alias("done")))
-        .otherwise(
-            let(
-                s.depth + F.when(c == "{", 1).when(c == "}", -1).otherwise(0),
-                lambda d: F.struct(d.alias("depth"), (s.n + 1).alias("n"), (F.lit(escapes) & (c == "\\")).alias("skip"), ((c == "}") & (d == 0)).alias("done")),
-            )
+    before = r"[^{}]*+\{" if depth == 0 else ""
+    whole = rf"(?s)\A({before}{_ESCAPED if escapes else _PLAIN}\}})"
+    return let(F.regexp_extract(text, whole, 1), lambda m: F.when(m != "", F.length(m)).otherwise(_folded(text, depth, escapes)))
+
+
+def _folded(text: Column, depth: int, escapes: bool) -> Column:
+    """As _closing(), for any depth: a fold over the pieces that end with a brace (and, with escapes, with a backslash)."""
+    ends = r"(?<=[{}\\])" if escapes else r"(?<=[{}])"
+    step = lambda s, p: F.when(s.done, s).otherwise(
+        let(
+            F.right(p, F.lit(1)),
+            lambda c: let(
+                s.depth + F.when(s.skip & (F.length(p) == 1), 0).when(c == "{", 1).when(c == "}", -1).otherwise(0),
+                lambda d: F.struct(
+                    d.alias("depth"), (s.n + F.length(p)).alias("n"), (F.lit(escapes) & (c == "\\") & ~(s.skip & (F.length(p) == 1))).alias("skip"),
+                    ((c == "}") & (d == 0) & (d < s.depth)).alias("done"),
+                ),
+            ),
         )
-    )
+    )
     start = F.struct(F.lit(depth).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("skip"), F.lit(False).alias("done"))
-    return F.aggregate(F.split(text, ""), start, step, lambda s: F.when(s.done, s.n))
+    return F.aggregate(F.split(text, ends), start, step, lambda s: F.when(s.done, s.n))
 
 
 def _after_last(text: Column, marker: str) -> Column:
@@ -61,9 +77,13 @@ def score_answer(text: Column, peel: bool = True) -> Column:
 
 def split_box(text: Column) -> Column:
     """struct<before, inside> of the last \\boxed {...}, white space allowed before the brace; null if none or unbalanced."""
+    opens = rf"\A[{SPACE}]*\{{"
     last = rf"(?s)\A(.*)\\boxed[{SPACE}]*\{{(.*)\z"
-    parts = F.when(text.rlike(rf"\\boxed[{SPACE}]*\{{"), F.struct(F.regexp_extract(text, last, 1).alias("before"), F.regexp_extract(text, last, 2).alias("rest")))
-    return let(parts, lambda p: let(_closing(p.rest, 1, True), lambda n: F.when(n.isNotNull(), F.struct(p.before.alias("before"), F.left(p.rest, n - 1).alias("inside")))))
+    # nearly always the last command is the last box; a later one without a brace is looked behind
+    rest = _after_last(text, BOX)
+    found = F.when(rest.rlike(opens), F.struct(F.left(text, F.length(text) - F.length(rest) - len(BOX)).alias("before"), F.regexp_replace(rest, opens, "").alias("rest")))
+    found = F.when(F.contains(text, F.lit(BOX)), F.coalesce(found, F.when(text.rlike(rf"\\boxed[{SPACE}]*\{{"), F.struct(F.regexp_extract(text, last, 1).alias("before"), F.regexp_extract(text, last, 2).alias("rest")))))
+    return let(found, lambda p: let(_closing(p.rest, 1, True), lambda n: F.when(n.isNotNull(), F.struct(p.before.alias("before"), F.left(p.rest, n - 1).alias("inside")))))
 
 
 def level_box(text: Column) -> Column:
@@ -72,12 +92,14 @@ def level_box(text: Column) -> Column:
     return let(rest, lambda r: let(_closing(r, 1, False), lambda n: F.when(n.isNotNull(), F.left(r, n - 1))))
 
 
-#: Endings that lose their meaning once the box behind them is taken out (fixed values).
-DELIMITERS = ("$$", "$", "\\[", "\\(")
-PHRASES = ("the answer is:", "the answer is", "final answer:", "answer:")
+#: Characters at the end of a text that are looked at first, and more than a phrase has: one cut in two leaves fewer.
+_TAIL, _LONGEST = 200, 20
 
 
 def strip_preamble(text: Column) -> Column:
     """Drops delimiters, phrases (after white space or at the start) and white space from the end, however they nest."""
+    # the delimiters and phrases are fixed values
     end = rf"(?i)(?:[{SPACE}$]++|\\\[|\\\(|(?:\A|(?<=[{SPACE}]))(?:the answer is:?|final answer:|answer:))+\z"
-    return rstrip(F.regexp_replace(text, end, ""))
+    cut = lambda t: rstrip(F.regexp_replace(t, end, ""))
+    short = lambda t: let(cut(F.right(t, F.lit(_TAIL))), lambda c: F.when(F.length(c) > _LONGEST, F.concat(F.left(t, F.length(t) - _TAIL), c)).otherwise(cut(t)))
+    return let(text, lambda t: F.when(F.length(t) > _TAIL, short(t)).otherwise(cut(t)))

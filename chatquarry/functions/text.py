@@ -84,4 +84,5 @@ def failure_mode(repeats: Column, extracted: Column, right: Column, tokens: Colu
     return F.when(repeats, F.lit("repetition")).when(extracted.isNotNull() & right, F.lit("correct")).when(extracted.isNull(), F.lit("no_box")).when((tokens >= CUT_TOKENS) & boxless, F.lit("truncated")).otherwise(F.lit("wrong_box"))
 
 
+#: Ways in which a completion fails, in the order in which ties between them are settled (fixed values).
 FAILURES = ("no_box", "wrong_box", "truncated", "repetition", "other")

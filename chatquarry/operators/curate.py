@@ -43,9 +43,14 @@ def cap_per_key(df: DataFrame, key: str, cap: int, row_id: str, seed: int = 42)
 
 
 def dedup_first(df: DataFrame, key: Column, row_id: str) -> DataFrame:
-    """The row with the smallest row_id of each key; empty keys are dropped."""
-    by = W.partitionBy(F.md5("__key")).orderBy(row_id)
-    return df.withColumn("__key", key).where("__key <> ''").withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__key", "__k")
+    """The row with the smallest row_id of each key; empty and null keys are dropped.
+
+    The key is evaluated once and shuffled as a hash. Empty keys go after the window, by a test that names its rank, so
+    that it can't be pushed below the projection, where it would evaluate the key again.
+    """
+    by = W.partitionBy("__key").orderBy(row_id)
+    empty = F.coalesce(F.col("__key") == F.md5(F.lit("")), F.lit(True))
+    return df.withColumn("__key", F.md5(key)).withColumn("__k", F.row_number().over(by)).where(F.col("__k") == 1).where(F.when(empty, None).otherwise(F.col("__k")) == 1).drop("__key", "__k")
 
 
 def dense_id(df: DataFrame, order_by: str, name: str, start: int = 0, ranges: int = 256) -> DataFrame:
@@ -65,22 +70,44 @@ def dense_id(df: DataFrame, order_by: str, name: str, start: int = 0, ranges: in
 
 
 def take_seeded(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:
-    """The first n rows of the seeded order: a top-n per partition, then of those."""
-    return df.withColumn("__r", seeded_rank(F.col(row_id), seed, "shuffle")).orderBy("__r", row_id).limit(n).drop("__r")
+    """The first n rows of the seeded order."""
+    return _first(df.withColumn("__r", seeded_rank(F.col(row_id), seed, "shuffle")), n, "__r", row_id).drop("__r")
 
 
 def take_first(df: DataFrame, n: int, row_id: str) -> DataFrame:
-    return df.orderBy(row_id).limit(n)
+    return _first(df, n, row_id)
+
+
+#: Rows that one task may gather for a limit.
+ONE_TASK = 100_000
+
+
+def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order that has no ties: a top-n per partition, then of those.
+
+    Beyond ONE_TASK rows are numbered in the sorted partitions instead, each after those before it, so that no task
+    holds all n.
+    """
+    if n <= ONE_TASK:
+        return df.orderBy(*order).limit(n)
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = ranged.sortWithinPartitions("__part", *order).withColumn("__row", F.monotonically_increasing_id())
+    sizes = ranged.groupBy("__part").agg(F.min("__row").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("__part", (F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0)) + F.col("__low")).alias("__edge"))
+    return ranged.join(F.broadcast(sizes), "__part").where("__row < __edge").drop("__part", "__row", "__edge")
 
 
 def split_train_eval(df: DataFrame, n_eval: int, row_id: str, seed: int = 42) -> DataFrame:
-    """Adds split: the first n_eval rows of the seeded order are eval, the rest train.
+    """Adds split: the first n_eval rows of the seeded order are eval, the rest train; fewer rows than that are an error.
 
     Only the n_eval ranks are gathered; the last of them is the boundary that all rows are compared with.
     """
     rank = seeded_rank(F.col(row_id), seed, "shuffle")
     marked = df.withColumn("__r", F.struct(rank.alias("r"), F.col(row_id).alias("i")))
-    edge = marked.select("__r").orderBy("__r").limit(n_eval).agg(F.max("__r").alias("__e"))
+    edge = marked.select("__r").orderBy("__r").limit(n_eval).agg(F.max("__r").alias("__e"), F.count(F.lit(1)).alias("__n"))
+    few = F.raise_error(F.concat(F.lit(f"{n_eval} rows for eval are more than there are: "), F.col("__n").cast("string"))).cast("boolean")
+    edge = edge.where(F.when(F.col("__n") < n_eval, few).otherwise(F.lit(True))).drop("__n")
     return marked.crossJoin(F.broadcast(edge)).withColumn("split", F.when(F.col("__r") <= F.col("__e"), F.lit("eval")).otherwise(F.lit("train"))).drop("__r", "__e")
 
 

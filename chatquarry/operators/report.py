@@ -89,7 +89,11 @@ def variance_passes(df: DataFrame, threshold: float = 0.01, rewards: str = "rewa
     return out.select((mean >= threshold).alias("passed"), mean.alias("mean_variance"))
 
 
-def teacher_summary(df: DataFrame, n: int) -> DataFrame:
-    """Share of right and of well-formed completions, from n_correct and n_well_formatted per problem; 0 without problems."""
-    rate = lambda c: F.coalesce(F.sum(c) / F.nullif(F.count(F.lit(1)) * n, F.lit(0)), F.lit(0.0))
+def teacher_summary(df: DataFrame, n: int | str) -> DataFrame:
+    """Share of right and of well-formed completions, from n_correct and n_well_formatted per problem; 0 without problems.
+
+    n is the number of completions of every problem, or the column that has it.
+    """
+    every = F.sum(n) if isinstance(n, str) else F.count(F.lit(1)) * n
+    rate = lambda c: F.coalesce(F.sum(c) / F.nullif(every, F.lit(0)), F.lit(0.0))
     return df.agg(F.count(F.lit(1)).alias("n_problems"), rate("n_correct").alias("pass_rate"), rate("n_well_formatted").alias("format_rate"))

@@ -41,15 +41,20 @@ def count_correct(df: DataFrame, method: str = "boxed", completions: str = "comp
     return df.withColumns({"n": F.size(completions), "c": right})
 
 
-def report(df: DataFrame, ks: tuple[int, ...] = (1, 8)) -> DataFrame:
+def report(df: DataFrame, ks: tuple[int, ...] = (1, 8), by: tuple[str, ...] = ()) -> DataFrame:
     """One row: n_problems, n_completions and pass_at_k for each k that the uniform n allows, from n and c per problem.
 
-    Problems with differing n, or none, raise an error.
+    Problems with differing n, or none, raise an error. With `by`, a row for each group, uniform in itself.
     """
-    sized = df.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("n_problems"), F.sum("n").alias("n_completions"), *[F.avg(F.when(F.col("n") >= k, pass_at_k(F.col("n"), F.col("c"), k))).alias(f"pass_at_{k}") for k in ks])
+    sized = df.groupBy(*by).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("n_problems"), F.sum("n").alias("n_completions"), *[F.avg(F.when(F.col("n") >= k, pass_at_k(F.col("n"), F.col("c"), k))).alias(f"pass_at_{k}") for k in ks])
     wrong = (F.col("n_problems") == 0) | (F.col("lo") != F.col("hi"))
     checked = F.when(wrong, F.raise_error(F.lit("problems have differing numbers of completions, or there are none")).cast("long")).otherwise(F.col("n_problems"))
-    return sized.select(checked.alias("n_problems"), F.col("n_completions").cast("long").alias("n_completions"), *[f"pass_at_{k}" for k in ks])
+    return sized.select(*by, checked.alias("n_problems"), F.col("n_completions").cast("long").alias("n_completions"), *[f"pass_at_{k}" for k in ks])
+
+
+def mean_at_n(df: DataFrame) -> DataFrame:
+    """(n, n_problems, mean_at_n): mean_at_k() of the problems of each number of completions."""
+    return df.groupBy("n").agg(F.count(F.lit(1)).alias("n_problems"), F.avg(F.col("c") / F.col("n")).alias("mean_at_n"))
 
 
 def mean_at_k(df: DataFrame, k: int) -> DataFrame:

@@ -50,15 +50,10 @@ def render_generation_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.reward_prompts(rows).select(F.col("answer").alias("item_id"), F.md5("prompt").alias("prompt_md5"), "solve_rate")
 
 
-@query(r"""select conv_id, turn, case when regexp_full_match(t, '\(?[A-Z]\)?[.)]?') then regexp_extract(t, '([A-Z])', 1)
-  when len(regexp_extract_all(t, '(?:^|[^\pL\pM\pN_])[A-Z](?:$|[^\pL\pM\pN_])')) = 1 then regexp_extract(t, '(?:^|[^\pL\pM\pN_])([A-Z])(?:$|[^\pL\pM\pN_])', 1) end as label
-from (select conv_id, turn, upper(trim(case conv_id % 3 when 0 then ' (b) ' when 1 then text || ' c' else 'i think d' end)) as t from conversations where role = 'assistant' and not regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_])[a-z](?:$|[^\pL\pM\pN_])'))""")
+@query(r"""with t as (select conv_id, turn, upper(trim(case conv_id % 3 when 0 then ' (b) ' when 1 then text || ' c' else 'i think d' end)) as t from conversations where role = 'assistant'),
+w as (select *, regexp_extract_all(regexp_replace(t, '([^\pL\pM\pN_])', '\1\1', 'g'), '(?:^|[^\pL\pM\pN_])([A-Z])(?:$|[^\pL\pM\pN_])', 1) as alone from t)
+select conv_id, turn, case when regexp_full_match(t, '\(?[A-Z]\)?[.)]?') then regexp_extract(t, '([A-Z])', 1) when len(alone) = 1 then alone[1] end as label from w""")
 def choice_label(spark: SparkSession, folder: str) -> DataFrame:
-    return _choices(table(spark, folder, "conversations").where("role = 'assistant'").where(~F.col("text").rlike(r"(?i)(?:^|[^\p{L}\p{M}\p{N}_])[a-z](?:$|[^\p{L}\p{M}\p{N}_])")))
-
-
-@query()
-def choice_label_all(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of all assistant texts, those with letters of their own included."""
     return _choices(table(spark, folder, "conversations").where("role = 'assistant'"))
 
@@ -68,15 +63,9 @@ def _choices(c: DataFrame) -> DataFrame:
     return c.select("conv_id", "turn", answers.choice_label(text).alias("label"))
 
 
-@query("""select conv_id, turn, conv_id % 4 <> 3 as same, md5(trim(text)) as key_md5 from conversations where role = 'user' and regexp_full_match(trim(text), '(?s)[^\\s"!#-/:-@\\[-`{-~].*') and len(text) < 2000""")
+@query("""select conv_id, turn, text is not null and conv_id % 4 <> 3 as same, md5(trim(text)) as key_md5 from conversations where role = 'user'""")
 def direct_answer_match(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with a preamble, in another case, quoted, or with a word too many, against lists of aliases."""
-    return _direct(table(spark, folder, "conversations").where("role = 'user' and length(text) < 2000").where(F.trim("text").rlike(r"""\A[^\s"!#-/:-@\[-`{-~]""")))
-
-
-@query()
-def direct_answer_match_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over all user texts, of any length and beginning."""
     return _direct(table(spark, folder, "conversations").where("role = 'user'"))
 
 

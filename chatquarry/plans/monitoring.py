@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import monitor, score, vectors
 from .registry import query
-from .views import problems, table
+from .views import COMPLETIONS, problems, scratch, table
+
+WITH = f"with {COMPLETIONS.strip()}"
 
 _STEP = "row_number() over (partition by user_id order by event_id) - 1"
 _LOG = f"with v_log as (select user_id as run, {_STEP} as step, case when event_id % 7 = 0 then null else value / 100 end as value from events)"
@@ -42,19 +41,25 @@ def latest_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     return monitor.latest_checkpoint(table(spark, folder, "orders").select((F.col("o_custkey") % 10).alias("run"), name.alias("name")), "name", ["run"])
 
 
-@query("""select label as name, i - 1 as position, round(sum(0.5 * embedding[i]::double), 4) as value from embeddings, range(1, 65) r(i) where vec_id % 2 < 2 group by all""")
+@query("""select label as name, i - 1 as position, round(sum(0.5 * embedding[i]::double), 4) as value from embeddings, range(1, 65) r(i) group by all""")
 def weighted_vector_sum(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(F.col("label").alias("name"), F.lit(0.5).alias("weight"), "embedding")
     out = vectors.weighted_sum(rows, "name", "weight", "embedding")
     return out.select("name", F.col("position").cast("long").alias("position"), F.round("value", 4).alias("value"))
 
 
-@query("""select label, count(*) as rows, sum(zeros)::bigint as zeros from (select label, list_sum(list_transform(range(64), lambda i:
-  (('0x' || substr(md5('42|drop|' || vec_id || ':' || i), 1, 15))::bigint % 1000000 < 300000)::int)) as zeros from embeddings) group by 1""")
+_KEPT = "('0x' || substr(md5('42|drop|' || vec_id || ':' || i), 1, 15))::bigint % 1000000 >= 300000"
+
+
+@query(f"""select label, count(*) as rows, sum(zeros)::bigint as zeros, round(sum(total), 4) as total from (select label,
+  list_sum(list_transform(range(64), lambda i: (not {_KEPT})::int)) as zeros,
+  list_sum(list_transform(range(64), lambda i: case when {_KEPT} then embedding[i + 1]::double / 0.7 else 0 end * (i + 1))) as total from embeddings) group by 1""")
 def drop_and_rescale(spark: SparkSession, folder: str) -> DataFrame:
-    rows = vectors.drop_and_rescale(table(spark, folder, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.lit(1.0)).alias("v")), "vec_id", "v", 0.3)
+    """What is dropped, and the sums of what stays, rescaled and weighted by position."""
+    rows = vectors.drop_and_rescale(table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v", 0.3)
+    weighed = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     zeros = F.size(F.filter("v", lambda x: x == 0))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(zeros).alias("zeros"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(zeros).alias("zeros"), F.round(F.sum(weighed), 4).alias("total"))
 
 
 @query("select doc_id, case when doc_id % 5 = 0 then 'first' else 'second' end as only_in from documents where doc_id % 5 in (0, 1)")
@@ -63,15 +68,21 @@ def missing_keys(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.missing_keys(docs.where("doc_id % 5 <> 1"), docs.where("doc_id % 5 <> 0"), "doc_id")
 
 
-@query()
+@query(f"{WITH} select problem_id, n, c, n_runs from v_prob, (select 2::bigint as n_runs)")
 def stream_chunked_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Problems as files of a stream, scored chunk by chunk with a checkpoint; the result is read back."""
+    """Problems as files of a stream, scored chunk by chunk with a checkpoint; the result is read back.
+
+    Two runs: the second, over the files that came after the first, resumes behind it, so no problem is scored twice.
+    """
     from ..streaming import incremental
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatquarry-stream-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    problems(spark, folder).repartition(4, "problem_id").write.parquet(f"{root}/in")
+    root = scratch(spark, "stream")
+    rows, first = problems(spark, folder), F.col("problem_id") % 2 == 0
     kind = "problem_id long, gold string, subject string, level string, completions array<string>"
-    stream = incremental.chunks(spark, f"{root}/in", kind, 2, "parquet")
-    incremental.process(stream, lambda b: score.count_correct(b).select("problem_id", "n", "c"), f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").select("problem_id", "n", "c")
+    for some in (first, ~first):
+        rows.where(some).repartition(3, "problem_id").write.mode("append").parquet(f"{root}/in")
+        stream = incremental.chunks(spark, f"{root}/in", kind, 2, "parquet")
+        incremental.process(stream, lambda b: score.count_correct(b).select("problem_id", "n", "c"), f"{root}/out", f"{root}/state")
+    out = spark.read.parquet(f"{root}/out")
+    runs = out.agg(F.countDistinct(F.col("problem_id") % 2).alias("n_runs"))
+    return out.select("problem_id", F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c")).crossJoin(F.broadcast(runs))  # one row

@@ -25,17 +25,22 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("problem_id", "subject", "level", "gold").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
 
 
-@query(f"{WITH} select subject, count(*) as n_problems, round(avg({sql_pass(1)}), 6) as pass_at_1, round(avg({sql_pass(4)}), 6) as pass_at_4 from v_prob group by 1")
+_AT = ", ".join(f"round(avg(case when n >= {k} then {sql_pass(k)} end), 6) as pass_at_{k}" for k in (1, 4))
+
+
+@query(f"{WITH} select subject, count(*) as n_problems, {_AT} from v_prob group by 1")
 def pass_at_k_by_subject(spark: SparkSession, folder: str) -> DataFrame:
+    """pass@k by subject, over the problems that have k completions."""
     by = scored(spark, folder).groupBy("subject")
-    return by.agg(F.count(F.lit(1)).alias("n_problems"), *[F.round(F.avg(score.pass_at_k(F.col("n"), F.col("c"), k)), 6).alias(f"pass_at_{k}") for k in (1, 4)])
+    at = lambda k: F.avg(F.when(F.col("n") >= k, score.pass_at_k(F.col("n"), F.col("c"), k)))
+    return by.agg(F.count(F.lit(1)).alias("n_problems"), *[F.round(at(k), 6).alias(f"pass_at_{k}") for k in (1, 4)])
 
 
-@query(f"{WITH} select count(*) as n_problems, sum(n)::bigint as n_completions, round(avg({sql_pass(1)}), 6) as pass_at_1, round(avg({sql_pass(4)}), 6) as pass_at_4 from v_prob")
+@query(f"{WITH} select n, count(*) as n_problems, sum(n)::bigint as n_completions, {_AT} from v_prob group by 1")
 def score_generations(spark: SparkSession, folder: str) -> DataFrame:
-    """The scorer's path: problems with arrays of completions, judged in place."""
-    got = score.report(score.count_correct(problems(spark, folder)), (1, 4))
-    return got.select("n_problems", "n_completions", *[F.round(f"pass_at_{k}", 6).alias(f"pass_at_{k}") for k in (1, 4)])
+    """The scorer's path: problems with arrays of completions, judged in place; a report for each number of completions."""
+    got = score.report(score.count_correct(problems(spark, folder)), (1, 4), ("n",))
+    return got.select(F.col("n").cast("long").alias("n"), "n_problems", "n_completions", *[F.round(f"pass_at_{k}", 6).alias(f"pass_at_{k}") for k in (1, 4)])
 
 
 @query(f"{WITH} select problem_id, completion_idx, answer as extracted, correct from v_ok")
@@ -43,15 +48,39 @@ def score_details(spark: SparkSession, folder: str) -> DataFrame:
     return score.judge(score.explode_completions(problems(spark, folder))).select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), "extracted", "correct")
 
 
-@query(f"{WITH} select round(avg(c / n), 6) as mean_at_4 from v_prob")
+@query(f"{WITH} select n, count(*) as n_problems, round(avg(c / n), 6) as mean_at_n from v_prob group by 1")
 def mean_at_k(spark: SparkSession, folder: str) -> DataFrame:
-    return score.mean_at_k(scored(spark, folder), 4).select(F.round("mean_at_4", 6).alias("mean_at_4"))
+    """mean@k, for the problems of each number of completions."""
+    return score.mean_at_n(scored(spark, folder)).withColumn("mean_at_n", F.round("mean_at_n", 6))
+
+
+#: How an answer may be written (№ and ð stand for two numbers), and the value that it has by the rules.
+_FORMS = (
+    ("№", "№"), ("№.0", "№"), (" №.00 ", "№"), (r"\$№", "№"), (r"№\%", "№"), ("№%", "№"), (r"№^\circ", "№"), (r"№\text{ cm}", "№"), ("x=№", "№"), (r"\left№\right", "№"),
+    (r"\frac{№}{ð}", "№/ð"), (r"\dfrac{№}{ð}", "№/ð"), (r"\frac№ð", "№/ð"), ("№/ð", "№/ð"), (r"\sqrt{№}", "r№"), (r"\sqrt№", "r№"), ("№+ðj", "№+ði"), ("№+ði", "№+ði"),
+    ("0.5", "1/2"), (".5", "1/2"), (r"\frac{1}{2}", "1/2"), ("1/2", "1/2"), ("(№,ð)", "(№,ð)"), ("( №, ð )", "(№,ð)"), (r"\infty", "inf"), ("infinity", "inf"),
+)
+
 
+def _sql_written(k: int, form: str, n: str) -> str:
+    """The written form (k = 0) or the value (k = 1) of a form's number and its two numbers."""
+    listed = "[" + ", ".join("'" + f[k] + "'" for f in _FORMS) + "]"
+    return f"replace(replace(({listed})[{form} + 1], '№', {n}::varchar), 'ð', d::varchar)"
 
-@query(f"{WITH} select problem_id, completion_idx, coalesce(answer = gold, false) as same from v_comp")
+
+_PAIRS = f"""with p as (select l_partkey % {len(_FORMS)} as f, l_suppkey % {len(_FORMS)} as g, l_quantity::int % 8 + 1 as n, l_quantity::int % 8 + 1 + (l_orderkey % 4 = 0)::int as m, l_linenumber + 1 as d from lineitem)
+select {_sql_written(0, "f", "n")} as a, {_sql_written(0, "g", "m")} as b, {_sql_written(1, "f", "n")} = {_sql_written(1, "g", "m")} as same, count(*) as rows from p group by all"""
+
+
+@query(_PAIRS)
 def is_equiv_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = completions(spark, folder)
-    return rows.select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), answers.equivalent(boxed.score_answer(F.col("completion")), F.col("gold")).alias("same"))
+    """Pairs of answers in many spellings: whole numbers, fractions, roots, units, percents, signs, intervals. Each
+    distinct pair is judged once."""
+    forms = F.array(*[F.lit(w) for w, _ in _FORMS])
+    n, d = F.col("l_quantity").cast("int") % 8 + 1, F.col("l_linenumber") + 1
+    written = lambda form, n: F.replace(F.replace(F.get(forms, (form % len(_FORMS)).cast("int")), F.lit("№"), n.cast("string")), F.lit("ð"), d.cast("string"))
+    lines = table(spark, folder, "lineitem").select(written(F.col("l_partkey"), n).alias("a"), written(F.col("l_suppkey"), n + (F.col("l_orderkey") % 4 == 0).cast("int")).alias("b"))
+    return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows")).select("a", "b", answers.equivalent(F.col("a"), F.col("b")).alias("same"), "rows")
 
 
 _REWARD = "(case when answer = gold then 1.0 else 0.0 end + case when answer is not null then 0.05 else 0.0 end + case when answer = gold then 0.1 * greatest(0, 1 - ceil(length(completion) / 4) / 64.0) else 0 end)::double"
@@ -67,9 +96,18 @@ def reward_per_completion(spark: SparkSession, folder: str) -> DataFrame:
 _PLAIN = "(case when answer = gold then 1.0 else 0.0 end + case when answer is not null then 0.05 else 0.0 end)::double"
 
 
-@query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v, avg({_PLAIN}) as m from v_comp group by 1) select count(*) as n_prompts, round(avg(v), 6) as mean_variance, round(avg(m), 6) as mean_reward, round(avg(sqrt(v)), 6) as mean_std from r")
+#: A problem with one completion has a second one without an answer, since a variance needs two.
+_TWO = "(select problem_id, answer, gold from v_comp union all select problem_id, null, gold from v_prob where n = 1)"
+
+
+def _paired(spark: SparkSession, folder: str) -> DataFrame:
+    rows = problems(spark, folder)
+    return rows.withColumn("completions", F.when(F.size("completions") == 1, F.concat("completions", F.array(F.lit("no answer")))).otherwise(F.col("completions")))
+
+
+@query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v, avg({_PLAIN}) as m from {_TWO} group by 1) select count(*) as n_prompts, round(avg(v), 6) as mean_variance, round(avg(m), 6) as mean_reward, round(avg(sqrt(v)), 6) as mean_std from r")
 def reward_variance(spark: SparkSession, folder: str) -> DataFrame:
-    rows = problems(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
+    rows = _paired(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
     out = report.reward_variance(rows)
     return out.select("n_prompts", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
@@ -151,7 +189,7 @@ def never_always_solved(spark: SparkSession, folder: str) -> DataFrame:
     return some.groupBy(F.when(F.col("n_correct") == 0, F.lit("never")).otherwise(F.lit("always")).alias("solved")).agg(F.count(F.lit(1)).alias("rows"), F.min("problem_id").alias("first"), F.max("problem_id").alias("last"))
 
 
-@query(f"{WITH} select problem_id as prompt, gold as answer, round(c / n, 6) as engine_v1_pass_at_n, 4 as engine_v1_completions from v_prob where c / n <= 0.25")
+@query(f"{WITH} select problem_id as prompt, gold as answer, round(c / n, 6) as engine_v1_pass_at_n, n::int as engine_v1_completions from v_prob where c / n <= 0.25")
 def failure_mining(spark: SparkSession, folder: str) -> DataFrame:
     rows = score.count_correct(problems(spark, folder)).select(F.col("problem_id").alias("prompt"), F.col("gold").alias("answer"), "completions", "n", "c")
     out = normalize.failures(rows, "engine_v1", 0.25)
@@ -175,17 +213,19 @@ def distill_keepers(spark: SparkSession, folder: str) -> DataFrame:
     return kept.where("kept").join(good, "problem_id").select(F.col("problem_id").alias("problem_idx"), F.col("completion_idx").cast("long").alias("sample_idx"), tx.source_tag(F.lit("org/Model-1.7B")).alias("source"), "teacher_pass_at_n")
 
 
-@query(f"{WITH} select count(*) as n_problems, round(sum(c) / (count(*) * 4), 6) as pass_rate, round((select count(*) from v_comp where answer is not null) / (count(*) * 4), 6) as format_rate from v_prob")
+@query(f"{WITH} select count(*) as n_problems, round(sum(c) / sum(n), 6) as pass_rate, round((select count(*) from v_comp where answer is not null) / sum(n), 6) as format_rate from v_prob")
 def teacher_summary(spark: SparkSession, folder: str) -> DataFrame:
-    per = _keepers(spark, folder).groupBy("problem_id").agg(F.count_if("correct").alias("n_correct"), F.count_if("well_formed").alias("n_well_formatted"))
-    return report.teacher_summary(per, 4).select("n_problems", F.round("pass_rate", 6).alias("pass_rate"), F.round("format_rate", 6).alias("format_rate"))
+    per = _keepers(spark, folder).groupBy("problem_id").agg(F.count_if("correct").alias("n_correct"), F.count_if("well_formed").alias("n_well_formatted"), F.count(F.lit(1)).alias("n"))
+    return report.teacher_summary(per, "n").select("n_problems", F.round("pass_rate", 6).alias("pass_rate"), F.round("format_rate", 6).alias("format_rate"))
 
 
 @query(f"""{WITH}, w as (select problem_id, count(*) filter (answer is not null)::int as n_well_formatted from v_comp group by 1)
-select problem_id::varchar as prompt, gold as answer, 4 as n_completions, c::int as n_correct, n_well_formatted from v_prob join w using (problem_id)""")
+select problem_id::varchar as prompt, gold as answer, (select max(n) from v_prob)::int as n_completions, c::int as n_correct, n_well_formatted from v_prob join w using (problem_id)""")
 def teacher_dump(spark: SparkSession, folder: str) -> DataFrame:
-    """Completions attached to their problems by id, with a uniform number, scored and written out as rows."""
+    """Completions attached to their problems by id, filled up with empty ones to a uniform number, scored and written out as rows."""
     rows = problems(spark, folder)
+    most = rows.agg(F.max(F.size("completions"))).first()[0] or 0
+    rows = rows.withColumn("completions", F.concat("completions", F.array_repeat(F.lit(""), F.lit(most) - F.size("completions"))))
     items = rows.select("problem_id", F.col("problem_id").cast("string").alias("prompt"), F.col("gold").alias("answer"))
     both = normalize.attach_completions(items, rows.select("problem_id", "completions"), "problem_id").withColumn("gold", F.col("answer"))
     out = normalize.teacher_rows(score.count_correct(both))
@@ -200,9 +240,9 @@ def distilled_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("problem_idx", "sample_idx", "source", F.md5(F.array_join(F.transform("messages", lambda m: m.content), "|")).alias("messages_md5"))
 
 
-@query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v from v_comp group by 1) select avg(v) >= 0.01 as passed, round(avg(v), 6) as mean_variance from r")
+@query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v from {_TWO} group by 1) select avg(v) >= 0.01 as passed, round(avg(v), 6) as mean_variance from r")
 def variance_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = problems(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
+    rows = _paired(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
     return report.variance_passes(rows).withColumn("mean_variance", F.round("mean_variance", 6))
 
 
@@ -217,15 +257,11 @@ def chunk_progress(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("chunk", F.sum("attempts").over(by).alias("attempts"), F.sum("correct").over(by).alias("correct"))
 
 
-@query(f"with {RESPONSES.strip()} select doc_id, case when {sql_score_answer('response')} is null then 'no_box' when {sql_score_answer('response')} = doc_id::varchar then 'correct' else 'wrong_box' end as mode from v_resp where length(response) < 300")
-def failure_mode_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Failure modes over responses too short to repeat: the filter is part of the query's question."""
-    rows = responses(spark, folder).where(F.length("response") < 300).select("doc_id", F.col("response").alias("completion"), F.col("doc_id").cast("string").alias("gold"), tx.token_estimate(F.col("response")).alias("tokens"))
-    return score.label_failures(rows, "tokens").select("doc_id", F.col("failure_mode").alias("mode"))
+_REPEATS = "(select distinct doc_id from (select doc_id, substr(response, i::bigint, 100) as part from v_resp, unnest(range(1, length(response) - 98)) as r(i) where length(response) >= 300) group by doc_id, part having count(*) >= 3)"
 
 
-@query()
-def failure_mode_all_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Failure modes over all responses, those that repeat a stretch included; SQL doesn't express repetition."""
+@query(f"with {RESPONSES.strip()} select doc_id, case when doc_id in {_REPEATS} then 'repetition' when {sql_score_answer('response')} is null then 'no_box' when {sql_score_answer('response')} = doc_id::varchar then 'correct' when length(response) > 16356 and not contains(right(response, 800), '\\boxed') and not contains(right(response, 800), '\\fbox') then 'truncated' else 'wrong_box' end as mode from v_resp")
+def failure_mode_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure modes over all responses, those that repeat a stretch included."""
     rows = responses(spark, folder).select("doc_id", F.col("response").alias("completion"), F.col("doc_id").cast("string").alias("gold"), tx.token_estimate(F.col("response")).alias("tokens"))
     return score.label_failures(rows, "tokens").select("doc_id", F.col("failure_mode").alias("mode"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from ..sources import sinks
 
 #: Sampling settings where neither the caller nor a file has them, and context caps (fixed values).
 FALLBACK = {"temperature": 0.3, "top_p": 0.95, "top_k": 20}
@@ -19,11 +21,17 @@ def warmup_steps(rows: int, batch: int, epochs: float, ratio: float = 0.03) -> i
     return max(1, round(ratio * math.ceil(rows / batch) * epochs))
 
 
-def settings_file(path: str) -> dict | None:
-    """A JSON object; None where the file is absent or isn't one."""
+def settings_file(spark: SparkSession, path: str) -> dict | None:
+    """A JSON object, or YAML's where the name ends so; None where the file is absent or isn't one."""
+    if not path.endswith((".yaml", ".yml")):
+        return sinks.document_at(spark, path)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML settings need the yaml package") from e
     try:
-        found = json.loads(Path(path).read_text())
-    except (OSError, ValueError):
+        found = yaml.safe_load(text_file(spark, path)) if sinks.exists(spark, path) else None
+    except yaml.YAMLError:
         return None
     return found if isinstance(found, dict) else None
 
@@ -50,6 +58,6 @@ def token_budget(new_tokens: int, trained_length: int, cap: int) -> list[str]:
     return [f"{new_tokens} new tokens are over {what} of {most}" for what, most in limits.items() if new_tokens > most]
 
 
-def text_file(path: str) -> str:
+def text_file(spark: SparkSession, path: str) -> str:
     """A template's or a configuration's text."""
-    return Path(path).read_text()
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +15,7 @@ from .chats import CHATS
 from .monitoring import _LOG, log
 from .registry import query
 from .scoring import _PLAIN, WITH
-from .views import chats, completions, problems, table
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below one of this process where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatquarry-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .views import chats, completions, problems, scratch, table
 
 
 @query("select item_id::varchar as answer, md5(text) as prompt_md5 from benchmark where item_id % 4 not in (0, 1)")
@@ -109,9 +102,13 @@ def stream_kl_spike(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{_LOG}, m as (select run, step, avg(value) over (partition by run order by step rows between 49 preceding and current row) as mean from v_log where value is not null)
 select run, step, round(mean, 9) as rolling_mean, case when mean > 0.5 and step >= 200 then 'error' when mean > 0.5 and step >= 100 then 'warn' else 'ok' end as alert from m""")
 def stream_rolling_signal(spark: SparkSession, folder: str) -> DataFrame:
-    """The monitor with state over a stream; runs are spread over files by range of steps, oldest first."""
-    root = scratch(spark, "signal")
-    log(spark, folder).coalesce(1).sortWithinPartitions("step").write.parquet(f"{root}/in")
+    """The monitor with state over a stream: a file for each range of steps, oldest first, one a micro-batch, so each
+    run's last values are carried from batch to batch."""
+    root, rows = scratch(spark, "signal"), log(spark, folder)
+    last = rows.agg(F.max("step")).first()[0] or 0
+    for k in range(4):
+        part = rows.where((F.col("step") * 4 >= last * k) & (F.col("step") * 4 < last * (k + 1) if k < 3 else F.lit(True)))
+        part.repartitionByRange(1, "step").write.mode("append").parquet(f"{root}/in")
     stream = incremental.chunks(spark, f"{root}/in", "run long, step long, value double", 1, "parquet")
     signal = incremental.rolling_signal(stream)
     signal.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()

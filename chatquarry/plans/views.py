@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir. Where that is unset, below one of this process in a local session; on a
+    cluster, whose executors don't see such a folder, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="chatquarry-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, query, response, lang, source: documents with an answer appended in one of eight forms."""
     n = F.col("doc_id").cast("string")
@@ -78,12 +92,13 @@ def sql_strip_preamble(x: str, passes: int = 6) -> str:
     return f"rtrim(list_reduce([{x}{', null' * passes}], lambda a, b: case {' '.join(cases)} else {r} end), {space})"
 
 
-def completions(spark: SparkSession, folder: str, per_problem: int = 4) -> DataFrame:
-    """A row per completion: problem_id, completion_idx, completion, gold, subject, level. Orders are problems, lines completions."""
+def completions(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per completion: problem_id, completion_idx, completion, gold, subject, level. Orders are problems, all their
+    lines completions, so problems differ in the number of completions."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", (F.col("l_quantity").cast("int") % 5).alias("v"))
-    ranked = lines.withColumns({"k": F.row_number().over(by), "lines": F.count(F.lit(1)).over(W.partitionBy("l_orderkey"))}).where((F.col("k") <= per_problem) & (F.col("lines") >= per_problem))
+    ranked = lines.withColumn("k", F.row_number().over(by))
     text = F.concat(F.lit("<think>\nline "), F.col("l_linenumber").cast("string"), F.lit("\n</think>\n\n"), F.when(F.col("l_partkey") % 11 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("\\boxed{"), F.col("v").cast("string"), F.lit("}"))))
     ranked = ranked.select(F.col("l_orderkey").alias("problem_id"), (F.col("k") - 1).alias("completion_idx"), text.alias("completion"), F.col("l_partkey").alias("part"))
     known = orders.select(F.col("o_orderkey").alias("problem_id"), (F.col("o_orderkey") % 5).cast("string").alias("gold"), F.col("o_orderpriority").alias("subject"), F.concat(F.lit("Level "), (F.col("o_custkey") % 5 + 1).cast("string")).alias("level"))
@@ -95,8 +110,8 @@ v_comp as (select l_orderkey as problem_id, k - 1 as completion_idx,
     '<think>' || chr(10) || 'line ' || l_linenumber || chr(10) || '</think>' || chr(10) || chr(10) || case when l_partkey % 11 = 0 then 'no answer' else '\boxed{' || v || '}' end as completion,
     case when l_partkey % 11 = 0 then null else v::varchar end as answer, l_partkey as part,
     (l_orderkey % 5)::varchar as gold, o_orderpriority as subject, 'Level ' || (o_custkey % 5 + 1) as level
-  from (select *, l_quantity::int % 5 as v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as k,
-      count(*) over (partition by l_orderkey) as lines from lineitem) join orders on l_orderkey = o_orderkey where k <= 4 and lines >= 4),
+  from (select *, l_quantity::int % 5 as v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as k from lineitem)
+    join orders on l_orderkey = o_orderkey),
 v_ok as (select *, coalesce(answer = gold, false) as correct from v_comp),
 v_prob as (select problem_id, any_value(subject) as subject, any_value(level) as level, any_value(gold) as gold, count(*)::bigint as n, count(*) filter (correct)::bigint as c from v_ok group by 1)"""
 

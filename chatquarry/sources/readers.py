@@ -29,8 +29,24 @@ def schema(kind: str) -> T.StructType:
 
 
 def strict_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON lines by a fixed schema; a malformed line ends the read, blank lines don't count."""
-    return spark.read.schema(schema(kind)).option("mode", "FAILFAST").json(path)
+    """JSON lines by a fixed schema; a malformed line ends the read with its file and text, blank lines don't count.
+
+    bad_lines() gives the numbers of such lines.
+    """
+    fields = schema(kind).add("_corrupt_record", T.StringType())
+    out = spark.read.schema(fields).option("mode", "PERMISSIVE").json(path).withColumn("__file", F.col("_metadata.file_path"))
+    bad = F.raise_error(F.concat(F.lit("malformed line in "), F.col("__file"), F.lit(": "), F.left(F.col("_corrupt_record"), F.lit(200)))).cast("boolean")
+    return out.where(F.when(F.col("_corrupt_record").isNotNull(), bad).otherwise(F.lit(True))).drop("_corrupt_record", "__file")
+
+
+def bad_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, line, text) of the malformed lines: lines are numbered from 1 over each file, blank ones counted.
+
+    A file is read in one piece here, so this is for the files that strict_json() names, not for whole corpora.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))
+    parsed = F.from_json("text", schema(kind).add("_corrupt_record", T.StringType()), {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.where(F.trim("text") != "").where(parsed["_corrupt_record"].isNotNull()).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def lenient_json(spark: SparkSession, path: str, kind: str, valid: Column | None = None, most: int | None = None, order_by: str | None = None) -> DataFrame:

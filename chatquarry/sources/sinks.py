@@ -3,37 +3,71 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def json_lines(df: DataFrame, path: str, single: bool = False) -> int:
-    """Writes JSON lines (text as it is, nulls left out) and returns the number of rows, counted on the way.
+    """Writes JSON lines (text and nulls as they are) and returns the number of rows, counted on the way.
 
     single puts all rows in one part, for small outputs alone.
     """
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    (out.coalesce(1) if single else out).write.mode("overwrite").json(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return int(seen.get["n"])
 
 
 def train_eval(df: DataFrame, path: str, column: str = "split") -> None:
     """A folder for each split, from one pass."""
-    df.write.mode("overwrite").partitionBy(column).json(path)
+    df.write.mode("overwrite").partitionBy(column).option("ignoreNullFields", "false").json(path)
 
 
-def document(row: dict, path: str) -> None:
-    """One JSON document, indented, on the driver; for summaries of a row."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(row, indent=2, ensure_ascii=False) + "\n")
+def _open(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def document(spark: SparkSession, row: dict, path: str) -> None:
+    """One JSON document, indented, in any file system that Spark writes; for summaries of a row."""
+    text(spark, json.dumps(row, indent=2, ensure_ascii=False), path)
+
+
+def text(spark: SparkSession, content: str, path: str) -> None:
+    """A report's text, in any file system that Spark writes."""
+    where, system = _open(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray((content if content.endswith("\n") else content + "\n").encode()))
+    finally:
+        out.close()
+
+
+def document_at(spark: SparkSession, path: str) -> dict | None:
+    """A document that document() wrote; None where there is none, or no JSON object."""
+    if not exists(spark, path):
+        return None
+    lines = spark.read.text(path, wholetext=True).first()
+    try:
+        found = json.loads(lines[0]) if lines else None
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def mark(spark: SparkSession, folder: str) -> None:
+    """The marker of a folder whose documents are all written."""
+    text(spark, "", f"{folder}/completed.marker")
+
+
+def marked(spark: SparkSession, folder: str) -> bool:
+    return exists(spark, f"{folder}/completed.marker")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+    where, system = _open(spark, path)
+    return bool(system.exists(where))
 
 
 def complete(df: DataFrame, path: str) -> bool:
@@ -47,9 +81,3 @@ def once(df: DataFrame, path: str, force: bool = False) -> bool:
         return False
     json_lines(df, path)
     return True
-
-
-def text(content: str, path: str) -> None:
-    """A report's text, on the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(content if content.endswith("\n") else content + "\n")

@@ -44,6 +44,9 @@ def rolling_signal(stream: DataFrame, run: str = "run", rows: int = monitor.SIGN
     micro-batch they are sorted.
     """
 
+    # plain values, so that the function that goes to workers needs no module of this package there
+    level, warns, errs = monitor.SIGNAL_LEVEL, monitor.WARN_STEP, monitor.ERROR_STEP
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         all_ = pd.concat(list(batches)).dropna(subset=["value"]).sort_values("step")
@@ -51,9 +54,9 @@ def rolling_signal(stream: DataFrame, run: str = "run", rows: int = monitor.SIGN
         for step, value in zip(all_["step"], all_["value"]):
             held = [*held, float(value)][-rows:]
             mean = sum(held) / len(held)
-            high = mean > monitor.SIGNAL_LEVEL
+            high = mean > level
             means.append(mean)
-            alerts.append("error" if high and step >= monitor.ERROR_STEP else "warn" if high and step >= monitor.WARN_STEP else "ok")
+            alerts.append("error" if high and step >= errs else "warn" if high and step >= warns else "ok")
         state.update((held,))
         yield pd.DataFrame({run: key[0], "step": all_["step"], "rolling_mean": means, "alert": alerts})
 

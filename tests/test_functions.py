@@ -123,3 +123,46 @@ def test_native_columns_have_no_python_node(spark):
     rows = spark.createDataFrame([("a", "b")], "a string, b string")
     plan = rows.select(answers.equivalent(boxed.score_answer(F.col("a")), F.col("b")), boxed.strip_preamble(F.col("a")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def closing(text, depth, escapes):
+    hidden = False
+    for n, c in enumerate(text, 1):
+        if hidden:
+            hidden = False
+        elif escapes and c == "\\":
+            hidden = True
+        elif c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth == 0:
+                return n
+    return None
+
+
+def test_closing_brace_at_any_depth(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["{", "{", "}", "}", "\\", "a", "\n", "é"]) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts += ["{" * 12 + "x" + "}" * 12, "{" * 500, "x" * 3000 + "}" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for escapes in (False, True):
+        got = [r.n for r in df.select(boxed._closing(F.col("t"), 1, escapes).alias("n")).collect()]
+        assert got == [closing(t, 1, escapes) for t in texts]
+    behind = ["\\boxed{" + t for t in texts]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in behind], "t string").select(boxed._closing(F.col("t"), 0, False).alias("n")).collect()]
+    assert got == [closing(t, 0, False) for t in behind]
+
+
+def test_split_box_looks_behind_commands_without_a_brace(spark):
+    texts = ["a \\boxed{1} b \\boxed", "a \\boxed {1} \\boxedx", "\\boxed", "a \\boxed{1} \\boxed {2", "x" * 300 + " \\boxed\n{3}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(boxed.split_box(F.col("t")).alias("p"))
+    assert [r.p and (len(r.p.before), r.p.inside) for r in df.collect()] == [(2, "1"), (2, "1"), None, None, (301, "3")]
+
+
+def test_long_preambles_are_stripped(spark):
+    ends = ["", " The answer is: $", "x the answer is" + " " * 400, "$" * 300, " final answer:" * 40, "xanswer: $$ \\["]
+    texts = [("word " * 100 + "end" + e) for e in ends] + [e for e in ends]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(boxed.strip_preamble(F.col("t")).alias("s")).collect()]
+    base = "word " * 100 + "end"
+    assert got == [base, base, base + "x", base, base, base + "xanswer:", "", "", "x", "", "", "xanswer:"]

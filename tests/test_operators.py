@@ -151,11 +151,11 @@ def test_vectors(spark):
         vectors.check_same([{"r": 1}, {"r": 2}], ["r"])
 
 
-def test_settings(tmp_path):
+def test_settings(spark, tmp_path):
     assert settings.warmup_steps(10, 4, 1) == 1 and settings.warmup_steps(50_000, 32, 2) == 94
     (tmp_path / "g.json").write_text('{"top_k": 5}')
-    assert settings.sampling({"top_p": 0.5}, settings.settings_file(str(tmp_path / "g.json"))) == {"temperature": 0.3, "top_p": 0.5, "top_k": 5}
-    assert settings.settings_file(str(tmp_path / "none.json")) is None
+    assert settings.sampling({"top_p": 0.5}, settings.settings_file(spark, str(tmp_path / "g.json"))) == {"temperature": 0.3, "top_p": 0.5, "top_k": 5}
+    assert settings.settings_file(spark, str(tmp_path / "none.json")) is None
     assert settings.context_caps("legacy", new_tokens=9) == (20480, 9)
     assert settings.token_budget(4096, 4096, 4096) == [] and len(settings.token_budget(9000, 8000, 4096)) == 2
     with pytest.raises(ValueError):
@@ -174,6 +174,9 @@ def test_monitor(spark):
 def test_readers_and_sinks(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text('{"prompt": "p", "answer": "1"}\n\n{broken\n{"prompt": "q", "answer": ""}\n')
+    with pytest.raises(Exception, match="malformed line in .*a.jsonl"):
+        readers.strict_json(spark, str(path), "validation").collect()
+    assert [(r.line, r.text) for r in readers.bad_lines(spark, str(path), "validation").collect()] == [(3, "{broken")]
     good = readers.lenient_json(spark, str(path), "validation", F.col("answer") != "")
     assert [r.prompt for r in good.collect()] == ["p"]
     with pytest.raises(Exception):
@@ -187,7 +190,8 @@ def test_readers_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("é",)], "x string")
     assert sinks.once(df, out) and not sinks.once(df, out) and sinks.once(df, out, force=True)
     assert sinks.json_lines(df, out, single=True) == 1 and spark.read.json(out).first().x == "é"
-    sinks.document({"a": "é"}, str(tmp_path / "d/doc.json"))
+    sinks.document(spark, {"a": "é"}, str(tmp_path / "d/doc.json"))
+    assert sinks.document_at(spark, str(tmp_path / "d/doc.json")) == {"a": "é"} and sinks.document_at(spark, str(tmp_path / "d/none.json")) is None
     assert json.loads((tmp_path / "d/doc.json").read_text()) == {"a": "é"}
 
 
@@ -215,3 +219,22 @@ def test_summaries():
     assert "B" in summaries.table([{"key": "A", "n_problems": 1, "pass_at_1": 1.0, "pass_at_n": 1.0}], ["A", "B"]).splitlines()[1]
     assert summaries.progress(1, 0, 0, 0) == "chunk 1: 0 attempts, 0 correct (0.0%), 0 kept"
     assert summaries.run_name("x", datetime(2024, 1, 2, 3, 4, 5)) == "x-20240102-030405"
+
+
+def test_first_rows_beyond_one_task(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 37 % 5003).alias("id")).repartition(7)
+    want = [ids(curate.take_first(df, n, "id"), "id") for n in (1, 2999, 9000)], ids(curate.take_seeded(df, 777, "id"), "id")
+    monkeypatch.setattr(curate, "ONE_TASK", 0)
+    assert ([ids(curate.take_first(df, n, "id"), "id") for n in (1, 2999, 9000)], ids(curate.take_seeded(df, 777, "id"), "id")) == want
+    assert want[0][1] == sorted(k * 37 % 5003 for k in range(5000))[:2999]
+
+
+def test_too_few_rows_for_eval(spark):
+    assert curate.split_train_eval(spark.range(3), 3, "id").where("split = 'eval'").count() == 3
+    with pytest.raises(Exception, match="4 rows for eval"):
+        curate.split_train_eval(spark.range(3), 4, "id").collect()
+
+
+def test_nulls_in_json_lines(spark, tmp_path):
+    sinks.json_lines(spark.sql("select 1 a, cast(null as string) b"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":1,"b":null}']
