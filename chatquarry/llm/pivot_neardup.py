@@ -92,34 +92,58 @@ def _nearest(pivots: dict[int, np.ndarray], take: int):
     return run, "id long, lab long, pivots array<int>, keys array<long>, weight long"
 
 
-def _candidates(group: pa.Table, shared: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a task's rows that share enough pivots, and belong to this list as that of their smallest common pivot."""
-    blk, lab = group.column("blk").to_numpy(), group.column("lab").to_numpy()
-    i, j, here = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("key")[0].as_py() & ((1 << PIVOT_BITS) - 1)
-    lists = group.column("pivots").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    row, pivot = np.repeat(np.arange(len(blk)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+#: Rows of a task up to which descriptions are compared value by value.
+SMALL_LIST = 160
+
+
+def _compared(row: np.ndarray, pivot: np.ndarray, place: np.ndarray, n: int, deep: int, slack: int, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of rows, how many pivots they share at places that differ little, and how many below `here`."""
+    of = np.full((n, deep), -1, np.int32)
+    of[row, place] = pivot
+    other = np.where(of < 0, -2, of)
+    common, lower = np.zeros((n, n), np.int16), np.zeros((n, n), np.int16)
+    below = of < here
+    for a in range(deep):
+        for b in range(deep):
+            same = of[:, a, None] == other[None, :, b]
+            lower += same & below[:, a, None]
+            if abs(a - b) <= slack:
+                common += same
+    return common, lower
+
+
+def _multiplied(row: np.ndarray, pivot: np.ndarray, place: np.ndarray, n: int, deep: int, slack: int, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _compared(), by products of matrices: a row's places, against the places that lie near another row's."""
     _, code, times = np.unique(pivot, return_inverse=True, return_counts=True)
     some = times[code] > 1  # a pivot that one row names is shared with none
     names, code = np.unique(pivot[some], return_inverse=True)
-    row, place = row[some], place[some]
-    deep = int(size.max()) + 2 * slack
-    common, lower = np.zeros((len(blk), len(blk)), np.float32), np.zeros((len(blk), len(blk)), np.float32)
+    row, place, deep = row[some], place[some], deep + 2 * slack
+    common, lower = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     step = max(1, 2048 // deep)
-    for a in range(0, len(names), step):  # a row's place, against the places that lie near another row's
+    for a in range(0, len(names), step):
         at = (code >= a) & (code < a + step)
         r, c, p = row[at], code[at] - a, place[at]
-        one, near = np.zeros((len(blk), step, deep), np.float32), np.zeros((len(blk), step, deep), np.float32)
+        one, near = np.zeros((n, step, deep), np.float32), np.zeros((n, step, deep), np.float32)
         one[r, c, p + slack] = 1
         for d in range(2 * slack + 1):
             near[r, c, p + d] = 1
-        common += one.reshape(len(blk), -1) @ near.reshape(len(blk), -1).T
+        common += one.reshape(n, -1) @ near.reshape(n, -1).T
         below = np.zeros(step, bool)
         below[: len(names[a : a + step])] = names[a : a + step] < here
         if below.any():
             has = one.sum(axis=2)[:, below]
             lower += has @ has.T
+    return common, lower
+
+
+def _candidates(group: pa.Table, shared: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a task's rows that share enough pivots, and belong to this list as that of their smallest common pivot."""
+    blk, lab = group.column("blk").to_numpy(), group.column("lab").to_numpy()
+    i, j, here = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("key")[0].as_py() & ((1 << PIVOT_BITS) - 1)
+    lists = group.column("pivots").combine_chunks()
+    size, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    common, lower = (_compared if len(blk) <= SMALL_LIST else _multiplied)(np.repeat(np.arange(len(blk)), size), flat, place, len(blk), int(size.max()), slack, here)
     pair = (common >= np.minimum(shared, np.minimum.outer(size, size))) & (lower == 0) & (lab[:, None] == lab[None, :])
     pair = np.triu(pair, 1) if i == j else pair & np.outer(blk == i, blk == j)
     return np.nonzero(pair)
