@@ -7,9 +7,12 @@ other numbers is caught and a chance likeness is not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.base import let
 from ._shared import Scratch, bounded, kind_of, table
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -28,39 +31,54 @@ COVERAGE, ENOUGH = 0.5, 20
 #: Tokens that an item without a window needs to be searched within texts; a shorter one must be a whole line or sentence.
 LONG_ENOUGH = 4
 
+
+
+def _by_letter(words: str) -> str:
+    """The alternatives of a pattern by their first letter, so that a word is held against few of them."""
+    by: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in by.items())
+
+
 _EDGE = r"(?![\p{L}\p{N}])"
-_NUMBER = rf"(?<![\p{{L}}\p{{N}}])[0-9]+(?:[.,:/][0-9]+)*(?=(?:(?:{UNITS}){_EDGE})|{_EDGE})"
+_NUMBER = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])[0-9]+(?:[.,:/][0-9]+)*(?=(?:(?:{UNITS}){_EDGE})|{_EDGE})"
 _UNIT = rf"(?<=<num>)\s?(?:{UNITS}){_EDGE}"
-_CAPITALISED = rf"(?!(?i:{STARTERS}){_EDGE})\p{{Lu}}\p{{L}}*(?:['’-]\p{{L}}+)*"
-_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITALISED}(?: {_CAPITALISED})*"
+_CAPITALISED = rf"(?=\p{{Lu}})(?!(?i:{_by_letter(STARTERS)}){_EDGE})\p{{Lu}}\p{{L}}*+(?:['’-]\p{{L}}++)*+"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITALISED}(?: {_CAPITALISED})*+"
 
 
-def _steps(text: Column) -> tuple[Column, Column]:
-    """The text with numbers replaced, and with units replaced too."""
-    text = F.coalesce(text, F.lit(""))
-    numbers = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBER, NUM)).otherwise(text)
-    return numbers, F.when(F.contains(numbers, F.lit(NUM)), F.regexp_replace(numbers, _UNIT, f" {UNIT}")).otherwise(numbers)
+def _steps(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """body(text, with numbers replaced, with units replaced too), each evaluated once."""
+    numbers = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, _NUMBER, NUM)).otherwise(t)
+    units = lambda n: F.when(F.contains(n, F.lit(NUM)), F.regexp_replace(n, _UNIT, f" {UNIT}")).otherwise(n)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(numbers(t), lambda n: let(units(n), lambda u: body(t, n, u))))
+
+
+def _split(flat: Column, none: str) -> Column:
+    """The words of a text between single spaces, in lower case; none where the text doesn't match.
+
+    Words are lowered one by one, since those in ASCII take a much faster way than a text with one other letter.
+    """
+    return let(F.trim(flat), lambda x: F.when(x.rlike(none), F.transform(F.split(x, " "), F.lower)).otherwise(F.array().cast("array<string>")))
 
 
 def template(text: Column) -> Column:
     """The tokens of a text's template: array<string>, empty for null and for texts without words."""
-    named = F.regexp_replace(_steps(text)[1], _NAME, NAME)
-    flat = F.trim(F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}<>]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    named = lambda u: F.regexp_replace(u, _NAME, NAME)
+    return _steps(text, lambda t, n, u: _split(F.regexp_replace(named(u), r"[^\p{L}\p{N}<>]++", " "), "."))
 
 
 def slots(text: Column) -> Column:
     """The values of a text's slots in order: struct<num, unit, name> of array<string>."""
-    numbers, units = _steps(text)
-    low = lambda c: F.transform(c, lambda x: F.trim(F.lower(x)))
-    return F.struct(low(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), 0)).alias("num"), low(F.regexp_extract_all(numbers, F.lit(_UNIT), 0)).alias("unit"), low(F.regexp_extract_all(units, F.lit(_NAME), 0)).alias("name"))
+    low = lambda c, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda x: F.trim(F.lower(x)))
+    return _steps(text, lambda t, n, u: F.struct(low(t, _NUMBER).alias("num"), low(n, _UNIT).alias("unit"), low(u, _NAME).alias("name")))
 
 
 def plain(text: Column) -> Column:
     """The words, numbers and operators of a text as they are, in lower case: array<string>, empty where it has no letter or digit."""
-    signs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([-+*/=<>^%×÷−])", " $1 ")
-    flat = F.trim(F.regexp_replace(signs, r"[^\p{L}\p{N}+*/=<>^%×÷−-]+", " "))
-    return F.when(flat.rlike(r"[\p{L}\p{N}]"), F.split(flat, " ")).otherwise(F.array().cast("array<string>"))
+    signs = F.regexp_replace(F.coalesce(text, F.lit("")), r"([-+*/=<>^%×÷−])", " $1 ")
+    return _split(F.regexp_replace(signs, r"[^\p{L}\p{N}+*/=<>^%×÷−-]++", " "), r"[\p{L}\p{N}]")
 
 
 def _word_count(tokens: Column) -> Column:
