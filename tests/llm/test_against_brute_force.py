@@ -315,3 +315,30 @@ def test_loss_digest(spark):
     out = chat_format.format_chats(df.withColumn("parts", chat_format.text_parts(F.col("text"))))
     masked = out.select(chat_format.masked_text(F.col("formatted"), F.col("loss")).alias("m")).first().m
     assert hashlib.sha256(masked.encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest() and len(masked) == len(text)
+
+
+def test_lexicon_scan_equals_a_plain_search(spark):
+    weights = {"^idiot$": 5.0, "^trash": 4.0, "^trashy": 4.5, "^id": 1.0, "^can$": 0.5}
+    lexicon = toxicity.Lexicon(weights, (-2.0, 1.0, 1.0), ("trash can", "idiot box"))
+    rng = random.Random(21)
+    parts = ["idiot", "1d10t", "idiots", "trash", "trashy", "can", "cans", "box", "Trash", "idea", "İd", "x", ",", ".", "-", "t.r.a.s.h", "é", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randrange(25))) for _ in range(400)] + ["", None]
+
+    def plain(text):
+        folded, hits, excused = toxicity.fold(text or ""), {}, []
+        ends = lambda b: b == len(folded) or not folded[b].isalnum()
+        for a in range(len(folded)):
+            if a and folded[a - 1].isalnum():
+                continue
+            found = [w for t, w in weights.items() if folded.startswith(t[1:].rstrip("$"), a) and (not t.endswith("$") or ends(a + len(t) - 2))]
+            if found:
+                hits[a] = max(found)
+            excused += [(a, a + len(p)) for p in ("trash can", "idiot box") if folded.startswith(p, a) and ends(a + len(p))]
+        left = [w for a, w in hits.items() if not any(x <= a < y for x, y in excused)]
+        words = (text.count(" ") + text.count("\n") + 1) if text else 0
+        return len(left), 100 * sum(left) / (words + 20)
+
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()}
+    for k, text in enumerate(texts):
+        n, density = plain(text)
+        assert got[k].n_hits == n and got[k].density == pytest.approx(density) and got[k].predicted == (got[k].score >= 0.5), text
