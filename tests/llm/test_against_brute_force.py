@@ -342,3 +342,38 @@ def test_lexicon_scan_equals_a_plain_search(spark):
     for k, text in enumerate(texts):
         n, density = plain(text)
         assert got[k].n_hits == n and got[k].density == pytest.approx(density) and got[k].predicted == (got[k].score >= 0.5), text
+
+
+def test_grades_and_languages_equal_plain_loops(spark):
+    import math
+
+    import pyarrow as pa
+    import zstandard
+
+    from chatquarry.llm import language_id, quality
+
+    rng = random.Random(5)
+    some = {"en": "the cat sat on a mat and looked at the dog over there", "de": "der hund lief über die straße und sah das kleine haus dort", "fr": "le chat dort sur la chaise et regarde les oiseaux du jardin"}
+    texts = [" ".join(rng.choice(some[lang].split()) for _ in range(rng.choice([1, 8, 900]))) for lang in list(some) * 25] + ["", None, "!!! 12", "  \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    grader = quality.Grader(np.random.default_rng(1).normal(size=quality.WIDTH), np.array([-0.2, 0.1]), [0, 1, 2])
+    dictionaries = {lang: (words * 40).encode() for lang, words in some.items()}
+    graded = {r.doc_id: r for r in quality.grade(df, grader).collect()}
+    named = {r.doc_id: r for r in language_id.identify(df, dictionaries).collect()}
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    for k, text in enumerate(texts):
+        with np.errstate(over="ignore"):
+            index, _ = quality.features(pa.array([text], pa.string()))
+        f = sum(grader.weights[i] for row in index for i in row) / max(1, len((text or "").split()))
+        below = [logistic(t - f) for t in grader.thresholds]
+        assert graded[k].tail == pytest.approx(1 - below[0]) and graded[k].expected_grade == pytest.approx((below[1] - below[0]) + 2 * (1 - below[1]))
+        if not any(map(str.isalpha, text or "")):
+            assert (named[k].lang_pred, named[k].score) == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, raw in dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.BLOCK, dict_size=len(raw), write_checksum=0, write_content_size=0, write_dict_id=0)
+            coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            whole = text.lower().encode()
+            sizes[lang] = sum(len(coder.compress(whole[a : a + language_id.BLOCK])) for a in range(0, len(whole), language_id.BLOCK))
+        assert named[k].lang_pred == min(sorted(sizes), key=sizes.get)
