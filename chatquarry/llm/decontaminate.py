@@ -138,19 +138,26 @@ def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFram
     places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
     pairs = asked.join(slotted, "key").join(places, "doc")
 
-    def mapped(kind: str, mark: str, shift: Column) -> Column:
+    def inner(i: Column, a: Column, b: Column) -> Column:
+        """Of a name at the item's edge, the words next to the item: beyond them the document's own names run on."""
+        parts, n = F.split(b, " "), F.size(F.split(a, " "))
+        longer = a.isNotNull() & (F.size(parts) > n)
+        first, last = i == 0, i == F.size("tokens") - 1
+        return F.when(longer & first, F.array_join(F.slice(parts, -n, n), " ")).when(longer & last, F.array_join(F.slice(parts, F.lit(1), n), " ")).otherwise(b)
+
+    def mapped(kind: str, mark: str, shift: Column, value: Callable[[Column, Column, Column], Column] = lambda i, a, b: b) -> Column:
         """The distinct pairs of values of one kind at a place."""
         count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))
         here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + shift >= 0) & (F.get("theirs", i + F.greatest(shift, -i)) == mark))
-        values = F.transform(here, lambda i: F.struct(F.get(f"slots.{kind}", count("tokens", i)).alias("a"), F.get(f"values.{kind}", count("theirs", i + shift)).alias("b")))
-        return F.array_distinct(values)
+        ours, theirs = lambda i: F.get(f"slots.{kind}", count("tokens", i)), lambda i: F.get(f"values.{kind}", count("theirs", i + shift))
+        return F.array_distinct(F.transform(here, lambda i: F.struct(ours(i).alias("a"), value(i, ours(i), theirs(i)).alias("b"))))
 
     kinds = (("num", NUM), ("unit", UNIT), ("name", NAME))
-    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s.shift).alias(kind) for kind, mark in kinds], (s.n == F.col("windows")).alias("entire"))))
+    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s.shift).alias(kind) for kind, mark in kinds], mapped("name", NAME, s.shift, inner).alias("inner"), (s.n == F.col("windows")).alias("entire"))))
     consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
     same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
-    fits = F.exists("maps", lambda m: consistent(m.num) & consistent(m.unit) & consistent(m["name"]))
-    equal = F.exists("maps", lambda m: m.entire & same(m.num) & same(m.unit) & same(m["name"]))
+    fits = F.exists("maps", lambda m: consistent(m.num) & consistent(m.unit) & (consistent(m["name"]) | consistent(m.inner)))
+    equal = F.exists("maps", lambda m: m.entire & same(m.num) & same(m.unit) & same(m.inner))
     judged = pairs.select("doc", "key", fits.alias("fits"), equal.alias("same"))
     judged = judged.groupBy("doc", "key").agg(F.bool_or("fits").alias("fits"), F.bool_or("same").alias("same"))
     out = found.join(judged, ["doc", "key"], "left").where(F.coalesce("fits", F.lit(True)))
@@ -196,7 +203,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     An item is held if `coverage` of its windows (or `enough` of them) are found in the document's template and the
     slots of a place map consistently: equal values of the item to equal values of the document, for numbers, units
-    and names apart. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
+    and names apart. A name at the item's edge that runs on into names of the document counts whole or by the words
+    next to the item, whichever is consistent. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
     the most windows. Windows of fewer than `words` words don't count. An item of fewer tokens than a window is one
     window of its own length, if it has `words` words. An item without a window that counts is held where all its
     words, numbers and operators stand in a row as they are: so few words are no evidence of a copy with other slots.

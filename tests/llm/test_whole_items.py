@@ -96,3 +96,21 @@ def test_recall_of_generated_questions(spark):
     hits = sum(got[2 * k][0] and k in got[2 * k][2] for k in range(60))
     assert hits >= 54 and not any(got[2 * k + 1][0] for k in range(60))
     assert not any(got[2 * k][3] for k in range(60) if got[2 * k][0])
+
+
+def test_names_that_run_on_at_the_edges(spark):
+    """A name before or after the item joins the item's own in one slot; it is still held, with other names too."""
+    first = "Anna bought red apples at the old market and Anna sold green pears to her neighbours"
+    last = "Who paid seven old ladies for the carts that Piet gave to the nephews of Piet"
+    items = spark.createDataFrame([(1, first), (2, last)], "item_id long, text string")
+    rows = [
+        (1, f"so said Bob {first} today"),
+        (2, f"they asked {last} Jansen that day"),
+        (3, f"so said Bob {first.replace('Anna', 'Eva')} today"),
+        (4, f"so it was {first.replace('Anna', 'Mary Ann')} today"),
+        (5, f"so said Bob {first.replace('Anna', 'Carl', 1).replace('Anna', 'Dave')} today"),
+        (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.contaminated, r.verbatim) for r in decontaminate.flag(docs, items).collect()}
+    assert found == {1: (True, True), 2: (True, True), 3: (True, False), 4: (True, False), 5: (False, None), 6: (False, None)}
