@@ -2,12 +2,14 @@
 
 Numbers, the units after them and names become typed placeholders, case and punctuation go; windows of the templates
 are joined by hash, and where the words around agree the slots' values must map consistently, so that a question with
-other numbers is caught and a chance likeness is not.
+other numbers is caught and a chance likeness is not. Copies whose template differs only because of capitals are found
+by windows of the words as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.base import let
 from ._shared import Scratch, bounded, kind_of, table
 
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+#: Private-use characters: the first three begin a slot's token, the others end a number and other slots while they are
+#: marked in a text. Texts lose those of their own first.
+NUM, UNIT, NAME, _NUM_END, _END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 #: Units that count as slots after a number.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|mg|g|lb|oz|ml|l|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|meters?|metres?|miles?|feet|inches|grams?|pounds?|liters?|litres?"
 #: Capitalised words that are no names: those that begin sentences, questions above all.
@@ -28,10 +32,11 @@ STARTERS = (
 WINDOW, WORDS = 8, 5
 #: Share of an item's windows that must be found, or their number.
 COVERAGE, ENOUGH = 0.5, 20
-#: Tokens that an item without a window needs to be searched within texts; a shorter one must be a whole line or sentence.
+#: Tokens that an item needs to be searched as it is within texts; a shorter one must be a whole line or sentence.
 LONG_ENOUGH = 4
-
-
+#: Of an item as it is, all windows of PART tokens are known; of a text those at every STEP-th token are looked up. A text
+#: that holds PART + STEP - 1 tokens in a row has one of theirs; shorter items are one window, looked up at every token.
+PART, STEP = 5, 4
 
 def _by_letter(words: str) -> str:
     """The alternatives of a pattern by their first letter, so that a word is held against few of them."""
@@ -43,36 +48,47 @@ def _by_letter(words: str) -> str:
 
 _EDGE = r"(?![\p{L}\p{N}])"
 _NUMBER = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])[0-9]+(?:[.,:/][0-9]+)*(?=(?:(?:{UNITS}){_EDGE})|{_EDGE})"
-_UNIT = rf"(?<=<num>)\s?(?:{UNITS}){_EDGE}"
+_UNIT = rf"(?<={_NUM_END})\s?({UNITS}){_EDGE}"
 _CAPITALISED = rf"(?=\p{{Lu}})(?!(?i:{_by_letter(STARTERS)}){_EDGE})\p{{Lu}}\p{{L}}*+(?:['’-]\p{{L}}++)*+"
 _NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITALISED}(?: {_CAPITALISED})*+"
 
 
-def _steps(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
-    """body(text, with numbers replaced, with units replaced too), each evaluated once."""
-    numbers = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, _NUMBER, NUM)).otherwise(t)
-    units = lambda n: F.when(F.contains(n, F.lit(NUM)), F.regexp_replace(n, _UNIT, f" {UNIT}")).otherwise(n)
-    return let(F.coalesce(text, F.lit("")), lambda t: let(numbers(t), lambda n: let(units(n), lambda u: body(t, n, u))))
+_TOKEN = rf"[{NUM}-{NAME}][^{_NUM_END}{_END}]*+|[\p{{L}}\p{{N}}]++"
+_OWN = rf"[{NUM}-{_END}]"
 
 
-def _split(flat: Column, none: str) -> Column:
-    """The words of a text between single spaces, in lower case; none where the text doesn't match.
+def marked(text: Column) -> Column:
+    """The tokens of a text in lower case, array<string>: words as they are, slots as NUM, UNIT or NAME and their value.
 
-    Words are lowered one by one, since those in ASCII take a much faster way than a text with one other letter.
+    Slots are set between marks in the text, and all tokens are taken in one pass. Only letters and digits are parts
+    of words; empty for null and for texts without words.
     """
-    return let(F.trim(flat), lambda x: F.when(x.rlike(none), F.transform(F.split(x, " "), F.lower)).otherwise(F.array().cast("array<string>")))
+    own = lambda t: F.when(t.rlike(_OWN), F.regexp_replace(t, _OWN, " ")).otherwise(t)
+    numbers = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, _NUMBER, f"{NUM}$0{_NUM_END}")).otherwise(t)
+    units = lambda t: F.when(F.contains(t, F.lit(_NUM_END)), F.regexp_replace(t, _UNIT, f"{UNIT}$1{_END}")).otherwise(t)
+    names = lambda t: F.regexp_replace(t, _NAME, f"{NAME}$0{_END}")
+    found = let(F.coalesce(text, F.lit("")), lambda t: let(own(t), lambda t: let(numbers(t), lambda t: F.regexp_extract_all(names(units(t)), F.lit(_TOKEN), F.lit(0)))))
+    return F.transform(found, F.lower)
 
 
-def template(text: Column) -> Column:
-    """The tokens of a text's template: array<string>, empty for null and for texts without words."""
-    named = lambda u: F.regexp_replace(u, _NAME, NAME)
-    return _steps(text, lambda t, n, u: _split(F.regexp_replace(named(u), r"[^\p{L}\p{N}<>]++", " "), "."))
+def is_slot(token: Column, *marks: str) -> Column:
+    """Whether a token of marked() is a slot, one of the given kinds if there are some."""
+    if marks:
+        return F.left(token, F.lit(1)).isin(*marks)
+    return (token >= NUM) & (token < _NUM_END)
 
 
-def slots(text: Column) -> Column:
-    """The values of a text's slots in order: struct<num, unit, name> of array<string>."""
-    low = lambda c, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda x: F.trim(F.lower(x)))
-    return _steps(text, lambda t, n, u: F.struct(low(t, _NUMBER).alias("num"), low(n, _UNIT).alias("unit"), low(u, _NAME).alias("name")))
+def typed(token: Column) -> Column:
+    """A token as it stands in the template: slots without their value."""
+    return F.when(is_slot(token), F.left(token, F.lit(1))).otherwise(token)
+
+
+def _split(flat: Column, none: str) -> Column:
+    """The words of a text between single spaces, in lower case; none where the text doesn't match.
+
+    Words are lowered one by one, since those in ASCII take a much faster way than a text with one other letter.
+    """
+    return let(F.trim(flat), lambda x: F.when(x.rlike(none), F.transform(F.split(x, " "), F.lower)).otherwise(F.array().cast("array<string>")))
 
 
 def plain(text: Column) -> Column:
@@ -82,20 +98,39 @@ def plain(text: Column) -> Column:
 
 
 def _word_count(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda x: ~x.isin(NUM, UNIT, NAME)))
+    return F.size(F.filter(tokens, lambda t: ~is_slot(t)))
+
+
+_WINDOWS = "array<struct<h:bigint,place:int>>"
 
 
-def _windows(tokens: Column, widths: list[int]) -> Column:
-    """All windows of a list of tokens, of every width: array<struct<h, place>>; the width is part of the hash.
+def _windows(tokens: Column, widths: list[int], form: Callable[[Column], Column] = lambda t: t) -> Column:
+    """All windows of the forms of a list of tokens, of every width: array<struct<h, place>>; the width is part of the hash.
 
-    The list is evaluated once, as the lambda's argument.
+    Narrower windows come first, each width's by place. Tokens are hashed once; two hashes of a power of two of tokens make that of twice as many, and two that overlap
+    make that of any number between.
     """
+    top = max(widths, default=1)
 
-    def of(t: Column, w: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(t) - (w - 1)), lambda i: F.struct(F.xxhash64(F.lit(w), F.slice(t, i, w)).alias("h"), i.alias("place")))
-        return F.when(F.size(t) >= w, each).otherwise(F.array().cast("array<struct<h:bigint,place:int>>"))
+    def pair(low: Column, by: int, width: int) -> Column:
+        return F.zip_with(low, F.slice(low, F.lit(by + 1), F.size(low)), lambda x, y: F.xxhash64(F.lit(width), x, y))
 
-    return F.get(F.transform(F.array(tokens), lambda t: F.concat(*[of(t, w) for w in widths])), F.lit(0))
+    def of(low: Column, size: int, n: Column) -> Column:
+        """The windows whose widths are from `size` to less than twice that, and those of larger widths."""
+        now = [w for w in widths if size <= w < 2 * size]
+        each = [F.transform(F.slice(low if w == size else pair(low, w - size, w), F.lit(1), F.greatest(n - (w - 1), F.lit(0))), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("place"))) for w in now]
+        if 2 * size <= top:
+            each.append(let(pair(low, size, 2 * size), lambda twice: of(twice, 2 * size, n)))
+        return F.concat(*each)
+
+    first = F.transform(tokens, lambda t: F.xxhash64(F.lit(1), form(t)))
+    return F.coalesce(let(first, lambda h: of(h, 1, F.size(h))), F.array().cast(_WINDOWS)) if widths else F.array().cast(_WINDOWS)
+
+
+def _parts(tokens: Column, step: int) -> Column:
+    """The windows of PART tokens at every step-th token, like _windows(), with other hashes."""
+    at = lambda t: F.when(F.size(t) >= PART, F.sequence(F.lit(1), F.size(t) - (PART - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return let(tokens, lambda t: F.transform(at(t), lambda i: F.struct(F.xxhash64(F.lit(-1), F.slice(t, i, PART)).alias("h"), i.alias("place"))))
 
 
 def _key(ident: Column, text: Column) -> Column:
@@ -103,59 +138,51 @@ def _key(ident: Column, text: Column) -> Column:
     return F.when(ident.isNotNull(), F.concat(F.lit("i"), ident.cast("string"))).otherwise(F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def _whole(texts: DataFrame, short: DataFrame, window: int) -> DataFrame | None:
-    """(doc, key) of the texts that hold all tokens of an item (key, plain) in a row, None without items.
+def _entire(texts: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
+    """Those (doc, key) of found where all words, numbers and operators of the item stand in a row in the text.
 
-    The item's first tokens, a window at most, are joined by hash; longer items are then compared in full, and those
-    of under LONG_ENOUGH tokens with the text's lines and sentences.
+    An item of under LONG_ENOUGH of them must be a whole line or sentence. A document is read once for all its items.
     """
-    short = short.withColumn("width", F.least(F.lit(window), F.size("plain")))
-    widths = sorted(r[0] for r in short.select("width").distinct().collect())
-    if not widths:
-        return None
-    first = short.select("key", F.xxhash64("width", F.slice("plain", F.lit(1), F.col("width"))).alias("h"))
-    hashes = F.array_distinct(F.transform(_windows(plain(F.col("text")), widths), lambda x: x.h))
-    found = texts.select("doc", F.explode(hashes).alias("h")).join(bounded(first), "h").select("doc", "key").distinct()
-    unsure = short.where((F.size("plain") >= window) | (F.size("plain") < LONG_ENOUGH)).select("key", "plain")
-    sure = found.join(bounded(unsure.select("key")), "key", "left_anti")
     joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    lines = F.transform(F.split("text", r"[\n\r]+|(?<=[.!?:;])\s+"), plain)
-    fits = F.when(F.size("plain") < LONG_ENOUGH, F.exists(lines, lambda t: t == F.col("plain"))).otherwise(F.contains(joined(plain(F.col("text"))), joined("plain")))
-    return sure.unionByName(found.join(bounded(unsure), "key").join(texts, "doc").where(fits).select("doc", "key").distinct())
+    wanted = items.select("key", joined("plain").alias("needle"), (F.size("plain") < LONG_ENOUGH).alias("short"))
+    wanted = found.select("doc", "key").distinct().join(bounded(wanted), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "needle", "short")).alias("asked"))
+    lines = F.transform(F.split("text", r"[\n\r]+|(?<=[.!?:;])\s+"), lambda x: joined(plain(x)))
+    about = wanted.join(texts, "doc").withColumns({"whole": joined(plain(F.col("text"))), "lines": F.when(F.exists("asked", lambda a: a.short), lines)}).drop("text")
+    held = F.filter("asked", lambda a: F.when(a.short, F.array_contains("lines", a.needle)).otherwise(F.contains("whole", a.needle)))
+    return about.select("doc", F.explode(held).alias("a")).select("doc", "a.key").distinct()
 
 
 def _judged(scratch: Scratch, hits: DataFrame, total: DataFrame, bench: DataFrame, texts: DataFrame, coverage: float, enough: int) -> DataFrame:
     """(doc, key, found, windows, verbatim) of the windows found, where the coverage is reached and the slots fit."""
-    hits = scratch.keep(hits.groupBy("doc", "key", "shift", "at").count().drop("count"), "hits")
     reached = lambda n: (n >= coverage * F.col("windows")) | (n >= enough)
     found = hits.groupBy("doc", "key").agg(F.countDistinct("at").alias("found"))
     found = found.join(bounded(total), "key").where(reached(F.col("found")))
     shifts = hits.groupBy("doc", "key", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "key").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", F.col("shift").cast("int").alias("shift"))).alias("all"))
     tried = F.filter("all", lambda p: reached(p.n) | (p.n == F.col("most")))
     found = scratch.keep(found.join(shifts, ["doc", "key"]).select("doc", "key", "found", "windows", (F.col("most") == F.col("windows")).alias("entire"), tried.alias("shifts")), "found")
-    slotted = bench.where(F.exists("tokens", lambda t: t.isin(NUM, UNIT, NAME)))
+    slotted = bench.where(F.exists("tokens", lambda t: is_slot(t))).select("key", "tokens")
     asked = scratch.keep(found.join(bounded(slotted.select("key")), "key", "left_semi"), "asked")
-    places = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", template(F.col("text")).alias("theirs"), slots(F.col("text")).alias("values"))
-    pairs = asked.join(slotted, "key").join(places, "doc")
+    theirs = texts.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", marked(F.col("text")).alias("theirs"))
+    pairs = asked.join(slotted, "key").join(theirs, "doc")
 
     def inner(i: Column, a: Column, b: Column) -> Column:
         """Of a name at the item's edge, the words next to the item: beyond them the document's own names run on."""
-        parts, n = F.split(b, " "), F.size(F.split(a, " "))
-        longer = a.isNotNull() & (F.size(parts) > n)
+        parts, n = F.split(F.substr(b, F.lit(2)), " "), F.size(F.split(a, " "))
+        longer = F.size(parts) > n
         first, last = i == 0, i == F.size("tokens") - 1
-        return F.when(longer & first, F.array_join(F.slice(parts, -n, n), " ")).when(longer & last, F.array_join(F.slice(parts, F.lit(1), n), " ")).otherwise(b)
+        words = lambda some: F.concat(F.lit(NAME), F.array_join(some, " "))
+        return F.when(longer & first, words(F.slice(parts, -n, n))).when(longer & last, words(F.slice(parts, F.lit(1), n))).otherwise(b)
 
-    def mapped(kind: str, mark: str, shift: Column, value: Callable[[Column, Column, Column], Column] = lambda i, a, b: b) -> Column:
+    def mapped(mark: str, shift: Column, value: Callable[[Column, Column, Column], Column] = lambda i, a, b: b) -> Column:
         """The distinct pairs of values of one kind at a place."""
-        count = lambda c, n: F.size(F.filter(F.slice(c, 1, n), lambda x: x == mark))
-        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i) == mark) & (i + shift >= 0) & (F.get("theirs", i + F.greatest(shift, -i)) == mark))
-        ours, theirs = lambda i: F.get(f"slots.{kind}", count("tokens", i)), lambda i: F.get(f"values.{kind}", count("theirs", i + shift))
+        ours, theirs = lambda i: F.get("tokens", i), lambda i: F.get("theirs", i + shift)
+        here = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: is_slot(ours(i), mark) & F.coalesce(is_slot(theirs(i), mark), F.lit(False)))
         return F.array_distinct(F.transform(here, lambda i: F.struct(ours(i).alias("a"), value(i, ours(i), theirs(i)).alias("b"))))
 
     kinds = (("num", NUM), ("unit", UNIT), ("name", NAME))
-    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(kind, mark, s.shift).alias(kind) for kind, mark in kinds], mapped("name", NAME, s.shift, inner).alias("inner"), (s.n == F.col("windows")).alias("entire"))))
+    pairs = pairs.withColumn("maps", F.transform("shifts", lambda s: F.struct(*[mapped(mark, s.shift).alias(kind) for kind, mark in kinds], mapped(NAME, s.shift, inner).alias("inner"), (s.n == F.col("windows")).alias("entire"))))
     consistent = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p.a)))
-    same = lambda c: F.forall(c, lambda p: p.a.eqNullSafe(p.b))
+    same = lambda c: F.forall(c, lambda p: p.a == p.b)
     fits = F.exists("maps", lambda m: consistent(m.num) & consistent(m.unit) & (consistent(m["name"]) | consistent(m.inner)))
     equal = F.exists("maps", lambda m: m.entire & same(m.num) & same(m.unit) & same(m.inner))
     judged = pairs.select("doc", "key", fits.alias("fits"), equal.alias("same"))
@@ -169,33 +196,39 @@ def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
     given = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    every = given.select("text").distinct().select("text", F.monotonically_increasing_id().alias("key"), template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"), plain(F.col("text")).alias("plain"))
+    every = given.select("text").distinct().select("text", F.monotonically_increasing_id().alias("key"), marked(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))
     every = scratch.keep(every, "items")
-    bench = every.drop("text").where(F.size("tokens") >= words)
-    width = F.least(F.lit(window), F.size("tokens"))
-    whole = bench.select("key", "tokens", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("tokens") - width + 1)).alias("at", "from"))
-    whole = whole.select("key", "width", "at", F.slice("tokens", F.col("from"), F.col("width")).alias("part")).where(_word_count(F.col("part")) >= words)
-    known = scratch.keep(whole.select("key", "width", "at", F.xxhash64("width", "part").alias("h")), "windows")
-    total = known.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
-    texts = docs.select(_key(F.col(id_col), F.col(text_col).cast("string")).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    short = every.where(F.size("plain") > 0).join(total, "key", "left_anti")
-    exact = _whole(texts, short.select("key", "plain"), window)
-    out = None
-    widths = sorted(r[0] for r in known.select("width").distinct().collect())  # the window, and the lengths of shorter items
+    bench = every.select("key", "tokens").where(F.size("tokens") >= words)
+    shorter = bench.where(F.size("tokens") < window)
+    widths = sorted(r[0] for r in shorter.select(F.size("tokens")).distinct().collect())
+    # an item of under `window` tokens is one window, the first of its width
+    one = F.get(F.filter(_windows(F.col("tokens"), widths, typed), lambda w: w.place == 1), F.array_position(F.lit(widths), F.size("tokens")).cast("int") - 1)
+    wide = F.filter(_windows(F.col("tokens"), [window], typed), lambda w: _word_count(F.slice("tokens", w.place, window)) >= words)
+    known = [bench.where(F.size("tokens") >= window).select("key", F.lit(False).alias("as_is"), F.explode(wide).alias("w"))]
     if widths:
-        places = texts.select("doc", F.explode(_windows(template(F.col("text")), widths)).alias("w")).select("doc", F.col("w.h").alias("h"), F.col("w.place").alias("place"))
-        hits = places.join(bounded(known.select("key", "at", "h")), "h").select("doc", "key", "at", (F.col("place") - 1 - F.col("at")).alias("shift"))
-        out = _judged(scratch, hits, total, bench, texts, coverage, enough)
-    if exact is not None:
-        one = F.lit(1).cast("long")
-        exact = scratch.keep(exact.select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim")), "whole")
-        out = exact if out is None else out.unionByName(exact)
-    if out is None:
-        return given.where("false").select(F.lit("").alias("doc"), "item", F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("windows"), F.lit(True).alias("verbatim"))
-    out = out.join(bounded(given.join(every, "text").select("key", "item")), "key")
+        known.append(shorter.where(_word_count(F.col("tokens")) >= words).select("key", F.lit(False).alias("as_is"), one.alias("w")))
+    if not bench.isEmpty():
+        widths.append(window)
+    asked = every.select("key", "plain").where(F.size("plain") > 0)
+    lengths = sorted(r[0] for r in asked.select(F.size("plain")).where(F.size("plain") < PART + STEP - 1).distinct().collect())
+    first = F.get(F.filter(_windows(F.col("plain"), lengths), lambda w: w.place == 1), F.array_position(F.lit(lengths), F.size("plain")).cast("int") - 1)
+    known.append(asked.where(F.size("plain") >= PART + STEP - 1).select("key", F.lit(True).alias("as_is"), F.explode(_parts(F.col("plain"), 1)).alias("w")))
+    if lengths:
+        known.append(asked.where(F.size("plain") < PART + STEP - 1).select("key", F.lit(True).alias("as_is"), first.alias("w")))
+    known = scratch.keep(reduce(DataFrame.unionByName, known).select("key", "as_is", (F.col("w.place") - 1).alias("at"), "w.h"), "windows")
+    total = known.where("not as_is").groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
+    texts = docs.select(_key(F.col(id_col), F.col(text_col).cast("string")).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    as_is = let(plain(F.col("text")), lambda p: F.concat(_parts(p, STEP), _windows(p, lengths)))
+    places = texts.select("doc", F.explode(F.concat(_windows(marked(F.col("text")), widths, typed), as_is)).alias("w")).select("doc", "w.h", "w.place")
+    hits = places.join(bounded(known), "h").select("doc", "key", "as_is", "at", (F.col("place") - 1 - F.col("at")).alias("shift"))
+    hits = scratch.keep(hits.groupBy("doc", "key", "as_is", "shift", "at").count().drop("count"), "hits")
+    out = _judged(scratch, hits.where("not as_is"), total, bench, texts, coverage, enough)
+    one = F.coalesce("windows", F.lit(1)).cast("long")
+    entire = _entire(texts, hits.where("as_is"), asked).join(bounded(total), "key", "left").select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim"))
+    out = out.unionByName(scratch.keep(entire, "whole")).join(bounded(given.join(every, "text").select("key", "item")), "key")
     most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
     out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))
-    return out.select("doc", "item", "most.found", "most.windows", "verbatim")
+    return scratch.keep(out.select("doc", "item", "most.found", "most.windows", "verbatim"), "matches")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, words: int = WORDS, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
@@ -206,11 +239,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     and names apart. A name at the item's edge that runs on into names of the document counts whole or by the words
     next to the item, whichever is consistent. Every place is tried that reaches the coverage by itself or, of an item found in parts, holds
     the most windows. Windows of fewer than `words` words don't count. An item of fewer tokens than a window is one
-    window of its own length, if it has `words` words. An item without a window that counts is held where all its
-    words, numbers and operators stand in a row as they are: so few words are no evidence of a copy with other slots.
-    One of under LONG_ENOUGH of these must be a whole line or sentence of the document, since a word or two say
-    nothing within one. Only items without a letter or digit are not searched.
-    verbatim says that at one place all windows are found and all slots are equal. Null and empty texts hold nothing;
+    window of its own length, if it has `words` words. Any item is
+    held, too, where all its words, numbers and operators stand in a row as they are, in capitals or not: one without
+    a window that counts is held only there, since so few words are no evidence of a copy with other slots. One of
+    under LONG_ENOUGH of these must be a whole line or sentence of the document, since a word or two say nothing
+    within one. Only items without a letter or digit are not searched.
+    verbatim says that the item stands there as it is, or that at one place all windows are found and all slots are
+    equal. Marks, tags and signs between words don't count, nor do characters of the private use area. Null and empty texts hold nothing;
     documents that repeat an id count together, each text without an id is a document of its own: its row has a null
     doc and the text's MD5, which is null for the others. Ids may have any type.
     Every distinct text of the items is searched by itself and mapped back to its ids at the end, so rows that repeat
@@ -237,7 +272,7 @@ def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -
     """
     options = _options(options)
     found = _matches(docs, items, id_col, **options)
-    about = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.bool_or("verbatim").alias("verbatim"))
+    about = Scratch(docs.sparkSession, "templates").keep(found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.bool_or("verbatim").alias("verbatim")), "about")
     rows = docs.select(F.col(id_col).alias("id"), _key(F.col(id_col), F.col(options["text_col"]).cast("string")).alias("doc"))
     out = rows.join(bounded(about), "doc", "left")
     none = F.array().cast(f"array<{kind_of(items, options['item_col'])}>")
@@ -251,7 +286,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
     empty table of items leaves docs as it is. Columns are those of docs, whatever their names.
     """
     options = _options(options)
-    found = _matches(docs, items, id_col, **options).select(F.col("doc").alias("held")).distinct()
+    found = Scratch(docs.sparkSession, "templates").keep(_matches(docs, items, id_col, **options).select(F.col("doc").alias("held")).distinct(), "held")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _key(F.col(id_col), F.col(options["text_col"]).cast("string")).alias("key"))
     return rows.join(bounded(found), F.col("key") == F.col("held"), "left_anti").select("doc.*")
 
