@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chat
-from ..operators import curate, normalize, vectors
-from ..sources import readers, sinks
+from ..operators import curate, layers, normalize
+from ..sources import sinks
 from . import settings, summaries
 from .registry import query
 from .scoring import WITH, scored
@@ -50,47 +51,70 @@ def small_pools(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, pool long, small boolean")
 
 
-@query("""select name, model_len, new_tokens, temperature::double as temperature, top_p::double as top_p, top_k, over from (values ('strict', 4096, 4096, 0.3, 0.95, 20, ''), ('legacy', 20480, 9, 0.3, 0.5, 5, 'the scorer''s cap'), ('wide', 8000, 9000, 0.7, 0.95, 5, 'the scorer''s cap, the trained length'))
-t(name, model_len, new_tokens, temperature, top_p, top_k, over)""")
+_LAYERS = """v_set as (select event_id, event_type, user_id, case event_id % 6 when 0 then '{broken' when 1 then replace(props, '"k"', '"top_k"') when 2 then '{"temperature": ' || (value / 100)::varchar || ', "top_p": "high"}'
+    when 3 then '[1, 2]' when 4 then '{"temperature": null, "top_k": 7}' end as file,
+  case user_id % 4 when 0 then '{"top_p": 0.5, "new_tokens": 9}' when 1 then '{}' when 3 then '{"temperature": 0.7, "model_len": 8000, "new_tokens": 9000}' end as given from events),
+v_json as (select *, case when json_valid(file) and json_type(file) = 'OBJECT' then file::json end as f, given::json as g from v_set)"""
+
+
+def _layers(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings for each event: what the caller gives, and a file's text, which may be malformed, no object or absent."""
+    of, props = F.col("event_id") % 6, F.replace("props", F.lit('"k"'), F.lit('"top_k"'))
+    warm = F.concat(F.lit('{"temperature": '), (F.col("value") / 100).cast("string"), F.lit(', "top_p": "high"}'))
+    file = F.when(of == 0, F.lit("{broken")).when(of == 1, props).when(of == 2, warm).when(of == 3, F.lit("[1, 2]")).when(of == 4, F.lit('{"temperature": null, "top_k": 7}'))
+    of = F.col("user_id") % 4
+    given = F.when(of == 0, F.lit('{"top_p": 0.5, "new_tokens": 9}')).when(of == 1, F.lit("{}")).when(of == 3, F.lit('{"temperature": 0.7, "model_len": 8000, "new_tokens": 9000}'))
+    return table(spark, folder, "events").select("event_id", "event_type", "user_id", file.alias("file"), given.alias("given"))
+
+
+def _from(field: str, kind: str, fallback: str) -> str:
+    of = lambda x: f"try_cast({x} ->> '{field}' as {kind})"
+    return f"coalesce({of('g')}, {of('f')}, {fallback})::{kind} as {field}, case when {of('g')} is not null then 'given' when {of('f')} is not null then 'file' else 'fallback' end as {field}_from"
+
+
+@query(f"""with {_LAYERS} select event_id, {_from("temperature", "double", "0.3")}, {_from("top_p", "double", "0.95")}, {_from("top_k", "int", "20")}, case when file is not null and f is null then 'file' else '' end as malformed from v_json""")
 def resolved_settings(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampling settings from the caller, a JSON or YAML file, or the fallback; context caps; advice on budgets.
-
-    The three runs differ in what they are given; contexts beyond what is supported are an error.
-    """
-    root = scratch(spark, "settings")
-    sinks.document(spark, {"top_k": 5}, f"{root}/run.json")
-    sinks.text(spark, "top_k: 5\ntemperature: 0.9", f"{root}/run.yaml")
-    sinks.text(spark, "{broken", f"{root}/broken.json")
-    runs = (("strict", {}, "broken.json", {}, 8192), ("legacy", {"top_p": 0.5}, "run.json", {"new_tokens": 9}, 4096), ("wide", {"temperature": 0.7}, "run.yaml", {"model_len": 8000, "new_tokens": 9000}, 8000))
-    rows = []
-    for name, given, file, caps, trained in runs:
-        a, b = settings.context_caps(name if name in settings.CAPS else "strict", **caps)
-        settings.check_context(a, 32768)
-        found = settings.sampling(given, settings.settings_file(spark, f"{root}/{file}"))
-        over = settings.token_budget(a if name == "legacy" else b, 40960 if name == "legacy" else trained, 4096)
-        told = ", ".join(t.split(" over ")[1].rsplit(" of ", 1)[0] for t in over)
-        rows.append((name, a, b, float(found["temperature"]), float(found["top_p"]), int(found["top_k"]), told))
-    return spark.createDataFrame(rows, "name string, model_len int, new_tokens int, temperature double, top_p double, top_k int, over string")
-
-
-@query("select 'same' as pair, '' as differs union all select 'rank', 'r' union all select 'modules', 'target_modules' union all select 'weights', 'weights must sum to 1'")
+    """Sampling settings of every event's row from the caller, a file's JSON, or the fallback, with where each is from."""
+    fields = {"temperature": ("double", settings.FALLBACK["temperature"]), "top_p": ("double", settings.FALLBACK["top_p"]), "top_k": ("int", settings.FALLBACK["top_k"])}
+    out = layers.resolve(_layers(spark, folder), {"given": F.col("given"), "file": F.col("file")}, fields)
+    return out.withColumn("malformed", F.array_join("malformed", ",")).drop("event_type", "user_id", "file", "given")
+
+
+@query(f"""with {_LAYERS}, c as (select event_id, coalesce((g ->> 'model_len')::int, case when event_type = 'click' then 20480 else 4096 end) as model_len, coalesce((g ->> 'new_tokens')::int, case when event_type = 'click' then 16384 else 4096 end) as new_tokens from v_json)
+select event_id, model_len, new_tokens, array_to_string(list_filter([case when new_tokens > 4096 then 'the scorer''s cap' end, case when new_tokens > model_len then 'the trained length' end], lambda x: x is not null), ', ') as over,
+  model_len > 16384 as refused from c""")
+def context_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Context caps of a mode, each overridden by the caller alone; budgets beyond limits; contexts beyond what is supported."""
+    rows = layers.resolve(_layers(spark, folder), {"given": F.col("given")}, {"model_len": ("int", None), "new_tokens": ("int", None)})
+    mode = F.when(F.col("event_type") == "click", F.lit("legacy")).otherwise(F.lit("strict"))
+    rows = rows.select("event_id", layers.context_caps(settings.CAPS, mode, F.col("model_len"), F.col("new_tokens")).alias("c")).select("event_id", "c.*")
+    over = layers.beyond(F.col("new_tokens"), {"the scorer's cap": F.lit(4096), "the trained length": F.col("model_len")})
+    return rows.select("event_id", "model_len", "new_tokens", F.array_join(over, ", ").alias("over"), (F.size(layers.beyond(F.col("model_len"), {"supported": F.lit(16384)})) > 0).alias("refused"))
+
+
+@query("""with s as (select source as name, (count(*) % 3)::varchar as r, count(distinct lang)::varchar as alpha, max(n_chars % 5)::varchar as dropout, list_distinct(list(lang || n_chars % 4)) as modules from documents group by source),
+b as (select arg_min({'r': r, 'alpha': alpha, 'dropout': dropout, 'modules': modules}, name) as b from s),
+d as (select name, unnest([{'field': 'r', 'a': [b.r], 'h': [s.r]}, {'field': 'alpha', 'a': [b.alpha], 'h': [s.alpha]}, {'field': 'dropout', 'a': [b.dropout], 'h': [s.dropout]}, {'field': 'modules', 'a': b.modules, 'h': s.modules}]) as x from s, b)
+select name, x.field as field, array_to_string(list_sort(list_filter(x.a, lambda v: not list_contains(x.h, v))), ',') as only_first, array_to_string(list_sort(list_filter(x.h, lambda v: not list_contains(x.a, v))), ',') as only_here
+from d where len(list_filter(x.a, lambda v: not list_contains(x.h, v))) + len(list_filter(x.h, lambda v: not list_contains(x.a, v))) > 0""")
 def agreeing_settings(spark: SparkSession, folder: str) -> DataFrame:
-    """Adapters' settings that agree, sets in any order, and those that don't; weights that don't sum to one."""
-    base = {"r": 16, "lora_alpha": 32, "lora_dropout": 0.05, "target_modules": ["q_proj", "v_proj"]}
-    others = {"same": base | {"target_modules": ["v_proj", "q_proj"]}, "rank": base | {"r": 8}, "modules": base | {"target_modules": ["q_proj"]}}
-    rows = []
-    for name, other in others.items():
-        try:
-            vectors.check_same([base, other], ["r", "lora_alpha", "lora_dropout"], ["target_modules"])
-            rows.append((name, ""))
-        except ValueError as e:
-            rows.append((name, str(e).removeprefix("settings differ in ").split(":")[0]))
-    vectors.check_weights([0.3, 0.7 + 1e-9])
-    try:
-        vectors.check_weights([0.3, 0.6])
-    except ValueError as e:
-        rows.append(("weights", str(e)))
-    return spark.createDataFrame(rows, "pair string, differs string")
+    """Settings that follow from each source's documents, against those of the first source: fields, and sets both ways."""
+    docs = table(spark, folder, "documents").withColumn("module", F.concat("lang", (F.col("n_chars") % 4).cast("string")))
+    groups = docs.groupBy(F.col("source").alias("name")).agg((F.count(F.lit(1)) % 3).alias("r"), F.countDistinct("lang").alias("alpha"), F.max(F.col("n_chars") % 5).alias("dropout"), F.collect_set("module").alias("modules"))
+    out = layers.disagreements(groups, "name", ["r", "alpha", "dropout"], ["modules"])
+    return out.select("name", "field", F.array_join("only_first", ",").alias("only_first"), F.array_join("only_here", ",").alias("only_here"))
+
+
+_SHARE = "l_extendedprice / sum(l_extendedprice) over (partition by l_orderkey)"
+
+
+@query(f"select l_orderkey as order_id, round(sum(w), 6) as total from (select l_orderkey, {_SHARE} * case when l_orderkey % 10 = 0 then 0.9 when l_orderkey % 10 = 1 then 1 + 1e-9 else 1 end as w from lineitem) group by 1 having abs(sum(w) - 1) > 1e-6")
+def unbalanced_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines' shares of their order as weights, some off: the orders whose weights don't sum to one."""
+    share = F.col("l_extendedprice") / F.sum("l_extendedprice").over(W.partitionBy("l_orderkey"))
+    of = F.col("l_orderkey") % 10
+    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), (share * F.when(of == 0, 0.9).when(of == 1, 1 + 1e-9).otherwise(1.0)).alias("w"))
+    return layers.unbalanced(rows, "order_id", "w").withColumn("total", F.round("total", 6))
 
 
 @query("select lang as name, count(*) as n_problems, true as wrote, false as wrote_again, true as forced from documents group by 1")
@@ -124,18 +148,6 @@ def json_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return back.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.count("quality").alias("rated"))
 
 
-@query("select item_id + 1 as line, item_id from (select row_number() over (order by item_id) - 1 as k, item_id from benchmark) where k % 3 = 1 and item_id = k")
-def malformed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """File and line of what a strict read refuses: every third line is cut short."""
-    path = scratch(spark, "malformed")
-    rows = table(spark, folder, "benchmark").orderBy("item_id")
-    line = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("item_id").cast("string").alias("answer")))
-    cut = F.concat(F.lit('{"id": '), F.col("item_id").cast("string"))
-    rows.select(F.when(F.col("item_id") % 3 == 1, cut).otherwise(line)).coalesce(1).write.text(path)
-    bad = readers.bad_lines(spark, path, "validation")
-    return bad.select(F.col("line").cast("long").alias("line"), F.regexp_extract("text", "([0-9]+)$", 1).cast("long").alias("item_id"))
-
-
 @query(f"""{WITH}, s as (select subject, count(*) as p, sum(n)::bigint as n, avg(c / n) as rate from v_prob group by 1)
 select subject, printf('%s: n_problems=%d n_completions=%d pass_at_1=%.4f', subject, p, n, round(rate, 9)) as line, 'eval-20240102-030405' as run from s""")
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:

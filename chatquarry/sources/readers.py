@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.base import blank
+from . import lines
 from .sinks import exists
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -28,47 +30,50 @@ def schema(kind: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[kind])
 
 
-def strict_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON lines by a fixed schema; a malformed line ends the read with its file and text, blank lines don't count.
+def _parsed(text: Column, fields: T.StructType) -> Column:
+    """A JSON line by a schema, with the line itself in _corrupt_record where it is malformed."""
+    return F.from_json(text, T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt_record"})
 
-    bad_lines() gives the numbers of such lines.
-    """
-    fields = schema(kind).add("_corrupt_record", T.StringType())
-    out = spark.read.schema(fields).option("mode", "PERMISSIVE").json(path).withColumn("__file", F.col("_metadata.file_path"))
-    bad = F.raise_error(F.concat(F.lit("malformed line in "), F.col("__file"), F.lit(": "), F.left(F.col("_corrupt_record"), F.lit(200)))).cast("boolean")
-    return out.where(F.when(F.col("_corrupt_record").isNotNull(), bad).otherwise(F.lit(True))).drop("_corrupt_record", "__file")
 
+def strict_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """JSON lines by a fixed schema; a malformed line ends the read with file:line and its text, blank lines don't count."""
+    rows = lines.numbered(spark, path).where(~blank(F.col("text"))).withColumn("__r", _parsed(F.col("text"), schema(kind)))
+    told = F.concat(F.lit("malformed line in "), lines.where(F.col("file"), F.col("line")), F.lit(": "), F.left(F.col("text"), F.lit(200)))
+    return rows.where(F.when(F.col("__r._corrupt_record").isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).select("__r.*").drop("_corrupt_record")
 
-def bad_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(file, line, text) of the malformed lines: lines are numbered from 1 over each file, blank ones counted.
 
-    A file is read in one piece here, so this is for the files that strict_json() names, not for whole corpora.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))
-    parsed = F.from_json("text", schema(kind).add("_corrupt_record", T.StringType()), {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.where(F.trim("text") != "").where(parsed["_corrupt_record"].isNotNull()).select("file", (F.col("at") + 1).alias("line"), "text")
+def bad_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, line, text) of the malformed lines: lines are numbered from 1 over each file, blank ones counted."""
+    rows = lines.numbered(spark, path).where(~blank(F.col("text")))
+    return rows.where(_parsed(F.col("text"), schema(kind))["_corrupt_record"].isNotNull())
 
 
-def lenient_json(spark: SparkSession, path: str, kind: str, valid: Column | None = None, most: int | None = None, order_by: str | None = None) -> DataFrame:
-    """JSON lines without the malformed and the invalid; `most` counts valid rows, in the order of order_by."""
-    fields = schema(kind).add("_corrupt_record", T.StringType())
-    out = spark.read.schema(fields).option("mode", "PERMISSIVE").json(path)
-    good = out.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    good = good.where(valid) if valid is not None else good
-    return good if most is None else (good.orderBy(order_by) if order_by else good).limit(most)
+def lenient_json(spark: SparkSession, path: str, kind: str, valid: Column | None = None, most: int | None = None) -> DataFrame:
+    """JSON lines without the malformed and the invalid; with `most`, the first so many valid rows, as a sequential read
+    of the files by name gives them."""
+    rows = lines.scan(spark, path).where(~blank(F.col("text"))).withColumn("__r", _parsed(F.col("text"), schema(kind))).where("__r._corrupt_record is null")
+    names = schema(kind).fieldNames()
+    rows = rows.select(*[F.col(f"__r.{n}").alias(n) for n in names], *[c for c in rows.columns if c.startswith("__") and c != "__r"])
+    rows = rows.where(valid) if valid is not None else rows
+    return (rows if most is None else lines.first(rows, most)).select(*names)
 
 
 def strict_prompts(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """prompt, answer; a missing or empty one raises an error."""
-    rows = strict_json(spark, path, "validation")
-    need = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.raise_error(F.lit(f"a row has no {c}")).cast("string")).otherwise(F.col(c)).alias(c)
-    out = rows.select(need("prompt"), need("answer"))
-    return out if most is None else out.limit(most)
+    """prompt, answer; a malformed line, or a missing or empty one of both, is an error that names file:line.
 
-
-def with_line_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Ids that follow a file's lines: rows of a partition in order, partitions in the order of the file's splits."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    With `most`, only the first so many lines that aren't blank are judged; errors then name the file and such a
+    line's number among these, from 0.
+    """
+    if most is None:
+        rows = lines.numbered(spark, path).where(~blank(F.col("text"))).withColumn("__where", lines.where(F.col("file"), F.col("line")))
+    else:
+        rows = lines.place(lines.scan(spark, path).where(~blank(F.col("text"))), overall="__at").where(F.col("__at") < most)
+        rows = rows.withColumn("__where", F.concat("__file", F.lit(", row "), F.col("__at").cast("string")))
+    rows = rows.withColumn("__r", _parsed(F.col("text"), schema("validation")))
+    empty = lambda c: F.coalesce(F.col(f"__r.{c}"), F.lit("")) == ""
+    wrong = F.when(F.col("__r._corrupt_record").isNotNull(), F.lit("a malformed line")).when(empty("prompt"), F.lit("no prompt")).when(empty("answer"), F.lit("no answer"))
+    told = F.concat(wrong, F.lit(" in "), F.col("__where"), F.lit(": "), F.left(F.col("text"), F.lit(200)))
+    return rows.where(F.when(wrong.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).select("__r.prompt", "__r.answer")
 
 
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
