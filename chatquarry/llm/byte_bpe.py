@@ -40,11 +40,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
 
 
+def pack(i: int) -> bytes:
+    """An id as four bytes: lists of ids are then joined, cut and compared as byte strings."""
+    return i.to_bytes(4, "little")
+
+
 class Prefixes:
     """The table of last tokens for byte strings, and what follows from it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
+        self.packed = {b: pack(i) for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         ends: dict[bytes, set[int]] = {}
         for b in ranks:
@@ -52,8 +58,8 @@ class Prefixes:
                 ends.setdefault(b[-3:], {2} if b[-2:] in ranks else set()).add(len(b))
         self.lengths = {e: sorted(ns, reverse=True) for e, ns in ends.items()}  # of the tokens that end in three bytes, or are two
         self.filled = 0
-        self.stored: dict[bytes, int] = {}
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stored: dict[bytes, bytes] = {}
+        self.stays: dict[bytes, bool] = {}
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
 
@@ -113,9 +119,13 @@ class Prefixes:
                     i, j = (i + 1, j) if until_x <= until_y else (i, j + 1)
                 else:
                     break
+        return good
+
+    def next_to(self, pair: bytes) -> bool:
+        """stay() of two packed ids, stored."""
         if len(self.stays) >= KNOWN:
             self.stays.clear()
-        self.stays[a, b] = good
+        good = self.stays[pair] = self.stay(int.from_bytes(pair[:4], "little"), int.from_bytes(pair[4:], "little"))
         return good
 
     def first(self, a: int) -> bool:
@@ -126,7 +136,7 @@ class Prefixes:
 
     def grow(self, raw: bytes, last: list[int], until: int | None = None) -> list[int]:
         """Fills the table of raw's prefixes, last[k] for the first k + 1 bytes, up to a length."""
-        ranks, lengths, stays, end = self.ranks, self.lengths, self.stays, len(raw) if until is None else until
+        ranks, packed, lengths, stays, end = self.ranks, self.packed, self.lengths, self.stays, len(raw) if until is None else until
         self.filled += max(0, end - len(last))
         for i in range(len(last) + 1, end + 1):
             for n in lengths.get(raw[max(0, i - 3) : i]) or lengths.get(raw[i - 2 : i], ()) if i > 1 else (1,):
@@ -136,9 +146,9 @@ class Prefixes:
                     if self.first(token):
                         break
                 else:
-                    before = last[i - n - 1]
-                    if (good := stays.get((before, token))) is None:
-                        good = self.stay(before, token)
+                    pair = pack(last[i - n - 1]) + packed[raw[i - n : i]]
+                    if (good := stays.get(pair)) is None:
+                        good = self.next_to(pair)
                     if good:
                         break
             else:
@@ -156,45 +166,41 @@ class Prefixes:
             i -= len(bytes_of[last[i - 1]])
         return out[::-1]
 
-    def last_of(self, raw: bytes) -> int:
-        """The last token of a short string, by the same rule as grow(); of its prefixes only those that matter are asked.
+    def short(self, raw: bytes) -> bytes:
+        """The packed encoding of a short string; its last four bytes are the last token, found by grow()'s rule.
 
-        Words that begin alike share what is stored for their prefixes.
+        Of its prefixes only those that matter are asked. Words that begin alike share what is stored for these.
         """
-        if (token := self.stored.get(raw)) is not None:
-            return token
-        size, ranks, stays = len(raw), self.ranks, self.stays
+        if (found := self.stored.get(raw)) is not None:
+            return found
+        size, packed, stays = len(raw), self.packed, self.stays
         for n in self.lengths.get(raw[-3:]) or self.lengths.get(raw[-2:], ()) if size > 1 else (1,):
-            if n > size or (token := ranks.get(raw[size - n :])) is None:
+            if n > size or (token := packed.get(raw[size - n :])) is None:
                 continue
             if n == size:
-                if self.first(token):
+                if self.first(self.ranks[raw]):
+                    found = token
                     break
             else:
-                before = self.last_of(raw[: size - n])
-                if (good := stays.get((before, token))) is None:
-                    good = self.stay(before, token)
+                before = self.short(raw[: size - n])
+                pair = before[-4:] + token
+                if (good := stays.get(pair)) is None:
+                    good = self.next_to(pair)
                 if good:
+                    found = before + token
                     break
         else:
-            token = ranks[raw[-1:]]
+            found = self.short(raw[:-1]) + packed[raw[-1:]]
         if len(self.stored) >= KNOWN:
             self.stored.clear()
-        self.stored[raw] = token
-        return token
+        self.stored[raw] = found
+        return found
 
-    def encode(self, raw: bytes) -> list[int]:
-        if (whole := self.ranks.get(raw)) is not None:
-            return [whole]
-        if len(raw) > SHORT:
-            return self.read(raw, self.grow(raw, []))
-        out, stored, bytes_of = [], self.stored, self.bytes_of
-        while raw:
-            if (token := stored.get(raw)) is None:
-                token = self.last_of(raw)
-            out.append(token)
-            raw = raw[: -len(bytes_of[token])]
-        return out[::-1]
+    def encode(self, raw: bytes) -> bytes:
+        """The packed encoding of a whole string. One that is an entry itself is that entry, whatever the merges reach."""
+        if (whole := self.packed.get(raw)) is not None:
+            return whole
+        return self.short(raw) if len(raw) <= SHORT else b"".join(map(pack, self.read(raw, self.grow(raw, []))))
 
     def regrow(self, raw: bytes, old: list[int], start: int, tail: int) -> list[int]:
         """The table of raw, whose first `start` and last `tail` bytes are those of the string with the table `old`."""
@@ -209,37 +215,42 @@ class Prefixes:
         return last
 
 
-class Words:
-    """Splits texts by the pattern and encodes each match; known words are looked up.
+_CUT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]")
+
+
+def words_of(text: str) -> list[str]:
+    """A text cut before white space that follows something else.
 
-    A match never holds white space behind anything else and looks no further than the white space's end, so a text
-    may be cut before white space that follows something else, and what is between two cuts is a word to look up.
-    Texts with other white space than SPACES, whose class differs between libraries, are split by the pattern alone.
+    Texts with other white space than space, tab and line ends, whose class differs between libraries, stay whole.
     """
+    return [text] if _OTHER_SPACE.search(text) else _CUT.findall(text)
 
-    CUT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-    OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]")
+
+class Words(dict):
+    """Splits texts by the pattern and encodes each match; words by their packed ids, for the words known.
+
+    A match never holds white space behind anything else and looks no further than the white space's end, so the
+    words of words_of() are encoded each by itself, and known ones are looked up.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
+        super().__init__()
         self.prefixes, self.pattern = Prefixes(ranks), regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
 
-    def new(self, word: str) -> list[int]:
-        if len(self.known) >= KNOWN:
-            self.known.clear()
+    def __missing__(self, word: str) -> bytes:
         encode, pieces = self.prefixes.encode, self.pattern.findall(word)
-        out = encode(word.encode()) if len(pieces) == 1 else [i for p in pieces for i in encode(p.encode())]
+        out = encode(word.encode()) if len(pieces) == 1 else b"".join([encode(p.encode()) for p in pieces])
+        if len(self) >= KNOWN:
+            self.clear()
         if len(word) <= 100:
-            self.known[word] = out
+            self[word] = out
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        words = [text] if self.OTHER_SPACE.search(text) else self.CUT.findall(text)
-        get, new = self.known.get, self.new
-        found = [w if w is not None else new(words[k]) for k, w in enumerate(map(get, words))]
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, words_of(text))), "<i4")
 
     def read(self, text: str, cuts: list[int], last: list[int]) -> list[int]:
         """The ids of a text from the tables of its matches, which end at cuts."""
@@ -253,7 +264,9 @@ class Words:
 
 def _words(sent, pattern: str) -> Words:
     ranks, kept = sent.value
-    return kept.get(pattern) or kept.setdefault(pattern, Words(ranks, pattern))
+    if pattern not in kept:
+        kept[pattern] = Words(ranks, pattern)
+    return kept[pattern]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -301,7 +314,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded with out_col binary: the bytes of ids_col's tokens, joined. Null is no ids; an unknown id is an error.
+    """encoded with out_col binary: the bytes of ids_col's tokens (array<int>), joined. Null is no ids; an unknown id is an error.
 
     Other columns pass; ids_col itself stays. out_col must not be a column yet.
     """
@@ -310,9 +323,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = {i: b for b, i in sent.value[0].items()}
+        size = np.zeros(max(of) + 1, np.int64)
+        size[list(of)] = [len(b) for b in of.values()]
+        start = np.cumsum(size) - size
+        all_ = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
         for batch in batches:
-            out = [b"".join(map(of.__getitem__, ids or ())) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            lists = batch.column(ids_col)
+            edges = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy()[edges[0] : edges[-1]]
+            if len(ids) and not (0 <= ids.min() and ids.max() < len(size) and size[ids].all()):
+                raise ValueError("an id is not in the vocabulary")
+            ends = np.cumsum(size[ids])
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - ends + size[ids], size[ids])
+            bounds = np.concatenate([[0], ends])[edges - edges[0]]
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(all_[at])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], names=[*batch.schema.names, out_col])
 
     return in_arrow(encoded, run, f"{kind}, `{out_col}` binary")
 
