@@ -8,7 +8,8 @@ lambda looks for a value in a list. Links of all documents are counted by pair o
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, in_arrow, kind_of, sub_batches, table
+from .byte_bpe import words_of
 
 #: The query's two vocabularies, names in the package of public tokenizers.
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: What tokenize() adds.
+NEW = ("a", "a_size", "a_ends", "b", "b_size", "b_ends")
 #: Pairs of ids that are broadcast at once with their counts; more pairs are met in several passes.
 PAIRS_AT_ONCE = 1_000_000
 
@@ -44,34 +48,87 @@ def byte_level(file: bytes) -> dict[bytes, int]:
     return {bytes(of[c] for c in t): i for t, i in [*((c, vocab[c]) for c in of), *made]}
 
 
-class Left:
-    """Ids of a byte-level BPE; special tokens' strings are ordinary text."""
+#: Words of each side that a worker holds with their ids; a full table starts anew.
+KNOWN = 200_000
+
+
+class Side(dict):
+    """Ids of texts by one tokenizer; words by their packed ids, for the words known. A text begins with a space."""
+
+    bytes_of: list[bytes]
+    whole = False
+
+    def encode(self, word: str) -> bytes:
+        raise NotImplementedError
+
+    def ready(self) -> None:
+        self.size = np.array([len(b) for b in self.bytes_of], np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.all = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.encode(word)
+        if len(self) >= KNOWN:
+            self.clear()
+        if len(word) <= 100:
+            self[word] = out
+        return out
+
+    def ids(self, text: str, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, [text] if self.whole else words)), "<i4")
+
+    def says(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the ids' bytes, joined, are raw."""
+        size = self.size[ids].astype(np.int64)
+        ends = np.cumsum(size)
+        if (ends[-1] if len(ends) else 0) != len(raw):
+            return False
+        at = np.arange(len(raw)) + np.repeat(self.start[ids] - ends + size, size)
+        return bool((self.all[at] == np.frombuffer(raw, np.uint8)).all())
+
+
+class Left(Side):
+    """A byte-level BPE; special tokens' strings are ordinary text, and the pattern's matches lie within words (see byte_bpe)."""
 
     def __init__(self, file: bytes, pattern: str):
         import tiktoken
 
+        super().__init__()
         ranks = byte_level(file)
         self.encoder = tiktoken.Encoding("left", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
+        self.ready()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encoder.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int32) for t in texts]
+    def encode(self, word: str) -> bytes:
+        return self.encoder.encode_to_numpy(word, disallowed_special=()).astype("<i4").tobytes()
 
 
-class Right:
-    """Ids of a piece model that puts a space before the text."""
+class Right(Side):
+    """A piece model that puts a space, written U+2581, before a text.
+
+    Where no piece has a space behind anything else or another white space, no piece reaches from one word into
+    another, so that words are encoded each by itself; else texts are encoded whole.
+    """
 
     def __init__(self, file: bytes):
         import sentencepiece
 
+        super().__init__()
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=file)
         piece, is_byte = self.encoder.id_to_piece, self.encoder.is_byte
-        self.bytes_of = [bytes([int(piece(i)[3:-1], 16)]) if is_byte(i) else piece(i).replace("\u2581", " ").encode() for i in range(self.encoder.get_piece_size())]
+        pieces = [piece(i) for i in range(self.encoder.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:-1], 16)]) if is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.space = self.encoder.piece_to_id("\u2581")
+        within = re.compile("\u2581*[^\u2581\\s]*")
+        self.whole = not all(within.fullmatch(p) for p in pieces) or self.encoder.encode("\n") != [self.space, *self.encoder.encode("\n")[1:]]
+        self.ready()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in self.encoder.encode(texts, num_threads=1)]
+    def encode(self, word: str) -> bytes:
+        if word[0] == " ":
+            return np.array(self.encoder.encode(word[1:]) if len(word) > 1 else [self.space], "<i4").tobytes()
+        return np.array(self.encoder.encode(word)[1:], "<i4").tobytes()  # without the space that was put before it
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -80,10 +137,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def tokenize(docs: DataFrame, left: bytes, right: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs' other columns with a, a_ends, b, b_ends (array<int>): both sides' ids and where each ends, in bytes of space+text.
+    """docs' other columns with a, a_size, a_ends, b, b_size, b_ends (array<int>): both sides' ids, their bytes, and where
+    each ends in space+text.
 
     left is the content of a byte-level BPE's JSON file, right that of a piece model. Texts that are null, empty, or of
-    which one side's bytes, joined, are not space+text have four empty lists. Texts are encoded whole. The four names
+    which one side's bytes, joined, are not space+text have empty lists. Texts are encoded whole. The new names
     must not be columns of docs.
     """
     if len(left) + len(right) > 64 << 20:
@@ -94,56 +152,54 @@ def tokenize(docs: DataFrame, left: bytes, right: bytes, pattern: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_file, right_file, kept = sent.value  # a worker's later tasks find what its first one has made
         a, b = kept.get("both") or kept.setdefault("both", (Left(left_file, pattern), Right(right_file)))
-        sizes = [np.array([len(x) for x in side.bytes_of], np.int32) for side in (a, b)]
         for whole in batches:
             for batch in sub_batches(whole, text_col):
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                columns: list[list[np.ndarray]] = [[], [], [], []]
-                for text, x, y in zip(texts, a(texts), b(texts)):
-                    want = b" " + text.encode()
-                    if not text or b"".join(map(a.bytes_of.__getitem__, x.tolist())) != want or b"".join(map(b.bytes_of.__getitem__, y.tolist())) != want:
-                        x = y = np.zeros(0, np.int32)
-                    for column, value in zip(columns, (x, np.cumsum(sizes[0][x], dtype=np.int32), y, np.cumsum(sizes[1][y], dtype=np.int32))):
+                columns: list[list[np.ndarray]] = [[] for _ in NEW]
+                for text in batch.column(text_col).to_pylist():
+                    spaced = f" {text}" if text else ""
+                    words, raw = words_of(spaced), spaced.encode()
+                    x, y = (side.ids(spaced, words) if text else np.zeros(0, "<i4") for side in (a, b))
+                    if not (a.says(x, raw) and b.says(y, raw)):
+                        x = y = np.zeros(0, "<i4")
+                    size_x, size_y = a.size[x], b.size[y]
+                    for column, value in zip(columns, (x, size_x, np.cumsum(size_x, dtype=np.int32), y, size_y, np.cumsum(size_y, dtype=np.int32))):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *map(_lists, columns)], names=[*others, "a", "a_ends", "b", "b_ends"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *map(_lists, columns)], names=[*others, *NEW])
 
-    kind = ", ".join([*(f"`{c}` {kind_of(docs, f'`{c}`')}" for c in others), *(f"{c} array<int>" for c in ("a", "a_ends", "b", "b_ends"))])
+    kind = ", ".join([*(f"`{c}` {kind_of(docs, f'`{c}`')}" for c in others), *(f"{c} array<int>" for c in NEW)])
     return in_arrow(docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), run, kind)
 
 
-def _places(marks: Column, of: Callable[[Column], Column]) -> Column:
-    """The places, from 1, of those marks for which `of` holds, in order."""
-    return F.array_remove(F.transform(marks, lambda x, i: F.when(of(x), i + 1).otherwise(0)), 0)
+def align(tokens: DataFrame) -> DataFrame:
+    """tokenize()'s rows with cuts, a_marks, b_marks (array<int>) and links array<long> in place of sizes and ends.
 
+    cuts are the ends that both sides have: a group is what lies between two of them. a_marks has for each token of
+    `a` twice its end, and one more where that is a cut; b_marks likewise. links has, in order, every pair of tokens,
+    one of each side, whose bytes overlap, as pair_of() their ids: there is one for each stretch between neighbouring
+    ends of any side, found by the tokens that hold its last byte. Texts without tokens have empty lists; other
+    columns pass. groups() shows the groups as lists.
+    """
+    marks = lambda ends: F.sort_array(F.concat(F.transform("cuts", lambda e: e * 2 + 1), F.transform(F.array_except(ends, "cuts"), lambda e: e * 2)))
+    of_bytes = lambda ids, sizes: F.flatten(F.zip_with(ids, sizes, F.array_repeat))
+    out = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "ends": F.sort_array(F.array_union("a_ends", "b_ends")), "of_a": of_bytes("a", "a_size"), "of_b": of_bytes("b", "b_size")})
+    links = F.transform("ends", lambda e: pair_of(F.get("of_a", e - 1), F.get("of_b", e - 1)))
+    return out.withColumns({"a_marks": marks("a_ends"), "b_marks": marks("b_ends"), "links": links}).drop("ends", "of_a", "of_b", *NEW[1:3], *NEW[4:])
 
-def _steps(places: str) -> Callable[[Column], Column]:
-    """How far the place of a position, from 0, is from the one before."""
-    return lambda i: F.get(places, i) - F.coalesce(F.get(places, i - 1), F.lit(0))
 
+def groups(aligned: DataFrame) -> DataFrame:
+    """align()'s rows with groups array<struct<a array<int>, b array<int>, end int>>: the ids of each group and where it ends."""
+    last = lambda marks: F.array_remove(F.transform(marks, lambda x, i: F.when(x % 2 == 1, i + 1).otherwise(0)), 0)
+    part = lambda ids, at, k: F.slice(ids, F.coalesce(F.get(at, k - 2), F.lit(0)) + 1, F.get(at, k - 1) - F.coalesce(F.get(at, k - 2), F.lit(0)))
+    numbers = F.when(F.size("cuts") > 0, F.sequence(F.lit(1), F.size("cuts"))).otherwise(F.array().cast("array<int>"))
+    out = aligned.withColumns({"__a": last("a_marks"), "__b": last("b_marks")})
+    each = F.transform(numbers, lambda k: F.struct(part("a", "__a", k).alias("a"), part("b", "__b", k).alias("b"), F.get("cuts", k - 1).alias("end")))
+    return out.withColumn("groups", each).drop("__a", "__b")
 
-def align(tokens: DataFrame) -> DataFrame:
-    """tokenize()'s rows with groups array<struct<a, b, end>>, link_a and link_b array<int> in place of the ends.
 
-    A group has the ids of both sides between two offsets where both have an end, and the later offset. Links are all
-    pairs of tokens, one of each side, whose bytes overlap, in order: link_a has the ids of the one side, link_b of the
-    other. Between two neighbouring ends of any side there is one link, so a token has as many links as there are
-    ends within it and at its own end. Texts without tokens have empty lists; other columns pass.
-    """
-    is_a, is_b = (lambda x: x.bitwiseAND(F.lit(1)) != 0), (lambda x: x.bitwiseAND(F.lit(2)) != 0)
-    of = lambda ends, mark: F.transform(ends, lambda e: e.cast("long") * 4 + mark)
-    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # every offset where a token ends, times 4, with a mark: 1 for one side, 2 for the other, 3 for a cut
-    marks = F.sort_array(F.concat(of(F.col("cuts"), 3), of(F.array_except("a_ends", "cuts"), 1), of(F.array_except("b_ends", "cuts"), 2)))
-    out = out.withColumn("marks", marks).drop("a_ends", "b_ends")
-    out = out.withColumns({
-        "at_a": _places(F.col("marks"), is_a), "at_b": _places(F.col("marks"), is_b),
-        "cut_a": _places(F.filter("marks", is_a), is_b), "cut_b": _places(F.filter("marks", is_b), is_a),
-    }).drop("marks")
-    part = lambda ids, at, k: F.slice(ids, F.coalesce(F.get(at, k - 2), F.lit(0)) + 1, _steps(at)(k - 1))
-    numbers = F.when(F.size("cuts") > 0, F.sequence(F.lit(1), F.size("cuts"))).otherwise(F.array().cast("array<int>"))
-    groups = F.transform(numbers, lambda k: F.struct(part("a", "cut_a", k).alias("a"), part("b", "cut_b", k).alias("b"), F.get("cuts", k - 1).alias("end")))
-    each = lambda ids, at: F.flatten(F.transform(ids, lambda t, i: F.array_repeat(t, _steps(at)(i))))
-    return out.withColumns({"groups": groups, "link_a": each("a", "at_a"), "link_b": each("b", "at_b")}).drop("cuts", "at_a", "at_b", "cut_a", "cut_b")
+def group_text(ids: str, marks: str) -> Column:
+    """The ids of each group, with commas between: array<string>."""
+    flat = F.array_join(F.zip_with(ids, marks, lambda t, x: F.concat(t.cast("string"), F.when(x % 2 == 1, ";").otherwise(","))), "")
+    return F.split(F.rtrim(flat, F.lit(";")), ";")
 
 
 def pair_of(a: Column, b: Column) -> Column:
@@ -151,23 +207,15 @@ def pair_of(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-def with_pairs(aligned: DataFrame) -> DataFrame:
-    """align()'s rows with pairs array<long>, the distinct linked pairs of ids in order, and times array<int>, how often each is linked."""
-    out = aligned.withColumn("links", F.sort_array(F.zip_with("link_a", "link_b", pair_of)))
-    last = F.array_remove(F.transform("links", lambda x, i: F.when(F.get("links", i + 1).eqNullSafe(x), 0).otherwise(i + 1)), 0)
-    out = out.withColumn("last", last)
-    return out.withColumns({"pairs": F.transform("last", lambda p: F.get("links", p - 1)), "times": F.transform("last", lambda p, i: _steps("last")(i))}).drop("links", "last")
-
-
 def pair_counts(linked: DataFrame) -> DataFrame:
-    """(pair, count, best) over with_pairs()'s rows: in how many rows a pair is linked, and whether no pair of the same `a` is in more.
+    """(pair, count, best) over align()'s links: in how many rows a pair is linked, and whether no pair of the same `a` is in more.
 
     Counts are summed within each task before they are shuffled, by pairs and then by ids of the one side.
     """
-    counts = linked.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
+    counts = linked.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
     counts = Scratch(linked.sparkSession, "pairs").keep(counts, "counts")
     of_a = F.shiftright("pair", 32).cast("int")
-    highest = counts.groupBy(of_a.alias("a")).agg(F.max("count").alias("most"))
+    highest = counts.groupBy(of_a.alias("a")).agg(F.max("count").alias("most"))  # no more rows than ids of a vocabulary of 64 MB
     return counts.withColumn("a", of_a).join(F.broadcast(highest), "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
@@ -182,26 +230,24 @@ def alignment(docs: DataFrame, left: bytes, right: bytes, pattern: str, id_col:
     """
     scratch = Scratch(docs.sparkSession, "alignment")
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = with_pairs(align(tokenize(some, left, right, pattern)))
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g.a), F.lit("|"), ids(g.b))), ";")
-    n_links = F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + (F.size(g.a) + F.size(g.b) - 1).cast("long"))
+    rows = align(tokenize(some, left, right, pattern)).withColumns({"in_a": group_text("a", "a_marks"), "in_b": group_text("b", "b_marks")})
+    text = F.array_join(F.zip_with("in_a", "in_b", lambda x, y: F.concat(x, F.lit("|"), y)), ";")
     size = lambda c: F.size(c).cast("long")
     rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "id", size("a").alias("n_a"), size("b").alias("n_b"), size("groups").alias("n_groups"), n_links.alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(text.cast("binary"), 256)).otherwise("").alias("groups_sha256"), "pairs", "times",
+        F.monotonically_increasing_id().alias("row"), "id", size("a").alias("n_a"), size("b").alias("n_b"), size("cuts").alias("n_groups"), size("links").alias("n_links"),
+        F.when(F.size("cuts") > 0, F.sha2(text.cast("binary"), 256)).otherwise("").alias("groups_sha256"), "links",
     )
     rows = scratch.keep(rows, "rows", wide=True)
     counts = scratch.keep(pair_counts(rows), "counts")
     passes = max(1, -(-counts.count() // at_once))
     turn = lambda p: F.pmod(F.xxhash64(p), F.lit(passes))
-    each = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    each = rows.select("row", F.explode("links").alias("pair"))
     sums = []
     for k in range(passes):
         now = each.where(turn("pair") == k).join(F.broadcast(counts.where(turn("pair") == k)), "pair").groupBy("row")
-        sums.append(scratch.keep(now.agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum")), f"sums-{k}"))
+        sums.append(scratch.keep(now.agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum")), f"sums-{k}"))
     sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    out = rows.drop("pairs", "times").join(sums, "row", "left")
+    out = rows.drop("links").join(sums, "row", "left")
     none = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
 
