@@ -138,7 +138,7 @@ def _key(ident: Column, text: Column) -> Column:
     return F.when(ident.isNotNull(), F.concat(F.lit("i"), ident.cast("string"))).otherwise(F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def _entire(texts: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
+def _entire(scratch: Scratch, texts: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
     """Those (doc, key) of found where all words, numbers and operators of the item stand in a row in the text.
 
     An item of under LONG_ENOUGH of them must be a whole line or sentence. A document is read once for all its items.
@@ -147,7 +147,7 @@ def _entire(texts: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
     wanted = items.select("key", joined("plain").alias("needle"), (F.size("plain") < LONG_ENOUGH).alias("short"))
     wanted = found.select("doc", "key").distinct().join(bounded(wanted), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "needle", "short")).alias("asked"))
     lines = F.transform(F.split("text", r"[\n\r]+|(?<=[.!?:;])\s+"), lambda x: joined(plain(x)))
-    about = wanted.join(texts, "doc").withColumns({"whole": joined(plain(F.col("text"))), "lines": F.when(F.exists("asked", lambda a: a.short), lines)}).drop("text")
+    about = texts.join(bounded(scratch.keep(wanted, "asked")), "doc").withColumns({"whole": joined(plain(F.col("text"))), "lines": F.when(F.exists("asked", lambda a: a.short), lines)}).drop("text")
     held = F.filter("asked", lambda a: F.when(a.short, F.array_contains("lines", a.needle)).otherwise(F.contains("whole", a.needle)))
     return about.select("doc", F.explode(held).alias("a")).select("doc", "a.key").distinct()
 
@@ -224,7 +224,7 @@ def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
     hits = scratch.keep(hits.groupBy("doc", "key", "as_is", "shift", "at").count().drop("count"), "hits")
     out = _judged(scratch, hits.where("not as_is"), total, bench, texts, coverage, enough)
     one = F.coalesce("windows", F.lit(1)).cast("long")
-    entire = _entire(texts, hits.where("as_is"), asked).join(bounded(total), "key", "left").select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim"))
+    entire = _entire(scratch, texts, hits.where("as_is"), asked).join(bounded(total), "key", "left").select("doc", "key", one.alias("found"), one.alias("windows"), F.lit(True).alias("verbatim"))
     out = out.unionByName(scratch.keep(entire, "whole")).join(bounded(given.join(every, "text").select("key", "item")), "key")
     most = F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("most")
     out = out.groupBy("doc", "item", F.when(F.col("item").isNull(), F.col("key")).alias("nameless")).agg(most, F.bool_or("verbatim").alias("verbatim"))
