@@ -1,4 +1,4 @@
-"""Weighted sums of named vectors and of agreeing settings: the table form of merging adapters."""
+"""Settings and weights that must agree, dropped components, keys that only one side has; operators.blocks merges tensors."""
 
 from __future__ import annotations
 
@@ -24,12 +24,6 @@ def check_same(settings: Sequence[Mapping], keys: Sequence[str], sets: Sequence[
                 raise ValueError(f"settings differ in {k}: {a!r}, {b!r}")
 
 
-def weighted_sum(vectors: DataFrame, name: str, weight: str, vector: str) -> DataFrame:
-    """(name, position, value): the sum of weight * value over the vectors of a name, in double."""
-    each = vectors.select(name, weight, F.posexplode(vector).alias("position", "v"))
-    return each.groupBy(name, "position").agg(F.sum(F.col(weight).cast("double") * F.col("v").cast("double")).alias("value"))
-
-
 def drop_and_rescale(vectors: DataFrame, key: str, vector: str, p: float, seed: int = 42) -> DataFrame:
     """Each component set to 0 with probability p, the others divided by 1 - p; the choice follows from key and position."""
     if not 0 <= p < 1:

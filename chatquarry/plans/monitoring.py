@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import monitor, score, vectors
+from ..operators import blocks, monitor, score, vectors
 from .registry import query
 from .views import COMPLETIONS, problems, scratch, table
 
@@ -41,11 +41,35 @@ def latest_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     return monitor.latest_checkpoint(table(spark, folder, "orders").select((F.col("o_custkey") % 10).alias("run"), name.alias("name")), "name", ["run"])
 
 
-@query("""select label as name, i - 1 as position, round(sum(0.5 * embedding[i]::double), 4) as value from embeddings, range(1, 65) r(i) group by all""")
+@query("""select label::varchar as name, i - 1 as position, round(sum(0.5 * embedding[i]::double), 4) as value from embeddings, range(1, 65) r(i) group by all""")
 def weighted_vector_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings merged by label, in blocks of 16 numbers."""
     rows = table(spark, folder, "embeddings").select(F.col("label").alias("name"), F.lit(0.5).alias("weight"), "embedding")
-    out = vectors.weighted_sum(rows, "name", "weight", "embedding")
-    return out.select("name", F.col("position").cast("long").alias("position"), F.round("value", 4).alias("value"))
+    out = blocks.weighted_sums(blocks.cut(rows, "embedding", 16), "weight")
+    each = F.transform("values", lambda v, i: F.struct((F.col("block") * 16 + i).alias("position"), F.round(v, 4).alias("value")))
+    return out.select("name", F.inline(each))
+
+
+@query("""with v as (select vec_id % 4 as adapter, vec_id // 4 as k, embedding from embeddings)
+select (k)::varchar as name, i - 1 as position, round(sum([0.1, 0.2, 0.3, 0.4][adapter + 1] * embedding[i]::double), 6) as value from v, range(1, 65) r(i) group by all having count(*) = 4""")
+def merged_adapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Four adapters' tensors, every fourth embedding each, merged by weights in blocks; all have the same names."""
+    rows = table(spark, folder, "embeddings").select((F.col("vec_id") % 4).alias("adapter"), F.floor(F.col("vec_id") / 4).alias("name"), "embedding")
+    out = blocks.merge(blocks.cut(rows, "embedding", 24), {"0": 0.1, "1": 0.2, "2": 0.3, "3": 0.4}, size=24)
+    each = F.transform("values", lambda v, i: F.struct((F.col("block") * 24 + i).alias("position"), F.round(v, 6).alias("value")))
+    return out.select("name", F.inline(each))
+
+
+@query("""with p as (select w.vec_id as row, j - 1 as position, w.embedding[j]::double + 0.5 * sum(w.embedding[a.vec_id + 1]::double * a.embedding[j]::double) as v
+  from embeddings w, embeddings a, range(1, 65) r(j) where a.vec_id < 8 group by w.vec_id, j, w.embedding)
+select row, position, round(v, 6) as value from p""")
+def folded_product(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings as a matrix, with half of a product of rank 8 added: their first 8 columns by the first 8 embeddings."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    base, right = blocks.matrix(rows, "vec_id", "embedding", 50, 32), blocks.matrix(rows.where("vec_id < 8"), "vec_id", "embedding", 4, 32)
+    left = blocks.matrix(rows.select("vec_id", F.slice("embedding", 1, 8).alias("v")), "vec_id", "v", 50, 4)
+    out = blocks.matrix_rows(blocks.fold(base, left, right, 0.5), 50)
+    return out.select("row", F.posexplode("values").alias("position", "value")).select("row", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
 
 
 _KEPT = "('0x' || substr(md5('42|drop|' || vec_id || ':' || i), 1, 15))::bigint % 1000000 >= 300000"
