@@ -68,7 +68,10 @@ def brevity(tokens: Column, target: int = TARGET_TOKENS) -> Column:
 
 
 def reward(completion: Column, gold: Column, tokens: Column | None = None, weight: float = BREVITY, target: int = TARGET_TOKENS) -> Column:
-    """A right boxed answer, a box that isn't blank, and brevity if right and asked for; equivalence without outer normal form."""
+    """A right boxed answer, a box that isn't blank, and brevity if right and asked for; equivalence without outer normal form.
+
+    tokens that Python counts must be a column of the frame before, since they can't be part of this expression.
+    """
     from ..functions.base import let
 
     def one(box: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, chat
+from ..functions import answers, chat, differ
 from ..operators import normalize
 from .registry import query
 from .views import CHATS, chats, table
@@ -74,3 +74,18 @@ def _direct(c: DataFrame) -> DataFrame:
     said = F.when(form == 0, F.concat(F.lit("The final answer is: "), "text")).when(form == 1, F.upper("text")).when(form == 2, F.concat(F.lit("  «".replace("«", "'")), "text", F.lit("!' "))).otherwise(F.concat(F.lit("Not "), "text"))
     gold = F.to_json(F.array(F.lit("another"), F.col("text")))
     return c.select("conv_id", "turn", answers.correct(answers.extract(said, "knowledge", gold), gold, "knowledge").alias("same"), F.md5(F.trim("text")).alias("key_md5"))
+
+
+_RENDERED = f"""{CHATS.strip().split(',' + chr(10) + 'v_chat')[0]}, v_text as (select conv_id, string_agg({_TURN}, '' order by turn) as a from v_msg group by 1),
+v_two as (select conv_id, a, (conv_id * 7919) % length(a) as p, case conv_id % 3 when 1 then left(a, ((conv_id * 7919) % length(a))::int) || '¤' || substr(a, (conv_id * 7919) % length(a) + 2) when 2 then left(a, ((conv_id * 7919) % length(a))::int) else a end as b from v_text)"""
+
+
+@query(f"""with {_RENDERED} select conv_id, p::int as place, case conv_id % 3 when 1 then 'character' else 'length' end as kind,
+  md5(substr(a, greatest(p - 40, 0) + 1, least(p, 40) + 80)) as left_md5, md5(substr(b, greatest(p - 40, 0) + 1, least(p, 40) + 80)) as right_md5 from v_two where a <> b""")
+def rendering_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations rendered twice, the second time with a character changed in a third and cut short in another."""
+    rows = chats(spark, folder).select("conv_id", chat.render(F.col("messages")).alias("a"))
+    p = ((F.col("conv_id") * 7919) % F.length("a")).cast("int")
+    other = F.when(F.col("conv_id") % 3 == 1, F.concat(F.left("a", p), F.lit("¤"), F.substr("a", p + 2))).when(F.col("conv_id") % 3 == 2, F.left("a", p)).otherwise(F.col("a"))
+    out = rows.withColumn("b", other).select("conv_id", differ.first_mismatch(F.col("a"), F.col("b")).alias("m")).where("m is not null")
+    return out.select("conv_id", "m.place", "m.kind", F.md5("m.left").alias("left_md5"), F.md5("m.right").alias("right_md5"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, base, boxed, udfs
+from ..functions import answers, base, boxed, subwords, udfs
 from ..functions import text as tx
 from ..operators import curate, normalize
 from .registry import query
@@ -72,6 +72,17 @@ def strip_rate(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg((base.rstrip(F.col("before")) != F.col("reasoning")).cast("int")), 6).alias("fired"))
 
 
+@query()
+def subword_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses of at most 1,000 tokens by a public vocabulary, and the tokens' share of the estimate's."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        count = subwords.subwords(subwords.ranks_of(f.read()), public_tokenizers.PATTERN)
+    rows = responses(spark, folder).select("doc_id", count(F.col("response")).alias("tokens"), tx.token_estimate(F.col("response")).alias("estimate"))
+    return rows.where("tokens <= 1000").select("doc_id", "tokens", F.round(F.col("tokens") / F.greatest("estimate", F.lit(1)), 6).alias("ratio"))
+
+
 @query(f"{WITH} select doc_id, ceil(length(response) / 4)::int as tokens from v_resp where ceil(length(response) / 4) <= 1000")
 def token_filter(spark: SparkSession, folder: str) -> DataFrame:
     return responses(spark, folder).select("doc_id", tx.token_estimate(F.col("response")).alias("tokens")).where("tokens <= 1000")
