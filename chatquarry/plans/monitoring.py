@@ -98,7 +98,7 @@ def stream_chunked_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
     Two runs: the second, over the files that came after the first, resumes behind it, so no problem is scored twice.
     """
-    from ..streaming import incremental
+    from ..streaming import incremental, manifest
 
     root = scratch(spark, "stream")
     rows, first = problems(spark, folder), F.col("problem_id") % 2 == 0
@@ -106,7 +106,7 @@ def stream_chunked_scoring(spark: SparkSession, folder: str) -> DataFrame:
     for some in (first, ~first):
         rows.where(some).repartition(3, "problem_id").write.mode("append").parquet(f"{root}/in")
         stream = incremental.chunks(spark, f"{root}/in", kind, 2, "parquet")
-        incremental.process(stream, lambda b: score.count_correct(b).select("problem_id", "n", "c"), f"{root}/out", f"{root}/state")
-    out = spark.read.parquet(f"{root}/out")
+        incremental.process(stream, lambda b: score.count_correct(b).select("problem_id", F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c")), f"{root}/out", f"{root}/state")
+    out = manifest.committed(spark, f"{root}/out", "problem_id long, n long, c long")
     runs = out.agg(F.countDistinct(F.col("problem_id") % 2).alias("n_runs"))
-    return out.select("problem_id", F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c")).crossJoin(F.broadcast(runs))  # one row
+    return out.select("problem_id", "n", "c").crossJoin(F.broadcast(runs))  # one row

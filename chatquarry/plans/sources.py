@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chat
 from ..operators import curate, normalize, score
 from ..sources import readers, sinks
-from ..streaming import incremental
+from ..streaming import incremental, progress
 from .chats import CHATS
 from .monitoring import _LOG, log
 from .registry import query
@@ -99,20 +99,59 @@ def stream_kl_spike(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("run long, step long, kl double").parquet(f"{root}/out")
 
 
-@query(f"""{_LOG}, m as (select run, step, avg(value) over (partition by run order by step rows between 49 preceding and current row) as mean from v_log where value is not null)
-select run, step, round(mean, 9) as rolling_mean, case when mean > 0.5 and step >= 200 then 'error' when mean > 0.5 and step >= 100 then 'warn' else 'ok' end as alert from m""")
+_END = "(select max(step) + 1 from v_log)"
+_LATE = f"step * 16 < {_END} and (run + step) % 11 = 0"
+
+
+@query(f"""{_LOG}, v_came as (select * from v_log where not ({_LATE})),
+m as (select run, step, avg(value) over (partition by run order by step rows between 49 preceding and current row) as mean from v_came where value is not null)
+select run, step, round(mean, 9) as rolling_mean, case when mean > 0.5 and step >= 200 then 'error' when mean > 0.5 and step >= 100 then 'warn' else 'ok' end as alert, (select count(*) from v_log where {_LATE}) as n_late from m""")
 def stream_rolling_signal(spark: SparkSession, folder: str) -> DataFrame:
-    """The monitor with state over a stream: a file for each range of steps, oldest first, one a micro-batch, so each
-    run's last values are carried from batch to batch."""
-    root, rows = scratch(spark, "signal"), log(spark, folder)
-    last = rows.agg(F.max("step")).first()[0] or 0
-    for k in range(4):
-        part = rows.where((F.col("step") * 4 >= last * k) & (F.col("step") * 4 < last * (k + 1) if k < 3 else F.lit(True)))
-        part.repartitionByRange(1, "step").write.mode("append").parquet(f"{root}/in")
-    stream = incremental.chunks(spark, f"{root}/in", "run long, step long, value double", 1, "parquet")
-    signal = incremental.rolling_signal(stream)
-    signal.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("run long, step long, rolling_mean double, alert string").parquet(f"{root}/out").withColumn("rolling_mean", F.round("rolling_mean", 9))
+    """The monitor with state over a log whose rows come late, in four parts, with a restart after two of them.
+
+    A row may come a quarter of a part after its turn and is put in order again; some of the first rows come behind
+    all others, beyond the watermark, and are counted. The last part's rows come out when the watermark is moved over them.
+    """
+    root, own = scratch(spark, "signal"), spark.newSession()
+    for name, value in (("spark.sql.streaming.stateStore.providerClass", incremental.ROCKS), ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")), ("spark.sql.session.timeZone", "UTC")):
+        own.conf.set(name, value)
+    rows = log(spark, folder).withColumn("ts", F.timestamp_seconds(F.col("step") + 1000))  # a first watermark is at 0
+    end = (rows.agg(F.max("step")).first()[0] or 0) + 1
+    part = max(1, -(-end // 4))
+    late = (F.col("step") * 16 < end) & ((F.col("run") + F.col("step")) % 11 == 0)
+    delay = F.pmod(F.xxhash64("run", "step"), F.lit(max(1, part // 4)))
+    of = F.when(late, 4).otherwise(F.least(F.floor((F.col("step") + delay) / part), F.lit(3)))
+    rows = rows.withColumn("part", of).select("part", "run", "ts", "step", "value")
+
+    def run(parts: list[DataFrame]) -> None:
+        for some in parts:
+            some.repartition(2).write.mode("append").parquet(f"{root}/in")
+            stream = incremental.chunks(own, f"{root}/in", "run long, ts timestamp, step long, value double", 1000, "parquet")
+            signal = incremental.rolling_signal(stream, f"{2 * part} seconds")
+            writer = signal.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True)
+            progress.watched(own, f"{root}/progress", f"signal_{uuid.uuid4().hex}", lambda name: writer.queryName(name).start())
+
+    run([rows.where(F.col("part") == k).drop("part") for k in range(5)])
+    ahead = spark.createDataFrame([(-1, end + 10 * part)], "run long, step long").select("run", F.timestamp_seconds(F.col("step") + 1000).alias("ts"), "step", F.lit(None).cast("double").alias("value"))
+    run([ahead])
+    dropped = progress.rows(spark, f"{root}/progress").agg(F.sum("late_rows").alias("n_late"))
+    out = spark.read.schema("run long, step long, rolling_mean double, alert string").parquet(f"{root}/out")
+    return out.withColumn("rolling_mean", F.round("rolling_mean", 9)).crossJoin(F.broadcast(dropped))  # one row
+
+
+@query(f"""{WITH} select problem_id // 400 as part, count(*) as attempts, count(*) filter (correct) as correct, count(*) filter (not correct and problem_id % 7 = 0) as alerts from v_ok group by 1""")
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts, right ones and alerts of each micro-batch, observed by a listener: a batch for each 400 problems."""
+    root = scratch(spark, "progress")
+    judged = score.judge(completions(spark, folder)).select(F.floor(F.col("problem_id") / 400).alias("part"), "problem_id", F.coalesce("correct", F.lit(False)).alias("correct"))
+    kind, metrics = "problem_id long, correct boolean, part long", "part long, attempts long, correct long, alerts long"
+    judged.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    stream = incremental.chunks(spark, f"{root}/in", kind, 1, "parquet")
+    seen = stream.observe("totals", F.max("part").alias("part"), F.count(F.lit(1)).alias("attempts"), F.count_if("correct").alias("correct"), F.count_if(~F.col("correct") & (F.col("problem_id") % 7 == 0)).alias("alerts"))
+    writer = seen.where("false").writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True)
+    progress.watched(spark, f"{root}/progress", f"totals_{uuid.uuid4().hex}", lambda name: writer.queryName(name).start())
+    batches = progress.rows(spark, f"{root}/progress", metrics).where("attempts > 0")
+    return batches.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("attempts", "correct", "alerts")])  # a part's rows may be several files
 
 
 @query(f"{WITH} select count(*) as attempts, count(*) filter (correct) as correct, count(*) filter (correct) as kept from v_ok")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,20 @@ def text(spark: SparkSession, content: str, path: str) -> None:
         out.close()
 
 
+def renamed(spark: SparkSession, content: str, path: str) -> bool:
+    """Puts a text at a path that nobody sees before it is whole: written beside it, then renamed.
+
+    False, and nothing changed, where the path is there already.
+    """
+    beside = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
+    text(spark, content, beside)
+    where, system = _open(spark, beside)
+    if not exists(spark, path) and system.rename(where, spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return True
+    system.delete(where, False)
+    return False
+
+
 def document_at(spark: SparkSession, path: str) -> dict | None:
     """A document that document() wrote; None where there is none, or no JSON object."""
     if not exists(spark, path):

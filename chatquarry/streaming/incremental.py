@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import monitor
+from . import manifest
 
 
 def chunks(spark: SparkSession, path: str, schema: str, files: int = 1, form: str = "json") -> DataFrame:
@@ -18,10 +19,13 @@ def chunks(spark: SparkSession, path: str, schema: str, files: int = 1, form: st
 
 
 def process(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Runs over all that is there, appending each chunk's result to Parquet; a rerun resumes after the last chunk."""
+    """Runs over all that is there, committing each chunk's result with its manifest; a rerun resumes after the last chunk.
+
+    A chunk that was committed before the checkpoint knew of it isn't computed again. manifest.committed() reads them.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        step(batch).withColumn("chunk", F.lit(number)).write.mode("overwrite").parquet(f"{out}/chunk={number}")
+        manifest.commit(step(batch), out, number)
 
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -37,28 +41,61 @@ def spikes(stream: DataFrame) -> DataFrame:
     return stream.where(monitor.kl_spike(F.col("step"), F.col("kl")))
 
 
-def rolling_signal(stream: DataFrame, run: str = "run", rows: int = monitor.SIGNAL_ROWS) -> DataFrame:
-    """The monitor of operators.monitor over a stream of (run, step, value): state is the last values of each run.
+#: What the monitor needs as the session's spark.sql.streaming.stateStore.providerClass.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Windows of a number of rows aren't native to streaming; rows of a run must come in order of steps, within a
-    micro-batch they are sorted.
-    """
 
-    # plain values, so that the function that goes to workers needs no module of this package there
+def _monitor(run: str, rows: int) -> StatefulProcessor:
     level, warns, errs = monitor.SIGNAL_LEVEL, monitor.WARN_STEP, monitor.ERROR_STEP
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        all_ = pd.concat(list(batches)).dropna(subset=["value"]).sort_values("step")
-        means, alerts = [], []
-        for step, value in zip(all_["step"], all_["value"]):
-            held = [*held, float(value)][-rows:]
-            mean = sum(held) / len(held)
-            high = mean > level
-            means.append(mean)
-            alerts.append("error" if high and step >= errs else "warn" if high and step >= warns else "ok")
-        state.update((held,))
-        yield pd.DataFrame({run: key[0], "step": all_["step"], "rolling_mean": means, "alert": alerts})
-
+    class Monitor(StatefulProcessor):
+        """Holds the rows of a run back until the watermark has passed them, then gives them out in order."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", "ts long, step long, value double")
+            self.last = handle.getValueState("last", "values array<double>")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            new = [(int(t.value // 1000), int(s), float(v)) for batch in rows for t, s, v in zip(batch["ts"], batch["step"], batch["value"]) if v == v and v is not None]
+            if new:
+                self.held.appendList(new)
+                self.handle.registerTimer(max(t for t, _, _ in new) // 1000 + 1)
+            yield self.passed(key, timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            yield self.passed(key, timerValues.getCurrentWatermarkInMs())
+
+        def passed(self, key, watermark: int) -> pd.DataFrame:
+            all_ = sorted(tuple(r) for r in self.held.get())
+            ready = [r for r in all_ if r[0] <= watermark * 1000]
+            out: dict = {run: [], "step": [], "rolling_mean": [], "alert": []}
+            if ready:
+                before = list(self.last.get()[0]) if self.last.exists() else []
+                for _, step, value in ready:
+                    before = [*before, value][-rows:]
+                    mean = sum(before) / len(before)
+                    high = mean > level
+                    for c, x in zip(out, (key[0], step, mean, "error" if high and step >= errs else "warn" if high and step >= warns else "ok")):
+                        out[c].append(x)
+                self.last.update((before,))
+                self.held.put(all_[len(ready) :]) if len(ready) < len(all_) else self.held.clear()
+            return pd.DataFrame(out, dtype=object).astype({"step": "int64", "rolling_mean": "float64"})  # texts as plain objects
+
+        def close(self) -> None:
+            pass
+
+    return Monitor()
+
+
+def rolling_signal(stream: DataFrame, late: str, run: str = "run", rows: int = monitor.SIGNAL_ROWS) -> DataFrame:
+    """The monitor of operators.monitor over a stream of (run, ts timestamp, step, value) whose rows may come in any order.
+
+    Rows of a run are held in state until the watermark, `late` (an interval) behind the latest ts of all runs, has
+    passed them, and come out in order of ts, then step; rows without a value are left out. What comes later than that
+    is dropped and counted, see progress.Progress. The last rows come out when a row far ahead, of any run and without
+    a value, has moved the watermark over them. Needs the state store ROCKS.
+    """
     kind = dict(stream.dtypes)[run]
-    return stream.groupBy(run).applyInPandasWithState(update, f"{run} {kind}, step long, rolling_mean double, alert string", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    some = stream.select(run, "ts", "step", "value").withWatermark("ts", late)
+    return some.groupBy(run).transformWithStateInPandas(_monitor(run, rows), f"{run} {kind}, step long, rolling_mean double, alert string", "Append", "EventTime")
