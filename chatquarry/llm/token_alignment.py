@@ -8,7 +8,6 @@ lambda looks for a value in a list. Links of all documents are counted by pair o
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.base import let
 from ._shared import Scratch, in_arrow, kind_of, sub_batches, table
-from .byte_bpe import words_of
 
 #: The query's two vocabularies, names in the package of public tokenizers.
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -48,34 +47,19 @@ def byte_level(file: bytes) -> dict[bytes, int]:
     return {bytes(of[c] for c in t): i for t, i in [*((c, vocab[c]) for c in of), *made]}
 
 
-#: Words of each side that a worker holds with their ids; a full table starts anew.
-KNOWN = 200_000
-
-
-class Side(dict):
-    """Ids of texts by one tokenizer; words by their packed ids, for the words known. A text begins with a space."""
+class Side:
+    """Ids of texts by one tokenizer, and the bytes that they stand for."""
 
     bytes_of: list[bytes]
-    whole = False
-
-    def encode(self, word: str) -> bytes:
-        raise NotImplementedError
 
     def ready(self) -> None:
         self.size = np.array([len(b) for b in self.bytes_of], np.int32)
         self.start = np.cumsum(self.size, dtype=np.int64) - self.size
         self.all = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.encode(word)
-        if len(self) >= KNOWN:
-            self.clear()
-        if len(word) <= 100:
-            self[word] = out
-        return out
-
-    def ids(self, text: str, words: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, [text] if self.whole else words)), "<i4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of space+text for each text."""
+        raise NotImplementedError
 
     def says(self, ids: np.ndarray, raw: bytes) -> bool:
         """Whether the ids' bytes, joined, are raw."""
@@ -88,12 +72,11 @@ class Side(dict):
 
 
 class Left(Side):
-    """A byte-level BPE; special tokens' strings are ordinary text, and the pattern's matches lie within words (see byte_bpe)."""
+    """A byte-level BPE; special tokens' strings are ordinary text."""
 
     def __init__(self, file: bytes, pattern: str):
         import tiktoken
 
-        super().__init__()
         ranks = byte_level(file)
         self.encoder = tiktoken.Encoding("left", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -101,34 +84,23 @@ class Left(Side):
             self.bytes_of[i] = b
         self.ready()
 
-    def encode(self, word: str) -> bytes:
-        return self.encoder.encode_to_numpy(word, disallowed_special=()).astype("<i4").tobytes()
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encoder.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int32) for t in texts]
 
 
 class Right(Side):
-    """A piece model that puts a space, written U+2581, before a text.
-
-    Where no piece has a space behind anything else or another white space, no piece reaches from one word into
-    another, so that words are encoded each by itself; else texts are encoded whole.
-    """
+    """A piece model that puts a space, written U+2581, before a text."""
 
     def __init__(self, file: bytes):
         import sentencepiece
 
-        super().__init__()
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=file)
         piece, is_byte = self.encoder.id_to_piece, self.encoder.is_byte
-        pieces = [piece(i) for i in range(self.encoder.get_piece_size())]
-        self.bytes_of = [bytes([int(p[3:-1], 16)]) if is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.encoder.piece_to_id("\u2581")
-        within = re.compile("\u2581*[^\u2581\\s]*")
-        self.whole = not all(within.fullmatch(p) for p in pieces) or self.encoder.encode("\n") != [self.space, *self.encoder.encode("\n")[1:]]
+        self.bytes_of = [bytes([int(piece(i)[3:-1], 16)]) if is_byte(i) else piece(i).replace("\u2581", " ").encode() for i in range(self.encoder.get_piece_size())]
         self.ready()
 
-    def encode(self, word: str) -> bytes:
-        if word[0] == " ":
-            return np.array(self.encoder.encode(word[1:]) if len(word) > 1 else [self.space], "<i4").tobytes()
-        return np.array(self.encoder.encode(word)[1:], "<i4").tobytes()  # without the space that was put before it
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int32) for x in self.encoder.encode(texts, num_threads=1)]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -155,12 +127,11 @@ def tokenize(docs: DataFrame, left: bytes, right: bytes, pattern: str, text_col:
         for whole in batches:
             for batch in sub_batches(whole, text_col):
                 columns: list[list[np.ndarray]] = [[] for _ in NEW]
-                for text in batch.column(text_col).to_pylist():
-                    spaced = f" {text}" if text else ""
-                    words, raw = words_of(spaced), spaced.encode()
-                    x, y = (side.ids(spaced, words) if text else np.zeros(0, "<i4") for side in (a, b))
-                    if not (a.says(x, raw) and b.says(y, raw)):
-                        x = y = np.zeros(0, "<i4")
+                texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                for text, x, y in zip(texts, a.encode(texts), b.encode(texts)):
+                    raw = b" " + text.encode()
+                    if not (text and a.says(x, raw) and b.says(y, raw)):
+                        x = y = np.zeros(0, np.int32)
                     size_x, size_y = a.size[x], b.size[y]
                     for column, value in zip(columns, (x, size_x, np.cumsum(size_x, dtype=np.int32), y, size_y, np.cumsum(size_y, dtype=np.int32))):
                         column.append(value)
@@ -181,19 +152,19 @@ def align(tokens: DataFrame) -> DataFrame:
     """
     marks = lambda ends: F.sort_array(F.concat(F.transform("cuts", lambda e: e * 2 + 1), F.transform(F.array_except(ends, "cuts"), lambda e: e * 2)))
     of_bytes = lambda ids, sizes: F.flatten(F.zip_with(ids, sizes, F.array_repeat))
-    out = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "ends": F.sort_array(F.array_union("a_ends", "b_ends")), "of_a": of_bytes("a", "a_size"), "of_b": of_bytes("b", "b_size")})
-    links = F.transform("ends", lambda e: pair_of(F.get("of_a", e - 1), F.get("of_b", e - 1)))
-    return out.withColumns({"a_marks": marks("a_ends"), "b_marks": marks("b_ends"), "links": links}).drop("ends", "of_a", "of_b", *NEW[1:3], *NEW[4:])
+    ends = F.sort_array(F.array_union("a_ends", "b_ends"))
+    # bound as arguments, so that no plan can evaluate the lists anew for each of the ends
+    links = let(of_bytes("a", "a_size"), lambda x: let(of_bytes("b", "b_size"), lambda y: F.transform(ends, lambda e: pair_of(F.get(x, e - 1), F.get(y, e - 1)))))
+    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    return out.withColumns({"a_marks": marks("a_ends"), "b_marks": marks("b_ends"), "links": links}).drop(*NEW[1:3], *NEW[4:])
 
 
 def groups(aligned: DataFrame) -> DataFrame:
     """align()'s rows with groups array<struct<a array<int>, b array<int>, end int>>: the ids of each group and where it ends."""
     last = lambda marks: F.array_remove(F.transform(marks, lambda x, i: F.when(x % 2 == 1, i + 1).otherwise(0)), 0)
-    part = lambda ids, at, k: F.slice(ids, F.coalesce(F.get(at, k - 2), F.lit(0)) + 1, F.get(at, k - 1) - F.coalesce(F.get(at, k - 2), F.lit(0)))
-    numbers = F.when(F.size("cuts") > 0, F.sequence(F.lit(1), F.size("cuts"))).otherwise(F.array().cast("array<int>"))
-    out = aligned.withColumns({"__a": last("a_marks"), "__b": last("b_marks")})
-    each = F.transform(numbers, lambda k: F.struct(part("a", "__a", k).alias("a"), part("b", "__b", k).alias("b"), F.get("cuts", k - 1).alias("end")))
-    return out.withColumn("groups", each).drop("__a", "__b")
+    part = lambda ids, at, k: F.slice(ids, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, F.get(at, k) - F.coalesce(F.get(at, k - 1), F.lit(0)))
+    each = let(last("a_marks"), lambda x: let(last("b_marks"), lambda y: F.transform("cuts", lambda end, k: F.struct(part("a", x, k).alias("a"), part("b", y, k).alias("b"), end.alias("end")))))
+    return aligned.withColumn("groups", each)
 
 
 def group_text(ids: str, marks: str) -> Column:
