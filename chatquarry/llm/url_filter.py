@@ -8,6 +8,7 @@ same structure; a template is rejected when the smoothed share of bad ones among
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +48,43 @@ def segment(s: Column) -> Column:
     return F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$"), F.lit("{n}")).when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("{x}")).when(s.rlike("[0-9]"), F.lit("{v}")).otherwise(s)
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
+def _first_joined(scratch: Scratch, live: DataFrame, join_unlabelled: bool) -> DataFrame:
+    """(row, k) of the rows (row, host, node, rest, n, lab, bad) of which a segment becomes a wildcard: the first such, from 0.
+
+    Nodes are those of the tree without joining; down to the first wildcard of a path that is what they are.
+    """
+    k, rest = F.col("k"), F.col("rest")
+    levels = live.select("row", "host", "node", "rest", "n", "lab", "bad", F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("k"))
+    prefix, tail = F.slice("rest", F.lit(1), k), F.slice(rest, k + 2, F.size(rest))
+    # a node, and what follows a child, are two hashes each, so that no row carries a path for each of its segments
+    hashed = [F.xxhash64(F.lit(seed), "host", "node", prefix).alias(f"h{seed}") for seed in (1, 2)] + [F.xxhash64(F.lit(seed), tail).alias(f"t{seed}") for seed in (1, 2)]
+    levels = levels.select("row", "k", *hashed, F.coalesce(F.get(rest, k), F.lit("")).alias("s"), "n", "lab", "bad")
+    node = ["h1", "h2"]
+    tails = levels.groupBy(*node, "s", "t1", "t2").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
+    form = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor("t1").alias("a"), F.bit_xor("t2").alias("b"))
+    kids = scratch.keep(tails.groupBy(*node, "s").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"), form.alias("form")), "kids")
+    all_ = kids.groupBy(*node).agg(F.count(F.lit(1)).alias("many"), F.sum("kn").alias("an"), F.sum("kl").alias("al"), F.sum("kb").alias("ab"))
+    all_ = all_.where((F.col("many") > SIBLINGS) | ((F.col("many") > 1) & (F.col("al") > 0)))  # elsewhere nothing is joined
+    rate = (F.col("ab") + 1) / (F.col("al") + 2)
+    rare = (F.col("many") > SIBLINGS) & (F.col("kn") < SHARE * F.col("an"))
+    alike = (F.col("kl") > 0) & (F.col("kl") < F.col("al")) & (F.abs(F.try_divide(F.col("kb"), F.col("kl")) - rate) <= SIMILAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("kl"))))
+    kids = kids.where("s <> ''").join(bounded(scratch.keep(all_, "nodes")), node).select(*node, "s", "form", (F.col("kl") == 0).alias("bare"), rare.alias("rare"), F.coalesce(alike, F.lit(False)).alias("alike"))
+    joined = kids.where(F.col("rare") | F.col("alike")).select(*node, "s")
+    if join_unlabelled:
+        forms = kids.where("alike").select(*node, "form").distinct()
+        joined = joined.unionByName(kids.where("bare").join(bounded(scratch.keep(forms, "forms")), [*node, "form"], "left_semi").select(*node, "s")).distinct()
+    return levels.select("row", "k", *node, "s").join(bounded(scratch.keep(joined, "joined")), [*node, "s"], "left_semi").groupBy("row").agg(F.min("k").alias("k"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None, join_unlabelled: bool = True) -> DataFrame:
     """Judges every url: id_col, host, path, rule string, verdict string, template string, purity double.
 
     rule is the longest fitting rule's host and path, else null; verdict (allow or block) is the rule's, else the
     template's. A branch without labels joins its siblings' wildcard if what follows it is the same set of paths as
-    follows one that is labelled and in it. Labels of the tree are bad_col (boolean, null: none), where it is given and set, else the rules'
+    follows one that is labelled and in it, unless join_unlabelled is false. Labels of the tree are bad_col (boolean, null: none), where it is given and set, else the rules'
     verdicts. template and purity are those of the url's branch; a branch without labels has the prior's purity and
-    is allowed. The tree goes as deep as the paths of a host differ. Null urls and those without :// have empty host and path and no rule; ids may have any type. Each row is judged alone, so
+    is allowed. The tree goes as deep as the paths of a host differ; all its levels are judged at once, and again only
+    what is below a wildcard, so there are as many rounds as a path has wildcards by joining, and one. Null urls and those without :// have empty host and path and no rule; ids may have any type. Each row is judged alone, so
     rows that repeat have equal results; an empty table gives an empty result; other columns are ignored. `rules` is
     a list in the plan, for hundreds of rules at most.
     """
@@ -63,34 +93,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment)
     rows = rows.withColumn("segs", segments).withColumn("bad", F.coalesce("bad", F.col("found.blocks")))
     scratch = Scratch(pages.sparkSession, "tree")
+    row = F.monotonically_increasing_id().alias("row")
     live = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.count_if("bad").alias("bad"))
-    live = scratch.keep(live.withColumns({"node": F.array().cast("array<string>"), "rest": F.col("segs")}), "level")
-    tree = live.select("host", "segs", "node", "lab", "bad").limit(0)
-    while not live.isEmpty():  # a round goes to the next fork below each node; a node with one path left is a leaf
-        forks = live.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
-        fork = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
-        at = scratch.keep(live.join(forks.select("host", "node", fork.alias("fork")), ["host", "node"]), "forks")
-        tree = tree.unionByName(at.where("fork = 0").select("host", "segs", F.concat("node", "rest").alias("node"), "lab", "bad"))
-        at = at.where("fork > 0").withColumns({"node": F.concat("node", F.slice("rest", 1, F.col("fork") - 1)), "rest": F.slice("rest", F.col("fork"), F.size("rest"))})
-        at = at.withColumn("s", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
-        above = ["host", "node"]
-        tail = F.array_join(F.slice("rest", 2, F.size("rest")), "/").alias("tail")
-        tails = at.groupBy(*above, "s", tail).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
-        form = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tail")).alias("a"), F.bit_xor(F.xxhash64("tail", F.lit(7))).alias("b"))
-        kids = tails.groupBy(*above, "s").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("bad").alias("kb"), form.alias("form"))
-        all_ = kids.groupBy(*above).agg(F.count(F.lit(1)).alias("many"), F.sum("kn").alias("an"), F.sum("kl").alias("al"), F.sum("kb").alias("ab"))
-        rate = (F.col("ab") + 1) / (F.col("al") + 2)
-        rare = (F.col("many") > SIBLINGS) & (F.col("kn") < SHARE * F.col("an"))
-        alike = (F.col("kl") > 0) & (F.col("kl") < F.col("al")) & (F.abs(F.try_divide(F.col("kb"), F.col("kl")) - rate) <= SIMILAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("kl"))))
-        kids = scratch.keep(kids.join(all_, above).select(*above, "s", "form", (F.col("kl") == 0).alias("bare"), rare.alias("rare"), F.coalesce(alike, F.lit(False)).alias("alike")), "kids")
-        forms = kids.where("alike and s <> ''").select(*above, "form").distinct().withColumn("known", F.lit(True))
-        kids = kids.join(bounded(forms), [*above, "form"], "left")
-        named = F.when(F.col("rare") | F.col("alike") | (F.col("bare") & F.col("known").isNotNull()), F.lit("*")).otherwise(F.col("s"))
-        kids = kids.select(*above, "s", named.alias("t"))
-        below = F.when(F.col("s") == "", F.col("node")).otherwise(F.concat("node", F.array("t")))
-        at = scratch.keep(at.join(kids, [*above, "s"]).select("host", "segs", "n", "lab", "bad", "s", below.alias("node"), F.slice("rest", 2, F.size("rest")).alias("rest")), "level")
-        tree = tree.unionByName(at.where("s = ''").select("host", "segs", "node", "lab", "bad"))
-        live = at.where("s <> ''").drop("s")
+    live = scratch.keep(live.select(row, "host", "segs", F.array().cast("array<string>").alias("node"), F.col("segs").alias("rest"), "n", "lab", "bad"), "live")
+    leaves = []
+    while True:
+        first = scratch.keep(_first_joined(scratch, live, join_unlabelled), "joined")
+        at = live.join(bounded(first), "row", "left")
+        leaves.append(at.where("k is null").select("host", "segs", F.concat("node", "rest").alias("node"), "lab", "bad"))
+        if first.isEmpty():
+            break
+        below = at.where("k is not null").select("host", "segs", F.concat("node", F.slice("rest", F.lit(1), F.col("k")), F.array(F.lit("*"))).alias("node"), F.slice("rest", F.col("k") + 2, F.size("rest")).alias("rest"), "n", "lab", "bad")
+        live = scratch.keep(below.select(row, "*"), "live")
+    tree = scratch.keep(reduce(DataFrame.unionByName, leaves), "tree")
     templates = tree.groupBy("host", "node").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + PRIOR_WEIGHT * PRIOR) / (F.col("lab") + PRIOR_WEIGHT)
     templates = templates.withColumn("purity", purity).withColumn("reject", (F.col("purity") >= REJECT) & (F.col("lab") >= LEAST))
