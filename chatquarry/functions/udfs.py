@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,3 +94,37 @@ def tokens(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column
         return pd.Series(count(["" if x is None else x for x in s]))
 
     return counted
+
+
+#: Bytes of the texts that a reward function is called with at once; a longer text comes alone.
+CALL_BYTES = 4 << 20
+
+
+def rewarded(df: DataFrame, make: Callable[[], Callable[..., list[float]]], completion: str, columns: Sequence[str] = (), name: str = "reward", call_bytes: int = CALL_BYTES) -> DataFrame:
+    """df with a double from a reward function of Python: f(completions, **columns) -> one number for each completion.
+
+    make() returns the function; it is called once a task, for what is costly to set up. Columns are lists, by name.
+    Calls are bounded by the bytes of their completions, so that long texts don't come thousands at a time. A call
+    that returns another number of values is an error. `name` must not be a column of df.
+    """
+    kind = ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes), f"`{name}` double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            texts = batch.column(completion)
+            size = np.nan_to_num(np.array(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.float64))
+            start, total = 0, 0.0
+            for i in range(batch.num_rows + 1):
+                if i == batch.num_rows or (i > start and total + size[i] > call_bytes):
+                    some = batch.slice(start, i - start)
+                    if some.num_rows:
+                        got = f(some.column(completion).to_pylist(), **{c: some.column(c).to_pylist() for c in columns})
+                        if len(got) != some.num_rows:
+                            raise ValueError(f"{len(got)} rewards for {some.num_rows} completions")
+                        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.float64())], names=[*some.schema.names, name])
+                    start, total = i, 0.0
+                if i < batch.num_rows:
+                    total += size[i]
+
+    return df.mapInArrow(run, kind)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.base import seeded_number, seeded_rank
+from ..sources.folders import kept
 
 
 def reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -86,18 +87,34 @@ def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows in an order that has no ties: a top-n per partition, then of those.
 
     Beyond ONE_TASK rows are numbered in the sorted partitions instead, each after those before it, so that no task
-    holds all n.
+    holds all n. The partitions are written first: their borders are drawn from a sample, and another run of the plan
+    could draw others.
     """
     if n <= ONE_TASK:
         return df.orderBy(*order).limit(n)
     ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions("__part", *order).withColumn("__row", F.monotonically_increasing_id())
+    ranged = kept(ranged.sortWithinPartitions("__part", *order).withColumn("__row", F.monotonically_increasing_id()), "first")
     sizes = ranged.groupBy("__part").agg(F.min("__row").alias("__low"), F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("__part", (F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0)) + F.col("__low")).alias("__edge"))
     return ranged.join(F.broadcast(sizes), "__part").where("__row < __edge").drop("__part", "__row", "__edge")
 
 
+def running_totals(rows: DataFrame, order_by: str, columns: Sequence[str], width: int = 1000) -> DataFrame:
+    """Each of the columns summed over the rows up to its own, in the order of a numeric key without repeats, from 0 on.
+
+    Rows are summed within stretches of `width` keys, each stretch after the sum of those before it: the one window
+    over all has a row a stretch.
+    """
+    parts = rows.withColumn("__part", F.floor(F.col(order_by) / width))
+    stretch = W.partitionBy("__part").orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = parts.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    sums = sums.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
+    out = parts.withColumns({c: F.sum(c).over(stretch) for c in columns}).join(sums, "__part")
+    return out.withColumns({c: F.col(c) + F.col(f"__{c}") for c in columns}).drop("__part", *[f"__{c}" for c in columns])
+
+
 def split_train_eval(df: DataFrame, n_eval: int, row_id: str, seed: int = 42) -> DataFrame:
     """Adds split: the first n_eval rows of the seeded order are eval, the rest train; fewer rows than that are an error.
 

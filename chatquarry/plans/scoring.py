@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, boxed
+from ..functions import answers, boxed, udfs
 from ..functions import text as tx
 from ..operators import curate, normalize, report, score
 from .registry import query
@@ -93,6 +93,27 @@ def reward_per_completion(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), F.round(got, 6).alias("reward"))
 
 
+def _python_reward():
+    """A reward as a user writes it: set up once a task, then called with completions and what belongs to them by name."""
+    import re
+
+    box = re.compile(r"\\boxed\{([^{}]*)\}")
+
+    def reward(completions: list[str], gold: list[str], **_) -> list[float]:
+        found = [(box.findall(c) or [None])[-1] for c in completions]
+        return [(1.0 if f == g else 0.0) + (0.05 if f is not None else 0.0) + (0.1 * max(0.0, 1 - -(-len(c) // 4) / 64) if f == g else 0.0) for c, f, g in zip(completions, found, gold)]
+
+    return reward
+
+
+@query(f"{WITH} select problem_id, completion_idx, round({_REWARD}, 6) as reward from v_comp")
+def injected_reward(spark: SparkSession, folder: str) -> DataFrame:
+    """All completions by a reward function written in Python; its results are the native one's."""
+    rows = completions(spark, folder).select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), "completion", "gold")
+    got = udfs.rewarded(rows, _python_reward, "completion", ["gold"])
+    return got.select("problem_id", "completion_idx", F.round("reward", 6).alias("reward"))
+
+
 _PLAIN = "(case when answer = gold then 1.0 else 0.0 end + case when answer is not null then 0.05 else 0.0 end)::double"
 
 
@@ -249,12 +270,9 @@ def variance_check(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{WITH}, t as (select problem_id // 50 as chunk, count(*) as attempts, count(*) filter (correct) as correct from v_ok group by 1)
 select chunk, sum(attempts) over (order by chunk)::bigint as attempts, sum(correct) over (order by chunk)::bigint as correct from t""")
 def chunk_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """Running totals by chunk: rows are summed per chunk first, so the window sees a row per chunk."""
-    from pyspark.sql import Window as W
-
+    """Running totals by chunk: rows are summed per chunk, chunks in stretches."""
     per = _keepers(spark, folder).groupBy(F.floor(F.col("problem_id") / 50).alias("chunk")).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("correct").alias("correct"))
-    by = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)
-    return per.select("chunk", F.sum("attempts").over(by).alias("attempts"), F.sum("correct").over(by).alias("correct"))
+    return curate.running_totals(per, "chunk", ["attempts", "correct"], 100)
 
 
 _REPEATS = "(select distinct doc_id from (select doc_id, substr(response, i::bigint, 100) as part from v_resp, unnest(range(1, length(response) - 98)) as r(i) where length(response) >= 300) group by doc_id, part having count(*) >= 3)"
