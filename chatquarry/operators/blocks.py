@@ -125,12 +125,13 @@ def weighted_sums(blocks: DataFrame, weight: str | None = None) -> DataFrame:
     return _summed(rows, of).select("name", F.col("i").alias("block"), "n", "values")
 
 
-def merge(blocks: DataFrame, weights: dict[str, float], drop: float = 0.0, seed: int = 42, size: int = BLOCK) -> DataFrame:
+def merge(blocks: DataFrame, weights: dict[str, float], drop: float = 0.0, seed: int = 42, size: int = BLOCK, strict: bool = True) -> DataFrame:
     """(name, block, values): the weighted sum of several adapters' tensors, from (adapter, name, block, values).
 
     weights is by adapter and sums to one. Every adapter must have the same names, blocks and sizes, which the sum's
     own pass shows: a name that an adapter lacks or has twice, or an adapter without a weight, is an error when the
-    result is read. With `drop`, each adapter's numbers are dropped and rescaled on the way; size is that of cut().
+    result is read. Without `strict`, names of which there are more or fewer blocks than adapters are left out instead.
+    With `drop`, each adapter's numbers are dropped and rescaled on the way; size is that of cut().
     """
     if abs(sum(weights.values()) - 1) > 1e-6:
         raise ValueError("weights must sum to 1")
@@ -151,6 +152,8 @@ def merge(blocks: DataFrame, weights: dict[str, float], drop: float = 0.0, seed:
     every = sum(1 + (1 << 16 + 4 * k) for k in order.values())
     told = F.concat(F.lit("adapters differ in their tensors: not all have one "), F.col("name"), F.lit(", block "), F.col("i").cast("string"))
     checked = F.when(F.col("n") != every, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    if not strict:
+        checked = F.col("n") % (1 << 16) == len(weights)
     return _summed(rows, of).where(checked).select("name", F.col("i").alias("block"), "values")
 
 

@@ -53,9 +53,10 @@ def weighted_vector_sum(spark: SparkSession, folder: str) -> DataFrame:
 @query("""with v as (select vec_id % 4 as adapter, vec_id // 4 as k, embedding from embeddings)
 select (k)::varchar as name, i - 1 as position, round(sum([0.1, 0.2, 0.3, 0.4][adapter + 1] * embedding[i]::double), 6) as value from v, range(1, 65) r(i) group by all having count(*) = 4""")
 def merged_adapters(spark: SparkSession, folder: str) -> DataFrame:
-    """Four adapters' tensors, every fourth embedding each, merged by weights in blocks; all have the same names."""
+    """Four adapters' tensors, every fourth embedding each, merged by weights in blocks; a name that isn't in all four, as the
+    last one where their number isn't divisible by four, is left out."""
     rows = table(spark, folder, "embeddings").select((F.col("vec_id") % 4).alias("adapter"), F.floor(F.col("vec_id") / 4).alias("name"), "embedding")
-    out = blocks.merge(blocks.cut(rows, "embedding", 24), {"0": 0.1, "1": 0.2, "2": 0.3, "3": 0.4}, size=24)
+    out = blocks.merge(blocks.cut(rows, "embedding", 24), {"0": 0.1, "1": 0.2, "2": 0.3, "3": 0.4}, size=24, strict=False)
     each = F.transform("values", lambda v, i: F.struct((F.col("block") * 24 + i).alias("position"), F.round(v, 6).alias("value")))
     return out.select("name", F.inline(each))
 

@@ -89,3 +89,12 @@ def test_fold(spark, high, wide, inner):
         blocks.fold(base, left, blocks.matrix(frame(a[:5]), "row", "v", inner, wide), 1.0).collect()
     with pytest.raises(Exception, match="the base has no block"):
         blocks.fold(base.where("i > 0 or j > 0"), left, right, 1.0).collect()
+
+
+def test_merge_leaves_out_names_that_not_all_have(spark, tmp_path):
+    from chatquarry.plans import catalog
+
+    for n in (9, 10, 12):  # the last name has one, two and four adapters
+        spark.createDataFrame([(k, [float(k + i) for i in range(64)]) for k in range(n)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = {(r["name"], r.position): r.value for r in catalog.QUERIES["merged_adapters"](spark, f"{tmp_path}/{n}").collect()}
+        assert got == {(str(k), i): pytest.approx(sum(w * (4 * k + a + i) for a, w in enumerate((0.1, 0.2, 0.3, 0.4)))) for k in range(n // 4) for i in range(64)}
