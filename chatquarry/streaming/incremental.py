@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import monitor
 from . import manifest
@@ -18,8 +18,13 @@ def chunks(spark: SparkSession, path: str, schema: str, files: int = 1, form: st
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(path)
 
 
-def process(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Runs over all that is there, committing each chunk's result with its manifest; a rerun resumes after the last chunk.
+def files_a_batch(spark: SparkSession, path: str, batches: int) -> int:
+    """How many files a micro-batch of chunks() must take so that a folder's Parquet files make no more than so many batches."""
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // batches))
+
+
+def started(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """A query over all that is there, committing each chunk's result with its manifest; a rerun resumes after the last chunk.
 
     A chunk that was committed before the checkpoint knew of it isn't computed again. manifest.committed() reads them.
     """
@@ -27,7 +32,13 @@ def process(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str,
     def append(batch: DataFrame, number: int) -> None:
         manifest.commit(step(batch), out, number)
 
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
+def process(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Runs started() to its end."""
+    started(stream, step, out, checkpoint).awaitTermination()
 
 
 def running_totals(stream: DataFrame, name: str, checkpoint: str) -> None:

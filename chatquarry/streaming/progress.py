@@ -60,3 +60,12 @@ def rows(spark: SparkSession, folder: str, metrics: str = "") -> DataFrame:
     kind = "batch long, at string, input_rows long, late_rows long, state_rows long" + (f", {metrics}" if metrics else "")
     some = spark.read.schema(kind).json(folder)
     return some.groupBy("batch").agg(F.max_by(F.struct(*[c for c in some.columns if c != "batch"]), "at").alias("x")).select("batch", "x.*")
+
+
+def agreeing(found: DataFrame, told: DataFrame, columns: list[str]) -> DataFrame:
+    """found, whose sums of the columns must be those of the batches' observed metrics in rows(); else an error when it is read."""
+    sums = lambda df, name: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"{name}_{c}") for c in columns])
+    same = [F.col(f"__a_{c}") == F.col(f"__b_{c}") for c in columns]
+    both = sums(found, "__a").crossJoin(sums(told, "__b")).select(F.forall(F.array(*same), lambda x: x).alias("__same"))  # one row
+    checked = F.when(~F.col("__same"), F.raise_error(F.lit("what was observed differs from what was committed")).cast("boolean")).otherwise(F.lit(True))
+    return found.crossJoin(F.broadcast(both)).where(checked).drop("__same")

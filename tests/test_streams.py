@@ -82,3 +82,29 @@ def test_late_rows_and_progress(spark, tmp_path):
     seen = progress.rows(spark, f"{root}/progress")
     assert seen.agg(F.sum("late_rows")).first()[0] == len(late) > 5
     assert seen.agg(F.sum("input_rows")).first()[0] == len(log) + 1
+
+
+def test_a_stream_takes_no_more_batches_for_more_problems(spark, tmp_path, monkeypatch):
+    from chatquarry.plans import catalog
+
+    root, commits = str(tmp_path), []
+    spark.range(0, 12000, 2).select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{root}/orders.parquet")
+    lines = spark.range(12000).select((F.col("id") - F.col("id") % 2).alias("l_orderkey"), (F.col("id") % 2).cast("int").alias("l_linenumber"), (F.col("id") % 23).alias("l_partkey"), F.lit(1).alias("l_suppkey"), F.lit(2.0).alias("l_extendedprice"), F.lit("x").alias("l_shipdate"), (F.col("id") % 7).cast("double").alias("l_quantity"))
+    lines.repartition(40).write.parquet(f"{root}/lineitem.parquet")
+    want: dict = {}
+    for k in range(12000):
+        problem, right = k - k % 2, k % 23 % 11 != 0 and k % 7 % 5 == (k - k % 2) % 5
+        n, c, a = want.get(problem // 400, (0, 0, 0))
+        want[problem // 400] = (n + 1, c + right, a + (not right and problem % 7 == 0))
+    kept = manifest.commit
+    monkeypatch.setattr(manifest, "commit", lambda rows, out, chunk: commits.append(chunk) or kept(rows, out, chunk))
+    got = {r.part: (r.attempts, r.correct, r.alerts) for r in catalog.QUERIES["stream_progress"](spark, root).collect()}
+    assert got == want and len(want) == 30 and len(commits) <= 16
+
+
+def test_what_was_observed_must_be_what_was_committed(spark):
+    found = spark.createDataFrame([(1, 2), (2, 3)], "part long, n long")
+    assert progress.agreeing(found, spark.createDataFrame([(5,)], "n long"), ["n"]).count() == 2
+    assert progress.agreeing(found.where("false"), spark.createDataFrame([], "n long"), ["n"]).count() == 0
+    with pytest.raises(Exception, match="observed differs"):
+        progress.agreeing(found, spark.createDataFrame([(4,)], "n long"), ["n"]).collect()
