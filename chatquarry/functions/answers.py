@@ -78,16 +78,19 @@ def stripped_form(answer: Column) -> Column:
     return F.regexp_replace(s, r"\A(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)\z", r"\\frac{$1}{$2}")
 
 
+def settled(a: Column, b: Column, other: Column) -> Column:
+    """Whether two answers are equivalent: equal texts are, two nulls too, different numbers of ASCII digits, which are
+    their own normal forms, aren't; `other` says so for the rest. a and b are used many times and must be columns or bound."""
+    number = lambda c: c.rlike(r"\A[0-9]+\z")
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(a == b, F.lit(True)).when(number(a) & number(b), F.lit(False)).otherwise(other)
+
+
 def equivalent(a: Column, b: Column) -> Column:
     """Equal in one of three normal forms, or as they are; two nulls are equivalent, one is not. Cheapest test first."""
     stripped = lambda x, y: (x == y) | (normal_form(x) == normal_form(y))
     pair = F.struct(a.alias("a"), b.alias("b"))
-    return let(
-        pair,
-        lambda p: F.when(p.a.isNull() | p.b.isNull(), p.a.isNull() & p.b.isNull())
-        .when(p.a == p.b, F.lit(True))
-        .otherwise(let(F.struct(stripped_form(p.a).alias("x"), stripped_form(p.b).alias("y")), lambda s: stripped(s.x, s.y)) | (normal_form(p.a) == normal_form(p.b))),
-    )
+    forms = lambda p: let(F.struct(stripped_form(p.a).alias("x"), stripped_form(p.b).alias("y")), lambda s: stripped(s.x, s.y)) | (normal_form(p.a) == normal_form(p.b))
+    return let(pair, lambda p: settled(p.a, p.b, forms(p)))
 
 
 def choice_gold(gold: Column) -> Column:

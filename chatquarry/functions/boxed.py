@@ -67,7 +67,16 @@ def unbox(span: Column) -> Column:
 
 
 def score_answer(text: Column, peel: bool = True) -> Column:
-    """The scorer's answer: the inside of the last box; with peel, of one more pair of braces around all of a line."""
+    """The scorer's answer: the inside of the last box; with peel, of one more pair of braces around all of a line.
+
+    A last \\boxed that holds no braces, as nearly all do, is read at once and has nothing to peel.
+    """
+    plain = F.try_element_at(F.regexp_extract_all(_after_last(text, BOX), F.lit(r"\A\{([^{}]*+)\}"), 1), F.lit(1))
+    return F.coalesce(F.when(F.contains(text, F.lit(BOX)), plain), _any_answer(text, peel))
+
+
+def _any_answer(text: Column, peel: bool) -> Column:
+    """score_answer() of a box of any kind."""
     inner = unbox(score_span(text))
     if not peel:
         return inner

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers
-from ..functions.base import blank
+from ..functions.base import blank, let
 from ..functions.boxed import score_answer
 from ..functions.udfs import repeats
 from ..functions.text import failure_mode
@@ -37,7 +37,7 @@ def judge(df: DataFrame, method: str = "boxed", completion: str = "completion",
 
 def count_correct(df: DataFrame, method: str = "boxed", completions: str = "completions", gold: str = "gold") -> DataFrame:
     """Adds n and c per problem without exploding: the array is judged in place, so nothing is shuffled."""
-    right = F.size(F.filter(completions, lambda t: answers.correct(answers.extract(t, method, F.col(gold)), F.col(gold), method)))
+    right = F.size(F.filter(completions, lambda t: let(answers.extract(t, method, F.col(gold)), lambda x: answers.correct(x, F.col(gold), method))))
     return df.withColumns({"n": F.size(completions), "c": right})
 
 
@@ -72,17 +72,23 @@ def reward(completion: Column, gold: Column, tokens: Column | None = None, weigh
 
     tokens that Python counts must be a column of the frame before, since they can't be part of this expression.
     """
-    from ..functions.base import let
+    return let(score_answer(completion), lambda box: reward_of_box(box, gold, tokens, weight, target))
 
-    def one(box: Column) -> Column:
-        boxed = ~blank(box)
-        right = boxed & F.coalesce(answers.equivalent(box, gold), F.lit(False))
-        total = F.when(right, F.lit(CORRECT)).otherwise(F.lit(0.0)) + F.when(boxed, F.lit(FORMAT)).otherwise(F.lit(0.0))
-        if weight > 0 and tokens is not None:
-            total = total + F.when(right, weight * brevity(tokens, target)).otherwise(F.lit(0.0))
-        return total
 
-    return let(score_answer(completion), one)
+def reward_of_box(box: Column, gold: Column, tokens: Column | None = None, weight: float = BREVITY, target: int = TARGET_TOKENS) -> Column:
+    """reward() of an answer that was read before; box and gold must be columns or bound."""
+    boxed = ~blank(box)
+    right = boxed & F.coalesce(answers.settled(box, gold, answers.equivalent(box, gold)), F.lit(False))
+    bonus = F.lit(CORRECT)
+    if weight > 0 and tokens is not None:
+        bonus = bonus + weight * brevity(tokens, target)
+    return F.when(right, bonus).otherwise(F.lit(0.0)) + F.when(boxed, F.lit(FORMAT)).otherwise(F.lit(0.0))
+
+
+def rewarded(df: DataFrame, completion: str = "completion", gold: str = "gold", tokens: Column | None = None, weight: float = BREVITY, target: int = TARGET_TOKENS) -> DataFrame:
+    """Adds extracted and reward, row by row: the answer is a column of its own, so that nothing is bound and interpreted but for rare pairs."""
+    df = df.withColumn("extracted", score_answer(F.col(completion)))
+    return df.withColumn("reward", reward_of_box(F.col("extracted"), F.col(gold), tokens, weight, target))
 
 
 def rewards(completions: Column, gold: Column) -> Column:

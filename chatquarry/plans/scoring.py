@@ -88,9 +88,8 @@ _REWARD = "(case when answer = gold then 1.0 else 0.0 end + case when answer is
 
 @query(f"{WITH} select problem_id, completion_idx, round({_REWARD}, 6) as reward from v_comp")
 def reward_per_completion(spark: SparkSession, folder: str) -> DataFrame:
-    rows = completions(spark, folder)
-    got = score.reward(F.col("completion"), F.col("gold"), tx.token_estimate(F.col("completion")), 0.1, 32)
-    return rows.select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), F.round(got, 6).alias("reward"))
+    rows = score.rewarded(completions(spark, folder), tokens=tx.token_estimate(F.col("completion")), weight=0.1, target=32)
+    return rows.select("problem_id", F.col("completion_idx").cast("long").alias("completion_idx"), F.round("reward", 6).alias("reward"))
 
 
 def _python_reward():
