@@ -121,14 +121,14 @@ _TWO = "(select problem_id, answer, gold from v_comp union all select problem_id
 
 
 def _paired(spark: SparkSession, folder: str) -> DataFrame:
-    rows = problems(spark, folder)
-    return rows.withColumn("completions", F.when(F.size("completions") == 1, F.concat("completions", F.array(F.lit("no answer")))).otherwise(F.col("completions")))
+    """Problems with the rewards of their completions, judged row by row before they are gathered."""
+    rows = score.rewarded(completions(spark, folder)).groupBy("problem_id").agg(F.collect_list("reward").alias("rewards"))
+    return rows.withColumn("rewards", F.when(F.size("rewards") == 1, F.concat("rewards", F.array(score.reward(F.lit("no answer"), F.lit(""))))).otherwise(F.col("rewards")))
 
 
 @query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v, avg({_PLAIN}) as m from {_TWO} group by 1) select count(*) as n_prompts, round(avg(v), 6) as mean_variance, round(avg(m), 6) as mean_reward, round(avg(sqrt(v)), 6) as mean_std from r")
 def reward_variance(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _paired(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
-    out = report.reward_variance(rows)
+    out = report.reward_variance(_paired(spark, folder))
     return out.select("n_prompts", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
@@ -262,8 +262,7 @@ def distilled_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{WITH}, r as (select problem_id, var_pop({_PLAIN}) as v from {_TWO} group by 1) select avg(v) >= 0.01 as passed, round(avg(v), 6) as mean_variance from r")
 def variance_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _paired(spark, folder).withColumn("rewards", score.rewards(F.col("completions"), F.col("gold")))
-    return report.variance_passes(rows).withColumn("mean_variance", F.round("mean_variance", 6))
+    return report.variance_passes(_paired(spark, folder)).withColumn("mean_variance", F.round("mean_variance", 6))
 
 
 @query(f"""{WITH}, t as (select problem_id // 50 as chunk, count(*) as attempts, count(*) filter (correct) as correct from v_ok group by 1)
