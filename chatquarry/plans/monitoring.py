@@ -98,6 +98,7 @@ def stream_chunked_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Problems as files of a stream, scored chunk by chunk with a checkpoint; the result is read back.
 
     Two runs: the second, over the files that came after the first, resumes behind it, so no problem is scored twice.
+    A chunk is a quarter of the files that are there, so chunks grow with the input and their number doesn't.
     """
     from ..streaming import incremental, manifest
 
@@ -105,8 +106,8 @@ def stream_chunked_scoring(spark: SparkSession, folder: str) -> DataFrame:
     rows, first = problems(spark, folder), F.col("problem_id") % 2 == 0
     kind = "problem_id long, gold string, subject string, level string, completions array<string>"
     for some in (first, ~first):
-        rows.where(some).repartition(3, "problem_id").write.mode("append").parquet(f"{root}/in")
-        stream = incremental.chunks(spark, f"{root}/in", kind, 2, "parquet")
+        rows.where(some).write.mode("append").option("maxRecordsPerFile", 20_000).parquet(f"{root}/in")
+        stream = incremental.chunks(spark, f"{root}/in", kind, incremental.files_a_batch(spark, f"{root}/in", 4), "parquet")
         incremental.process(stream, lambda b: score.count_correct(b).select("problem_id", F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c")), f"{root}/out", f"{root}/state")
     out = manifest.committed(spark, f"{root}/out", "problem_id long, n long, c long")
     runs = out.agg(F.countDistinct(F.col("problem_id") % 2).alias("n_runs"))

@@ -108,3 +108,28 @@ def test_what_was_observed_must_be_what_was_committed(spark):
     assert progress.agreeing(found.where("false"), spark.createDataFrame([], "n long"), ["n"]).count() == 0
     with pytest.raises(Exception, match="observed differs"):
         progress.agreeing(found, spark.createDataFrame([(4,)], "n long"), ["n"]).collect()
+
+
+def test_chunks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from chatquarry.plans import catalog
+
+    root, seen, commits = str(tmp_path), [], []
+    spark.range(170_000).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{root}/orders.parquet")
+    spark.range(170_000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1).alias("l_partkey"), F.lit(1).alias("l_suppkey"), F.lit(2.0).alias("l_extendedprice"), F.lit("x").alias("l_shipdate"), (F.col("id") % 5).cast("double").alias("l_quantity")).write.parquet(f"{root}/lineitem.parquet")
+    chunks, commit = incremental.chunks, manifest.commit
+    monkeypatch.setattr(incremental, "chunks", lambda s, path, *a: seen.append(len(s.read.parquet(path).inputFiles())) or chunks(s, path, *a))
+    monkeypatch.setattr(manifest, "commit", lambda rows, out, chunk: commits.append(chunk) or commit(rows, out, chunk))
+    got = catalog.QUERIES["stream_chunked_scoring"](spark, root)
+    assert got.agg(F.count(F.lit(1)), F.sum("c"), F.max("n_runs")).first()[:] == (170_000, 170_000, 2)
+    assert seen[0] > 3 and seen[1] > 6 and commits == list(range(len(commits))) and 2 < len(commits) <= 8
+
+
+def test_means_of_many_runs_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    first = np.repeat([0, 7, 8, 40], [7, 1, 32, 60])
+    values = rng.random(100)
+    for rows, stretch in ((50, 1000), (5, 9), (1, 100)):
+        want = [values[max(f, k - rows + 1) : k + 1].mean() for k, f in enumerate(first)]
+        assert np.allclose(incremental._means(values, first, rows, stretch), want)
