@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -56,42 +58,79 @@ def spikes(stream: DataFrame) -> DataFrame:
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _monitor(run: str, rows: int) -> StatefulProcessor:
+#: Buckets of runs that rolling_signal() holds as one state each; the rows held of a bucket must fit a task's memory.
+BUCKETS = 1024
+
+
+def _packed(df: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(df, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(block).read_all().to_pandas()
+
+
+def _means(values: np.ndarray, first: np.ndarray, rows: int, stretch: int = 20_000) -> np.ndarray:
+    """The mean of each value and those before it, `rows` in all at most, none of them before place first[k]."""
+    back, out = np.arange(rows), np.empty(len(values))
+    for a in range(0, len(values), stretch):
+        at = np.arange(a, min(a + stretch, len(values)))
+        places = at[:, None] - back
+        within = places >= first[at, None]
+        out[at] = np.where(within, values[np.maximum(places, 0)], 0.0).sum(1) / within.sum(1)
+    return out
+
+
+def _monitor(rows: int) -> StatefulProcessor:
     level, warns, errs = monitor.SIGNAL_LEVEL, monitor.WARN_STEP, monitor.ERROR_STEP
 
     class Monitor(StatefulProcessor):
-        """Holds the rows of a run back until the watermark has passed them, then gives them out in order."""
+        """Holds the rows of a bucket of runs back until the watermark has passed them, then gives them out in order.
+
+        Rows are held in blocks, one for what a batch brings, and put in order and averaged as arrays, all runs at once.
+        """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getListState("held", "ts long, step long, value double")
-            self.last = handle.getValueState("last", "values array<double>")
+            self.held = handle.getListState("held", "block binary")
+            self.last = handle.getValueState("last", "block binary")
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            new = [(int(t.value // 1000), int(s), float(v)) for batch in rows for t, s, v in zip(batch["ts"], batch["step"], batch["value"]) if v == v and v is not None]
-            if new:
-                self.held.appendList(new)
-                self.handle.registerTimer(max(t for t, _, _ in new) // 1000 + 1)
-            yield self.passed(key, timerValues.getCurrentWatermarkInMs())
+            new = pd.concat([batch[["run", "at", "step", "value"]] for batch in rows], ignore_index=True)
+            new = new[new["value"].notna()]
+            if len(new):
+                self.handle.registerTimer(int(new["at"].max()) // 1000 + 1)
+            yield self.passed(new, timerValues.getCurrentWatermarkInMs())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            yield self.passed(key, timerValues.getCurrentWatermarkInMs())
-
-        def passed(self, key, watermark: int) -> pd.DataFrame:
-            all_ = sorted(tuple(r) for r in self.held.get())
-            ready = [r for r in all_ if r[0] <= watermark * 1000]
-            out: dict = {run: [], "step": [], "rolling_mean": [], "alert": []}
-            if ready:
-                before = list(self.last.get()[0]) if self.last.exists() else []
-                for _, step, value in ready:
-                    before = [*before, value][-rows:]
-                    mean = sum(before) / len(before)
-                    high = mean > level
-                    for c, x in zip(out, (key[0], step, mean, "error" if high and step >= errs else "warn" if high and step >= warns else "ok")):
-                        out[c].append(x)
-                self.last.update((before,))
-                self.held.put(all_[len(ready) :]) if len(ready) < len(all_) else self.held.clear()
-            return pd.DataFrame(out, dtype=object).astype({"step": "int64", "rolling_mean": "float64"})  # texts as plain objects
+            yield self.passed(None, timerValues.getCurrentWatermarkInMs())
+
+        def passed(self, new: pd.DataFrame | None, watermark: int) -> pd.DataFrame:
+            old = [_unpacked(r[0]) for r in self.held.get()]
+            all_ = [*old, *([new] if new is not None and len(new) else [])]
+            all_ = pd.concat(all_, ignore_index=True) if all_ else None
+            ready = None if all_ is None else all_[all_["at"] <= watermark * 1000].sort_values(["at", "step", "value"], kind="stable")
+            if ready is None or not len(ready):
+                if new is not None and len(new):
+                    self.held.appendValue((_packed(new),))
+                return pd.DataFrame({"run": pd.Series(dtype=object), "step": pd.Series(dtype="int64"), "rolling_mean": pd.Series(dtype="float64"), "alert": pd.Series(dtype=object)})
+            rest = all_[all_["at"] > watermark * 1000]
+            self.held.put([(_packed(rest),)]) if len(rest) else self.held.clear()
+            before = [_unpacked(self.last.get()[0])] if self.last.exists() else []
+            both = pd.concat([*before, ready.assign(now=True)], ignore_index=True).sort_values("run", kind="stable", ignore_index=True)  # what came out before stays ahead
+            place = both.groupby("run", sort=False).cumcount()
+            first = np.arange(len(both)) - place.to_numpy()
+            mean = _means(both["value"].to_numpy(np.float64), first, rows)
+            kept = both[both.groupby("run", sort=False).cumcount(ascending=False) < rows - 1]
+            self.last.update((_packed(kept.assign(now=False)),))
+            now = both["now"].to_numpy(bool)
+            step, high = both["step"].to_numpy("int64"), mean > level
+            alert = np.where(high & (step >= errs), "error", np.where(high & (step >= warns), "warn", "ok"))
+            return pd.DataFrame({"run": both["run"][now], "step": step[now], "rolling_mean": mean[now], "alert": alert[now].astype(object)})
 
         def close(self) -> None:
             pass
@@ -99,14 +138,16 @@ def _monitor(run: str, rows: int) -> StatefulProcessor:
     return Monitor()
 
 
-def rolling_signal(stream: DataFrame, late: str, run: str = "run", rows: int = monitor.SIGNAL_ROWS) -> DataFrame:
+def rolling_signal(stream: DataFrame, late: str, run: str = "run", rows: int = monitor.SIGNAL_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """The monitor of operators.monitor over a stream of (run, ts timestamp, step, value) whose rows may come in any order.
 
     Rows of a run are held in state until the watermark, `late` (an interval) behind the latest ts of all runs, has
     passed them, and come out in order of ts, then step; rows without a value are left out. What comes later than that
     is dropped and counted, see progress.Progress. The last rows come out when a row far ahead, of any run and without
-    a value, has moved the watermark over them. Needs the state store ROCKS.
+    a value, has moved the watermark over them. Runs are hashed into buckets, whose number must stay the same over a
+    checkpoint. A row without a run is left out. Needs the state store ROCKS.
     """
     kind = dict(stream.dtypes)[run]
-    some = stream.select(run, "ts", "step", "value").withWatermark("ts", late)
-    return some.groupBy(run).transformWithStateInPandas(_monitor(run, rows), f"{run} {kind}, step long, rolling_mean double, alert string", "Append", "EventTime")
+    some = stream.select(F.col(run).alias("run"), "ts", F.unix_micros("ts").alias("at"), "step", "value", F.pmod(F.xxhash64(run), F.lit(buckets)).alias("bucket")).withWatermark("ts", late)
+    out = some.groupBy("bucket").transformWithStateInPandas(_monitor(rows), f"run {kind}, step long, rolling_mean double, alert string", "Append", "EventTime")
+    return out.withColumnRenamed("run", run)
