@@ -1,8 +1,10 @@
 """Alignment of two tokenizers' tokens by where they end in a text's bytes.
 
-Python only tokenises. Groups (cut where tokens of both sides end) and links (tokens whose bytes overlap) are made by
-array functions and higher-order functions from the two lists of ends, in time n log n for a text of n tokens: no
-lambda looks for a value in a list. Links of all documents are counted by pair of ids.
+Python only tokenises: it gives each side's ids, where the tokens before them end, and which token holds each byte. Groups
+(cut where tokens of both sides end) and links (tokens whose bytes overlap) are made by array functions and higher-order
+functions from the two lists of ends, in time n log n for a text of n tokens: no lambda looks for a value in a list.
+Spark interprets lambdas, so these do little for each end, and ids are written and cut as whole texts. Links of all
+documents are counted by pair of ids.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ..functions.base import let
-from ._shared import Scratch, in_arrow, kind_of, sub_batches, table
+from ..functions.base import let, replace_all
+from ._shared import Scratch, in_arrow, sub_batches, table
 
 #: The query's two vocabularies, names in the package of public tokenizers.
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What tokenize() adds.
-NEW = ("a", "a_size", "a_ends", "b", "b_size", "b_ends")
+NEW = ("a", "a_ends", "a_at", "a_sign", "b", "b_ends", "b_at", "b_sign")
+#: What stands for id 0 in marks, which must have a sign.
+ZERO = 2**31 - 1
+#: Bytes of text that are encoded at once: their lists have a number for each byte.
+TEXT_BYTES = 250_000
 #: Pairs of ids that are broadcast at once with their counts; more pairs are met in several passes.
 PAIRS_AT_ONCE = 1_000_000
 
@@ -61,14 +68,19 @@ class Side:
         """The ids of space+text for each text."""
         raise NotImplementedError
 
-    def says(self, ids: np.ndarray, raw: bytes) -> bool:
-        """Whether the ids' bytes, joined, are raw."""
-        size = self.size[ids].astype(np.int64)
-        ends = np.cumsum(size)
-        if (ends[-1] if len(ends) else 0) != len(raw):
-            return False
-        at = np.arange(len(raw)) + np.repeat(self.start[ids] - ends + size, size)
-        return bool((self.all[at] == np.frombuffer(raw, np.uint8)).all())
+    def spread(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, ...] | None:
+        """The ids, ends, ids at bytes and signs at bytes, as tokenize() gives them; None if the ids' bytes, joined, aren't raw."""
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int32)
+        if len(raw) != (ends[-1] if len(ends) else 0):
+            return None
+        ends -= size
+        held = np.repeat(self.start[ids] - ends, size) + np.arange(len(raw))
+        if not (self.all[held] == np.frombuffer(raw, np.uint8)).all():
+            return None
+        sign = np.ones(len(raw), np.int32)
+        sign[ends] = -1
+        return ids, ends, np.repeat(ids, size), sign
 
 
 class Left(Side):
@@ -104,13 +116,15 @@ class Right(Side):
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()))
+    """Lists without nulls, and declared so: Spark sorts and compares such numbers unboxed."""
+    starts, flat = np.cumsum([0, *map(len, values)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *values])
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
 
 
 def tokenize(docs: DataFrame, left: bytes, right: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs' other columns with a, a_size, a_ends, b, b_size, b_ends (array<int>): both sides' ids, their bytes, and where
-    each ends in space+text.
+    """docs' other columns with a, a_ends, a_at, a_sign and the same of b (array<int> without nulls): each side's ids, where
+    the token before each ends in space+text, for each byte the id of the token that holds it, and -1 for each byte before
+    which a token ends (or none is), 1 for others.
 
     left is the content of a byte-level BPE's JSON file, right that of a piece model. Texts that are null, empty, or of
     which one side's bytes, joined, are not space+text have empty lists. Texts are encoded whole. The new names
@@ -125,52 +139,59 @@ def tokenize(docs: DataFrame, left: bytes, right: bytes, pattern: str, text_col:
         left_file, right_file, kept = sent.value  # a worker's later tasks find what its first one has made
         a, b = kept.get("both") or kept.setdefault("both", (Left(left_file, pattern), Right(right_file)))
         for whole in batches:
-            for batch in sub_batches(whole, text_col):
+            for batch in sub_batches(whole, text_col, TEXT_BYTES):
                 columns: list[list[np.ndarray]] = [[] for _ in NEW]
                 texts = [t or "" for t in batch.column(text_col).to_pylist()]
                 for text, x, y in zip(texts, a.encode(texts), b.encode(texts)):
-                    raw = b" " + text.encode()
-                    if not (text and a.says(x, raw) and b.says(y, raw)):
-                        x = y = np.zeros(0, np.int32)
-                    size_x, size_y = a.size[x], b.size[y]
-                    for column, value in zip(columns, (x, size_x, np.cumsum(size_x, dtype=np.int32), y, size_y, np.cumsum(size_y, dtype=np.int32))):
+                    lists = a.spread(x, raw := b" " + text.encode()), b.spread(y, raw)
+                    for column, value in zip(columns, (*lists[0], *lists[1]) if text and all(lists) else [np.zeros(0, np.int32)] * len(NEW)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *map(_lists, columns)], names=[*others, *NEW])
 
-    kind = ", ".join([*(f"`{c}` {kind_of(docs, f'`{c}`')}" for c in others), *(f"{c} array<int>" for c in NEW)])
+    kind = StructType(docs.select(*(F.col(f"`{c}`") for c in others)).schema.fields)
+    for name in NEW:
+        kind = kind.add(name, ArrayType(IntegerType(), False))
     return in_arrow(docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), run, kind)
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokenize()'s rows with cuts, a_marks, b_marks (array<int>) and links array<long> in place of sizes and ends.
+    """tokenize()'s rows with cuts, a_marks, b_marks (array<int>) and links (array<long>) in place of ends, ids and signs at bytes.
 
-    cuts are the ends that both sides have: a group is what lies between two of them. a_marks has for each token of
-    `a` twice its end, and one more where that is a cut; b_marks likewise. links has, in order, every pair of tokens,
-    one of each side, whose bytes overlap, as pair_of() their ids: there is one for each stretch between neighbouring
-    ends of any side, found by the tokens that hold its last byte. Texts without tokens have empty lists; other
-    columns pass. groups() shows the groups as lists.
+    cuts are the ends that both sides have: a group is what lies between two of them. a_marks has for each
+    token of `a` its id (ZERO for 0), negative where the group begins; b_marks likewise. links has, in order, every
+    pair of tokens, one of each side, whose bytes overlap, as pair_of() their ids: there is one for each stretch between
+    neighbouring ends of any side, found by the tokens that hold its first byte. Texts without tokens have empty lists;
+    other columns pass, of which none may be named `ends`.
     """
-    marks = lambda ends: F.sort_array(F.concat(F.transform("cuts", lambda e: e * 2 + 1), F.transform(F.array_except(ends, "cuts"), lambda e: e * 2)))
-    of_bytes = lambda ids, sizes: F.flatten(F.zip_with(ids, sizes, F.array_repeat))
-    ends = F.sort_array(F.array_union("a_ends", "b_ends"))
-    # bound as arguments, so that no plan can evaluate the lists anew for each of the ends
-    links = let(of_bytes("a", "a_size"), lambda x: let(of_bytes("b", "b_size"), lambda y: F.transform(ends, lambda e: pair_of(F.get(x, e - 1), F.get(y, e - 1)))))
-    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    return out.withColumns({"a_marks": marks("a_ends"), "b_marks": marks("b_ends"), "links": links}).drop(*NEW[1:3], *NEW[4:])
+    # bound as arguments, so that no plan can evaluate or fetch the lists anew for each of the ends
+    over = lambda ends, x, y, f: let(F.col(x), lambda x: let(F.col(y), lambda y: F.transform(ends, lambda e: f(x[e], y[e]))))
+    signed = lambda own, other, f: over(f"{own}_ends", f"{own}_at", f"{other}_sign", lambda i, sign: f(i) * sign)
+    no_zero = lambda i: F.when(i == 0, ZERO).otherwise(i)
+    marks = lambda own, other: F.when(F.array_contains(own, 0), signed(own, other, no_zero)).otherwise(signed(own, other, lambda i: i))
+    of_b_alone = let(F.col("a_sign"), lambda sign: F.filter("b_ends", lambda e: sign[e] > 0))
+    out = tokens.withColumn("ends", F.sort_array(F.concat("a_ends", of_b_alone)))  # stands alone, as a lambda's argument it would be sorted boxed
+    cuts = F.array_remove(F.concat(F.array_intersect("a_ends", "b_ends"), F.array(F.size("a_at"))), 0)
+    new = {"cuts": cuts, "a_marks": marks("a", "b"), "b_marks": marks("b", "a"), "links": over("ends", "a_at", "b_at", pair_of)}
+    return out.withColumns(new).drop("ends", *(c for c in NEW if "_" in c))
 
 
 def groups(aligned: DataFrame) -> DataFrame:
     """align()'s rows with groups array<struct<a array<int>, b array<int>, end int>>: the ids of each group and where it ends."""
-    last = lambda marks: F.array_remove(F.transform(marks, lambda x, i: F.when(x % 2 == 1, i + 1).otherwise(0)), 0)
-    part = lambda ids, at, k: F.slice(ids, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, F.get(at, k) - F.coalesce(F.get(at, k - 1), F.lit(0)))
-    each = let(last("a_marks"), lambda x: let(last("b_marks"), lambda y: F.transform("cuts", lambda end, k: F.struct(part("a", x, k).alias("a"), part("b", y, k).alias("b"), end.alias("end")))))
+    first = lambda marks: F.array_remove(F.transform(marks, lambda x, i: F.when(x < 0, i + 1).otherwise(0)), 0)
+    part = lambda ids, at, k: F.slice(ids, F.get(at, k), F.coalesce(F.get(at, k + 1), F.size(ids) + 1) - F.get(at, k))
+    each = let(first("a_marks"), lambda x: let(first("b_marks"), lambda y: F.transform("cuts", lambda end, k: F.struct(part("a", x, k).alias("a"), part("b", y, k).alias("b"), end.alias("end")))))
     return aligned.withColumn("groups", each)
 
 
-def group_text(ids: str, marks: str) -> Column:
-    """The ids of each group, with commas between: array<string>."""
-    flat = F.array_join(F.zip_with(ids, marks, lambda t, x: F.concat(t.cast("string"), F.when(x % 2 == 1, ";").otherwise(","))), "")
-    return F.split(F.rtrim(flat, F.lit(";")), ";")
+def within(text: Column, before: int, after: int) -> Column:
+    """A text of ASCII without so many characters at its ends, cut as bytes: in a text Spark would count characters."""
+    return F.substring(text.cast("binary"), F.lit(before + 1), F.octet_length(text) - (before + after)).cast("string")
+
+
+def group_text(ids: str, text: str) -> Column:
+    """The ids of each group, with a comma behind each: array<string>. text is the column of the ids' marks as JSON, like [-1,2,-3]."""
+    text = F.concat(within(F.col(text), 2, 1), F.lit(","))
+    return F.split(F.when(F.array_contains(ids, 0), F.replace(text, F.lit(str(ZERO)), F.lit("0"))).otherwise(text), "-")
 
 
 def pair_of(a: Column, b: Column) -> Column:
@@ -201,12 +222,16 @@ def alignment(docs: DataFrame, left: bytes, right: bytes, pattern: str, id_col:
     """
     scratch = Scratch(docs.sparkSession, "alignment")
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = align(tokenize(some, left, right, pattern)).withColumns({"in_a": group_text("a", "a_marks"), "in_b": group_text("b", "b_marks")})
-    text = F.array_join(F.zip_with("in_a", "in_b", lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    # columns that are used twice stand alone, so that they are made once
+    # columns that are used twice stand alone, so that they are made once
+    rows = align(tokenize(some, left, right, pattern)).withColumns({"a_text": F.to_json("a_marks"), "b_text": F.to_json("b_marks")})
+    both = F.arrays_zip(group_text("a", "a_text").alias("a"), group_text("b", "b_text").alias("b"))
+    rows = rows.withColumn("text", both.cast("string"))  # [{a1,a2,, b1,}, {a3,, b2,b3,}]
+    text = replace_all(within(F.col("text"), 2, 3), [(",}, {", ";"), (",, ", "|")])
     size = lambda c: F.size(c).cast("long")
     rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "id", size("a").alias("n_a"), size("b").alias("n_b"), size("cuts").alias("n_groups"), size("links").alias("n_links"),
-        F.when(F.size("cuts") > 0, F.sha2(text.cast("binary"), 256)).otherwise("").alias("groups_sha256"), "links",
+        F.monotonically_increasing_id().alias("row"), "id", size("a").alias("n_a"), size("b").alias("n_b"), (size("a") + size("b") - size("links")).alias("n_groups"), size("links").alias("n_links"),
+        F.when(F.size("links") > 0, F.sha2(text.cast("binary"), 256)).otherwise("").alias("groups_sha256"), "links",
     )
     rows = scratch.keep(rows, "rows", wide=True)
     counts = scratch.keep(pair_counts(rows), "counts")

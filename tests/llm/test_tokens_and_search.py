@@ -188,6 +188,19 @@ def test_links_and_groups_are_rows_of_ids(spark):
     assert none.groups == none.links == none.a == []
 
 
+def test_alignment_works_on_lists_without_nulls(spark):
+    """Numbers stay unboxed in Spark's sorts where a list is declared to hold no null; id 0 has no sign of its own in a group's text."""
+    files = token_alignment._file(token_alignment.LEFT), token_alignment._file(token_alignment.RIGHT)
+    left = token_alignment.Left(files[0], P.PATTERN)
+    zero = left.bytes_of[0].decode()
+    docs = [(k, t) for k, t in enumerate([zero, f"a{zero}", f"{zero}{zero} {zero}b", f"one{zero} two {zero}{zero}{zero}10 0", "none of it", f"{zero}\n{zero}é{zero}", "x" * 3000 + zero])]
+    assert sum(0 in ids.tolist() for ids in left.encode([t for _, t in docs])) > 3
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = token_alignment.alignment(df, *files, P.PATTERN)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_alignment(docs))
+    assert not any(f.dataType.containsNull for f in token_alignment.tokenize(df, *files, P.PATTERN).schema[1:])
+
+
 def test_ranks_file(tmp_path):
     (tmp_path / "ranks").write_bytes(base64.b64encode(b"a") + b" 0\n\n" + base64.b64encode(b"\xff\x00") + b" 1\n")
     assert byte_bpe.read_ranks(str(tmp_path / "ranks")) == {b"a": 0, b"\xff\x00": 1}
